@@ -178,7 +178,7 @@ def impute_medians(df: DataFrame, names: Sequence[str], medians: dict[str, float
 
 def clean_name_list(names: Column) -> Column:
     """Trimmed, non-empty names of an ARRAY in first-seen order."""
-    trimmed = F.transform(names, F.trim)
+    trimmed = F.transform(names, lambda name: F.trim(name))
     return F.array_distinct(F.filter(trimmed, lambda name: name != ""))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from .. import schema as S
 from ..functions import names as N
-from .lookup import attach
+from .lookup import attach, local_if_small
 
 # Similarity limits and the shortest spelling that may match partially.
 CONCEPT_SIMILARITY, LABEL_SIMILARITY, PARTIAL_LENGTH = 0.78, 0.86, 5
@@ -165,16 +165,22 @@ def map_labels(labels: DataFrame, space: DataFrame) -> DataFrame:
     ``Class_<n>`` for numbers, then themselves. NULL and blank labels are ``<MISSING>``.
     """
     text = F.trim(F.coalesce(F.col("label"), F.lit(S.MISSING_LABEL)))
-    known = with_concepts(space)
+    # Label tables are small as a rule: then every step below runs on local rows.
+    known, _ = local_if_small(with_concepts(space))
+    source, _ = local_if_small(with_concepts(labels.select("label", text.alias("__text")), "__text"))
     by_concept = known.where(F.col("concept").isNotNull()).groupBy("concept").agg(
         F.min_by("label", "first_position").alias("concept_label"))
     by_text = known.where(F.col("folded") != "").groupBy("folded").agg(
         F.min_by("label", "first_position").alias("text_label"))
-    source = with_concepts(labels.select("label", text.alias("__text")), "__text")
     exact = source.join(by_concept, "concept", "left").join(by_text, "folded", "left")
-    rest = exact.where(F.col("concept").isNull() & F.col("text_label").isNull() & (F.col("folded") != "")).select("folded").distinct()
-    near = closest_labels(rest, by_text.select("folded")).join(
-        by_text.select(F.col("folded").alias("closest"), F.col("text_label").alias("near_label")), "closest").drop("closest")
+    open_words = exact.where(F.col("concept").isNull() & F.col("text_label").isNull() & (F.col("folded") != ""))
+    rest, _ = local_if_small(open_words.select("folded").distinct())
+    if rest.isEmpty():
+        exact = exact.withColumn("near_label", F.lit(None).cast("string"))
+    else:
+        near = closest_labels(rest, by_text.select("folded")).join(
+            by_text.select(F.col("folded").alias("closest"), F.col("text_label").alias("near_label")), "closest").drop("closest")
+        exact = exact.join(near, "folded", "left")
     number = N.integer_label(F.col("__text"))
     by_display = F.try_element_at(_literal_map(DISPLAY), F.col("concept"))
     mapped = (
@@ -183,7 +189,7 @@ def map_labels(labels: DataFrame, space: DataFrame) -> DataFrame:
         .otherwise(F.coalesce(F.col("text_label"), F.col("near_label"),
                               F.concat(F.lit("Class_"), number.cast("string")), F.col("__text")))
     )
-    return exact.join(near, "folded", "left").select("label", "concept", mapped.alias("mapped"))
+    return exact.select("label", "concept", mapped.alias("mapped"))
 
 
 def attach_mapped(df: DataFrame, label: str, space: DataFrame, target: str) -> DataFrame:

@@ -11,16 +11,22 @@ MAX_BROADCAST_ROWS = 100_000
 HOT_SHARE = 1000  # a key is hot from 1/1000 of all rows, so at most 1000 keys can be hot
 
 
-def broadcast_if_small(table: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Materialize ``table`` for broadcasting when it has at most ``max_rows`` rows.
+def local_if_small(table: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """Materialize ``table`` once when it has at most ``max_rows`` rows.
 
-    Reads at most ``max_rows + 1`` rows to the driver. A larger table is returned as it
-    is, and the caller joins it another way.
+    Reads at most ``max_rows + 1`` rows to the driver. A larger table is returned as it is,
+    and the caller goes on with the distributed one.
     """
     rows = table.limit(max_rows + 1).collect()
     if len(rows) > max_rows:
         return table, False
-    return F.broadcast(table.sparkSession.createDataFrame(rows, table.schema)), True
+    return table.sparkSession.createDataFrame(rows, table.schema).coalesce(1), True
+
+
+def broadcast_if_small(table: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """Like :func:`local_if_small`, with a broadcast hint on the small result."""
+    local, small = local_if_small(table, max_rows)
+    return (F.broadcast(local), True) if small else (local, False)
 
 
 def salted_lookup(big: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "inner",

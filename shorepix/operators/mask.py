@@ -87,7 +87,7 @@ def row_intervals(edge_table: DataFrame, scenes: DataFrame) -> DataFrame:
     }).where(F.col("first") <= F.col("last"))
     line = F.col("origin_y") - (F.col("row") + 0.5) * F.col("size")
     crossings = (
-        spans.withColumn("row", F.explode(F.sequence("first", "last")).cast("int"))
+        spans.withColumn("row", F.explode(F.sequence(F.col("first").cast("int"), F.col("last").cast("int"))))
         .withColumn("at", F.col("x0") + (line - F.col("y0")) * (F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0")))
     )
     # A row of a geometry has as many crossings as its outline has edges there.

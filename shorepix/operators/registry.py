@@ -59,7 +59,7 @@ def complete_metadata(models: DataFrame) -> DataFrame:
         "required_features": X.clean_name_list(F.coalesce("required_features", empty)),
         "sequence_features": X.clean_name_list(F.coalesce("sequence_features", empty)),
         "channel_groups": F.filter(
-            F.transform(F.coalesce(F.col("channel_groups"), F.array().cast("array<array<string>>")), X.clean_name_list),
+            F.transform(F.coalesce(F.col("channel_groups"), F.array().cast("array<array<string>>")), lambda group: X.clean_name_list(group)),
             lambda group: F.size(group) > 0),
     })
     listed = F.when(F.size("sequence_features") > 0, F.col("sequence_features")).when(
@@ -74,9 +74,9 @@ def complete_metadata(models: DataFrame) -> DataFrame:
     ).when(is_sequence, F.col("channel_groups")).otherwise(F.array().cast("array<array<string>>")))
     staged = staged.withColumn("required_features", F.when(
         is_sequence & (F.size("required_features") == 0), F.col("sequence_features")).otherwise(F.col("required_features")))
-    lengths = F.array_distinct(F.transform("channel_groups", F.size))
-    shape = F.transform("channel_groups", F.size)
-    fits = (F.transform("norm_mean", F.size) == shape) & (F.transform("norm_std", F.size) == shape)
+    lengths = F.array_distinct(F.transform("channel_groups", lambda group: F.size(group)))
+    shape = F.transform("channel_groups", lambda group: F.size(group))
+    fits = (F.transform("norm_mean", lambda row: F.size(row)) == shape) & (F.transform("norm_std", lambda row: F.size(row)) == shape)
     problem = (
         F.when(F.col("model_family").isNull(), "unknown family")
         .when(F.col("feature_mode").isNull() | ~F.col("feature_mode").isin(*S.MODES), "unknown feature mode")

@@ -80,7 +80,9 @@ def _expression_scores(df: DataFrame, model: DenseModel, target: str, prefix: st
     logits = [F.col(name) for name in stage]
     work = work.withColumn("__top", F.greatest(*logits)).withColumn(
         "__raw", F.array(*[F.exp(value - F.col("__top")) for value in logits]))
-    return work.select(*columns, R.normalise_sum(F.col("__raw")).alias(target))
+    # A one-row generator keeps later filters on the result from being rewritten in terms of
+    # the whole network, while filters on the other columns still reach the scan.
+    return work.select(*columns, F.inline(F.array(F.struct(R.normalise_sum(F.col("__raw")).alias(target)))))
 
 
 def _batch_scores(df: DataFrame, model: DenseModel, target: str) -> DataFrame:

@@ -12,6 +12,7 @@ from ..operators import features as X
 from ..operators import labels as L
 from ..operators import metrics as E
 from ..operators import scoring as C
+from ..operators.lookup import local_if_small
 from ..session import cut_lineage
 
 MULTICLASS, PRESENCE_ABSENCE = "multiclass", "presence_absence"
@@ -104,7 +105,7 @@ def evaluate(df: DataFrame, label: str, prediction: str, vocabulary: list[str],
     """
     mode = resolve_validation_mode(mode)
     spark = df.sparkSession
-    space = cut_lineage(L.label_space(df, label, "row_id"))
+    space, _ = local_if_small(L.label_space(df, label, "row_id"))
     mapped = L.attach_mapped(L.attach_mapped(df, label, space, "__true"), prediction, space, "__pred")
     words = spark.createDataFrame([(word,) for word in [*vocabulary, target]], "label string").distinct()
     hints = {row["label"]: row["mapped"] for row in L.map_labels(words, space).collect()}
