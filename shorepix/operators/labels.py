@@ -9,6 +9,7 @@ from __future__ import annotations
 import difflib
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 
 from .. import schema as S
 from ..functions import names as N
+from ..functions.staging import pinned
 from .lookup import attach, local_if_small
 
 # Similarity limits and the shortest spelling that may match partially.
@@ -49,14 +51,30 @@ def normalise_label(label: Column) -> Column:
 
 @F.pandas_udf(T.StringType())
 def closest_concept(labels: pd.Series) -> pd.Series:
-    """Concept of the most similar spelling from 0.78 up."""
-    known = list(SPELLINGS)
-
-    def match(text):
-        found = difflib.get_close_matches(text, known, 1, CONCEPT_SIMILARITY) if text else []
-        return SPELLINGS[found[0]] if found else None
+    """Concept of the most similar spelling from 0.78 up.
 
-    return labels.map(match)
+    The similarity can never exceed twice the number of shared letters over the total
+    length. Numpy computes that bound for the whole batch, and only pairs that reach the
+    limit are compared in full.
+    """
+    known = list(SPELLINGS)
+    letters = sorted(set("".join(known)))
+    # Twice the shorter length bounds the similarity too, so longer texts cannot match.
+    longest = int(max(map(len, known)) * (2 / CONCEPT_SIMILARITY - 1)) + 1
+    texts = labels.fillna("")
+    place = np.flatnonzero(texts.str.len().between(1, longest).to_numpy())
+    best: list[tuple[float, str]] = [(0.0, "")] * len(labels)
+    if len(place):
+        words = texts.iloc[place].to_numpy(dtype=object).astype(str)
+        lengths = np.char.str_len(words)
+        own = np.stack([np.char.count(words, letter) for letter in letters], axis=1)
+        for spelling in known:
+            shared = np.minimum(own, [spelling.count(letter) for letter in letters]).sum(axis=1)
+            for i in np.flatnonzero(2.0 * shared >= CONCEPT_SIMILARITY * (lengths + len(spelling))):
+                ratio = difflib.SequenceMatcher(None, spelling, words[i]).ratio()
+                if ratio >= CONCEPT_SIMILARITY:
+                    best[place[i]] = max(best[place[i]], (ratio, spelling))
+    return pd.Series([SPELLINGS.get(spelling) for _, spelling in best], dtype=object)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -99,9 +117,9 @@ def with_concepts(labels: DataFrame, label: str = "label") -> DataFrame:
     Number, exact spelling, partial spelling, then similar spelling. Python only sees what
     the first three stages leave over.
     """
-    folded = labels.withColumn("folded", normalise_label(F.col(label)))
-    sure = folded.withColumn("__sure", F.coalesce(
-        concept_by_number(F.col(label)), concept_by_spelling(F.col("folded")), concept_by_part(F.col("folded"))))
+    folded = pinned(labels, {"folded": normalise_label(F.col(label))})
+    sure = pinned(folded, {"__sure": F.coalesce(
+        concept_by_number(F.col(label)), concept_by_spelling(F.col("folded")), concept_by_part(F.col("folded")))})
     near = closest_concept(F.when(F.col("__sure").isNull() & (F.col("folded") != ""), F.col("folded")))
     return sure.withColumn("concept", F.coalesce("__sure", near)).drop("__sure")
 

@@ -4,23 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_BROADCAST_ROWS = 100_000
 HOT_SHARE = 1000  # a key is hot from 1/1000 of all rows, so at most 1000 keys can be hot
 
 
+def small_table(spark: SparkSession, rows: Sequence[tuple], columns: str) -> DataFrame:
+    """Table of a few fixed rows that the optimizer holds as literals (no Python worker reads it)."""
+    names = [part.split()[0] for part in columns.split(",")]
+    values = list(zip(*rows)) if rows else [[] for _ in names]
+    frame = spark.createDataFrame(pa.table({name: pa.array(list(column)) if rows else pa.array([], pa.string())
+                                            for name, column in zip(names, values)}))
+    return frame.select(*[F.col(name).cast(part.split(maxsplit=1)[1]).alias(name) for name, part in zip(names, columns.split(","))])
+
+
 def local_if_small(table: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """Materialize ``table`` once when it has at most ``max_rows`` rows.
 
     Reads at most ``max_rows + 1`` rows to the driver. A larger table is returned as it is,
     and the caller goes on with the distributed one.
     """
-    rows = table.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+    rows = table.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
         return table, False
-    return table.sparkSession.createDataFrame(rows, table.schema).coalesce(1), True
+    return table.sparkSession.createDataFrame(rows, table.schema), True
 
 
 def broadcast_if_small(table: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:

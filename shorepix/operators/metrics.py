@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from .lookup import small_table
 
 
 def known_label(label: Column) -> Column:
@@ -28,7 +29,7 @@ def confusion(df: DataFrame, true: str = "true_label", pred: str = "pred_label")
 def confusion_matrix(counts: DataFrame, classes: Sequence[str]) -> DataFrame:
     """Square matrix over ``classes`` in their order, zeros for empty cells and rows."""
     spark = counts.sparkSession
-    rows = spark.createDataFrame([(i, name) for i, name in enumerate(classes)], "position int, true_label string")
+    rows = small_table(spark, list(enumerate(classes)), "position int, true_label string")
     cells = counts.where(F.col("true_label").isin(*classes)).groupBy("true_label").agg(*[
         F.sum(F.when(F.col("pred_label") == name, F.col("n"))).alias(name) for name in classes])
     return (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import reflectance as R
+from .lookup import small_table
 
 # Fixed values of the rules.
 SEAGRASS, MICROALGAE, WATER = 4, 5, 8
@@ -46,5 +47,5 @@ def relabel_counts(df: DataFrame, before: str, after: str) -> DataFrame:
 
 def with_legend(df: DataFrame, class_id: str = "class_id") -> DataFrame:
     """Add class name and colour from the eight-row legend."""
-    legend = df.sparkSession.createDataFrame(list(S.CLASS_LEGEND), f"{class_id} int, class_name string, colour string")
+    legend = small_table(df.sparkSession, S.CLASS_LEGEND, f"{class_id} int, class_name string, colour string")
     return df.withColumn(class_id, F.col(class_id).cast("int")).join(F.broadcast(legend), class_id, "left")

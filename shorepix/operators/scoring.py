@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import reflectance as R
+from ..functions.staging import pinned
 from . import features as X
 
 # Up to this many weights a network is written as column arithmetic (one generated code
@@ -80,9 +81,7 @@ def _expression_scores(df: DataFrame, model: DenseModel, target: str, prefix: st
     logits = [F.col(name) for name in stage]
     work = work.withColumn("__top", F.greatest(*logits)).withColumn(
         "__raw", F.array(*[F.exp(value - F.col("__top")) for value in logits]))
-    # A one-row generator keeps later filters on the result from being rewritten in terms of
-    # the whole network, while filters on the other columns still reach the scan.
-    return work.select(*columns, F.inline(F.array(F.struct(R.normalise_sum(F.col("__raw")).alias(target)))))
+    return pinned(work, {target: R.normalise_sum(F.col("__raw"))}).select(*columns, target)
 
 
 def _batch_scores(df: DataFrame, model: DenseModel, target: str) -> DataFrame:

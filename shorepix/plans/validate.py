@@ -12,7 +12,7 @@ from ..operators import features as X
 from ..operators import labels as L
 from ..operators import metrics as E
 from ..operators import scoring as C
-from ..operators.lookup import local_if_small
+from ..operators.lookup import local_if_small, small_table
 from ..session import cut_lineage
 
 MULTICLASS, PRESENCE_ABSENCE = "multiclass", "presence_absence"
@@ -58,7 +58,7 @@ def predict_labels(df: DataFrame, model: C.DenseModel | C.SequenceModel, vocabul
     result = scored.withColumns({
         "raw_prediction": C.label_of(F.col("__main"), vocabulary), "Predicted_Confidence": F.array_max("__main")})
     if specialist is not None:
-        words = df.sparkSession.createDataFrame([(word,) for word in vocabulary], "label string")
+        words = small_table(df.sparkSession, [(word,) for word in vocabulary], "label string")
         # At most one row per vocabulary label comes back.
         refined = [row["label"] for row in L.with_concepts(words).where(F.col("concept").isin(*REFINED_CONCEPTS)).collect()]
         prepared = _with_features(result, S.SPECIALIST_FEATURES, rebuild=True, prefix="__s_")
@@ -107,7 +107,7 @@ def evaluate(df: DataFrame, label: str, prediction: str, vocabulary: list[str],
     spark = df.sparkSession
     space, _ = local_if_small(L.label_space(df, label, "row_id"))
     mapped = L.attach_mapped(L.attach_mapped(df, label, space, "__true"), prediction, space, "__pred")
-    words = spark.createDataFrame([(word,) for word in [*vocabulary, target]], "label string").distinct()
+    words = small_table(spark, [(word,) for word in dict.fromkeys([*vocabulary, target])], "label string")
     hints = {row["label"]: row["mapped"] for row in L.map_labels(words, space).collect()}
     if mode == PRESENCE_ABSENCE:
         goal = hints[target]

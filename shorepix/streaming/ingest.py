@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import schema as S
 from ..operators import catalogue as K
 from ..operators import history as H
+from ..operators.lookup import small_table
 
 
 def scene_stream(spark: SparkSession, folder: str, schema: T.StructType, archive: str | None = None,
@@ -56,7 +57,7 @@ def ingest_scenes(stream: DataFrame, process: Callable[[DataFrame], DataFrame],
                     save(batch.where(F.col("scene_id") == row["scene_id"]))
                 except Exception as error:  # noqa: BLE001
                     errors.append((row["scene_id"], str(error)[:2000]))
-            bad = bad.unionByName(batch.sparkSession.createDataFrame(errors, "scene_id string, error string"))
+            bad = bad.unionByName(small_table(batch.sparkSession, errors, "scene_id string, error string"))
         record(bad, batch_id)
 
     return (stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
