@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import names as N
+from ..functions.staging import pinned
 from .lookup import salted_lookup
 
 # Preference among copies of one scene.
@@ -42,26 +43,26 @@ def scene_candidates(listing: DataFrame, root: str = "") -> DataFrame:
     and band_count (for TIFF files). A zip is accepted by its file name; its content is
     looked at only when a scene is opened.
     """
-    path = F.concat(F.lit("/"), F.substr(F.col("path"), F.lit(len(root) + 1)))
-    fmt = file_format(path)
-    found = listing.where(fmt.isNotNull() & ~in_status_folder(path) & ~inside_safe(path))
-    stem = N.scene_stem(path)
+    path = F.substr(F.col("path"), F.lit(len(root) + 1)) if root else F.col("path")
+    named = pinned(listing, {"__path": F.concat(F.lit("/"), path), "format": file_format(F.col("path"))})
+    found = named.where(F.col("format").isNotNull() & ~in_status_folder(F.col("__path")) & ~inside_safe(F.col("__path")))
+    found = pinned(found, {"scene_id": N.scene_stem(F.col("path"))})
     accepted = (
-        F.when(fmt == "SAFE", F.coalesce(F.col("has_manifest") & F.col("has_granule"), F.lit(False)))
-        .when(fmt == "TIFF", F.coalesce(F.col("band_count") == len(S.STACK_BANDS), F.lit(False)))
-        .otherwise(N.is_scene_id(stem))
+        F.when(F.col("format") == "SAFE", F.coalesce(F.col("has_manifest") & F.col("has_granule"), F.lit(False)))
+        .when(F.col("format") == "TIFF", F.coalesce(F.col("band_count") == len(S.STACK_BANDS), F.lit(False)))
+        .otherwise(N.is_scene_id(F.col("scene_id")))
     )
-    return found.select("path", stem.alias("scene_id"), fmt.alias("format"), accepted.alias("accepted"))
+    return found.select("path", "scene_id", "format", accepted.alias("accepted"))
 
 
-def with_acquisition(scenes: DataFrame) -> DataFrame:
-    return scenes.withColumn("acquired_at", N.acquired_at(F.col("scene_id"))).withColumn(
-        "acquired_on", F.to_date("acquired_at"))
+def scene_records(listing: DataFrame, root: str = "") -> DataFrame:
+    """Accepted candidates with their acquisition time."""
+    return with_acquisition(scene_candidates(listing, root).where("accepted").drop("accepted"))
 
 
-def scene_records(listing: DataFrame) -> DataFrame:
-    """Accepted candidates with their acquisition time."""
-    return with_acquisition(scene_candidates(listing).where("accepted").drop("accepted"))
+def with_acquisition(scenes: DataFrame) -> DataFrame:
+    return pinned(scenes, {"acquired_at": N.acquired_at(F.col("scene_id"))}).withColumn(
+        "acquired_on", F.to_date("acquired_at"))
 
 
 def _preference() -> Column:

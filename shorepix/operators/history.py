@@ -4,20 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schema as S
 from ..functions import extents as X
+from ..functions.staging import pinned
 
 KEEP_RUNS, SHOWN_RUNS = 2000, 300  # fixed values: log length and view length
 
 
+# Every field is read as text first, so that one odd value does not cost the whole line.
+_TEXT_SCHEMA = T.StructType([T.StructField(f.name, T.StringType()) for f in S.HISTORY_SCHEMA.fields]
+                            + [T.StructField("_bad", T.StringType())])
+
+
 def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """History rows of JSON text lines; unreadable lines and non-objects are dropped."""
     text = F.trim(F.col(column))
-    parsed = F.from_json(text, S.HISTORY_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    valid = text.startswith("{") & (F.json_object_keys(text).isNotNull())
+    parsed = F.from_json(text, _TEXT_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    run = F.when(text.startswith("{"), parsed)
     others = [name for name in lines.columns if name != column]
-    return lines.where(valid).select(*others, parsed.alias("run")).select(*others, "run.*")
+    rows = pinned(lines.select(*others, column), {"run": run}).where("run IS NOT NULL AND run._bad IS NULL")
+    typed = {"duration_seconds": F.col("run.duration_seconds").try_cast("double"),
+             "mask_extent_coords": F.from_json("run.mask_extent_coords", "array<array<double>>")}
+    return rows.select(*others, *[typed.get(f.name, F.col(f"run.{f.name}")).alias(f.name) for f in S.HISTORY_SCHEMA.fields])
+
+
+def detail_value(details: Column, key: str) -> Column:
+    """Text behind ``key=`` in 'key=value; key=value' text (the last one of a repeated key)."""
+    pattern = rf"^(?:.*;)?\s*\Q{key}\E\s*=([^;]*)"
+    return F.when(details.rlike(pattern), F.trim(F.regexp_extract(details, pattern, 1)))
 
 
 def details_map(details: Column) -> Column:
@@ -32,7 +48,7 @@ def details_map(details: Column) -> Column:
 
 
 def detail_number(details: Column, key: str) -> Column:
-    return F.try_element_at(details_map(details), F.lit(key)).try_cast("bigint")
+    return detail_value(details, key).try_cast("bigint")
 
 
 def text_of(value: Column) -> Column:

@@ -64,24 +64,34 @@ def _weighted(values: Sequence[Column], weights: Sequence[float], bias: float) -
     return reduce(lambda a, b: a + b, terms, F.lit(float(bias)))
 
 
+def _folded_layers(model: DenseModel) -> list[tuple[list[list[float]], list[float]]]:
+    """Layers with the input standardization merged into the first one."""
+    (weights, bias), *rest = model.layers
+    scaled = [[weight / scale for weight, scale in zip(row, model.std)] for row in weights]
+    shifted = [offset - sum(w * centre for w, centre in zip(row, model.mean)) for row, offset in zip(scaled, bias)]
+    return [(scaled, shifted), *rest]
+
+
 def _expression_scores(df: DataFrame, model: DenseModel, target: str, prefix: str) -> DataFrame:
+    """Column arithmetic over values that are never NULL, which keeps the generated code short
+    enough to be compiled."""
     columns = list(df.columns)
+    layers = _folded_layers(model)
     stage = [f"__{prefix}_0_{i}" for i in range(len(model.features))]
-    work = df.withColumns({
-        name: (R.filled(F.col(feature)) - F.lit(float(mean))) / F.lit(float(std))
-        for name, feature, mean, std in zip(stage, model.features, model.mean, model.std)
-    })
-    for depth, (weights, bias) in enumerate(model.layers, start=1):
+    work = df.withColumns({name: R.filled(F.col(feature)) for name, feature in zip(stage, model.features)})
+    for depth, (weights, bias) in enumerate(layers, start=1):
         inputs = [F.col(name) for name in stage]
-        last = depth == len(model.layers)
+        last = depth == len(layers)
         sums = [_weighted(inputs, row, offset) for row, offset in zip(weights, bias)]
         stage = [f"__{prefix}_{depth}_{i}" for i in range(len(bias))]
         work = work.select(*columns, *[
             (value if last else F.greatest(value, F.lit(0.0))).alias(name) for value, name in zip(sums, stage)])
     logits = [F.col(name) for name in stage]
-    work = work.withColumn("__top", F.greatest(*logits)).withColumn(
-        "__raw", F.array(*[F.exp(value - F.col("__top")) for value in logits]))
-    return pinned(work, {target: R.normalise_sum(F.col("__raw"))}).select(*columns, target)
+    work = work.withColumn("__top", F.greatest(*logits) if len(logits) > 1 else logits[0])
+    raised = [f"__{prefix}_e_{i}" for i in range(len(logits))]
+    work = work.select(*columns, *[F.exp(value - F.col("__top")).alias(name) for value, name in zip(logits, raised)])
+    work = work.withColumn("__sum", reduce(lambda a, b: a + b, map(F.col, raised)))
+    return pinned(work, {target: F.array(*[F.col(name) / F.col("__sum") for name in raised])}).select(*columns, target)
 
 
 def _batch_scores(df: DataFrame, model: DenseModel, target: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.lookup import salted_lookup
+from ..operators.lookup import attach
 
 WINDOW_DAYS = 15  # fixed value
 
@@ -14,20 +14,15 @@ def match_images(labels: DataFrame, images: DataFrame, window: int = WINDOW_DAYS
     """Add n_images, nearest_day and gap_days to every label that has an image within ``window`` days.
 
     ``labels`` and ``images`` hold tile and day (DATE). Images are first reduced to counts per
-    (tile, day); each 15-day bin then holds at most 45 such days with its neighbours, so a label
-    meets one bounded row instead of all images of its tile. On equal distance the earlier day wins.
+    (tile, day). Each such day offers itself to the 31 label days around it, and an aggregate
+    keeps the number of images and the nearest day (the earlier one on ties) per label day. A
+    label then meets exactly one row, however many images or labels its tile has.
     """
-    bin_of = lambda day: F.floor(F.unix_date(day) / window).cast("int")
     days = images.groupBy("tile", "day").agg(F.count(F.lit(1)).alias("n"))
-    around = days.withColumn("bin", F.explode(F.array(*[bin_of(F.col("day")) + step for step in (-1, 0, 1)])))
-    per_bin = around.groupBy("tile", "bin").agg(F.collect_list(F.struct("day", "n")).alias("days"))
-    joined = salted_lookup(labels.withColumn("bin", bin_of(F.col("day"))), per_bin, ["tile", "bin"])
-    near = F.transform(
-        F.filter("days", lambda other: F.abs(F.datediff(other["day"], F.col("day"))) <= window),
-        lambda other: F.struct(F.abs(F.datediff(other["day"], F.col("day"))).alias("gap"), other["day"].alias("day"), other["n"].alias("n")))
-    found = joined.withColumn("__near", near).where(F.size("__near") > 0)
-    best = F.array_min("__near")
-    return found.withColumns({
-        "n_images": F.aggregate("__near", F.lit(0).cast("bigint"), lambda acc, other: acc + other["n"]),
-        "nearest_day": best["day"], "gap_days": best["gap"],
-    }).drop("bin", "days", "__near")
+    shifts = F.array(*[F.lit(step) for step in range(-window, window + 1)])
+    offers = days.withColumn("shift", F.explode(shifts)).select(
+        "tile", F.date_add("day", F.col("shift")).alias("label_day"), F.abs("shift").alias("gap"), "day", "n")
+    best = offers.groupBy("tile", F.col("label_day").alias("day")).agg(
+        F.sum("n").alias("n_images"), F.min(F.struct("gap", offers["day"])).alias("near"))
+    per_day = best.select("tile", "day", "n_images", F.col("near.day").alias("nearest_day"), F.col("near.gap").alias("gap_days"))
+    return attach(labels, per_day, ["tile", "day"], "inner")

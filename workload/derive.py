@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shorepix import schema as S
+from shorepix.functions.staging import pinned
 from shorepix.operators.scoring import DenseModel
 
 from . import table
@@ -105,13 +106,15 @@ def listing(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("S2"), F.chr(65 + user % 2), F.lit("_MSIL2A_"), day, F.lit("T"), F.lpad((user % 24).cast("string"), 2, "0"),
         F.lit("0000_N0"), (300 + (user * 7) % 250).cast("string"), F.lit("_R137_T29SQA_"), day, F.lit("T230000"))
     status = F.when(value < 2, "Done/").when(value < 4, "failed/").otherwise("")
-    name = F.when(kind == "error", "notes.txt").when(value > 120, F.concat(F.lit("other_"), scene)).otherwise(scene)
+    name = F.when(kind == "error", "notes.txt").when(value > 120, F.concat(F.lit("other_"), F.col("scene_id"))).otherwise(F.col("scene_id"))
     suffix = (F.when(kind == "view", ".SAFE").when(kind == "click", ".tif").when(kind == "purchase", ".TIFF")
               .when(kind == "signup", ".zip").otherwise(""))
     tiff = kind.isin("click", "purchase")
-    return table(spark, folder, "events").select(
-        "event_id", "user_id", "event_type", "value", scene.alias("scene_id"),
-        F.concat(F.lit("/archive/"), status, F.col("event_id").cast("string"), F.lit("/"), name, suffix).alias("path"),
+    events = table(spark, folder, "events")
+    scenes = pinned(events.select("event_id", "user_id", "event_type", "value", "ts"), {"scene_id": scene})
+    path = F.concat(F.lit("/archive/"), status, F.col("event_id").cast("string"), F.lit("/"), name, suffix)
+    return pinned(scenes, {"path": path}).select(
+        "event_id", "user_id", "event_type", "value", "scene_id", "path",
         F.when(kind == "view", value < 90).alias("has_manifest"), F.when(kind == "view", F.lit(True)).alias("has_granule"),
         F.when(tiff, F.when(value < 80, 12).otherwise(3)).alias("band_count"))
 

@@ -32,7 +32,7 @@ def history_parse(spark, folder):
     details = F.col("details")
     return rows.select("event_id", "started_at", "workflow", "duration_seconds", "model_path", H.detail_number(details, "Scenes").alias("scenes"),
                        H.detail_number(details, "processed").alias("processed"), H.detail_number(details, "failed").alias("failed"),
-                       F.try_element_at(H.details_map(details), F.lit("note")).alias("note"))
+                       H.detail_value(details, "note").alias("note"))
 
 
 @query("history_key", with_ctes([RUNS], "SELECT event_id, started_at || '|' || workflow || '|' || model_path || '|' || CASE WHEN processed = 0 THEN '' ELSE output_path END AS run_key FROM runs"))
