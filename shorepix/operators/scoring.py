@@ -8,7 +8,7 @@ from dataclasses import asdict, dataclass, field
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,9 +17,10 @@ from ..functions import reflectance as R
 from ..functions.staging import pinned
 from . import features as X
 
-# Up to this many weights a network is written as column arithmetic (one generated code
-# stage, no Python); larger ones run as matrix products on Arrow batches.
-MAX_EXPRESSION_WEIGHTS = 2_000
+# Up to this many weights (a linear two-class model) a network is written as column
+# arithmetic. Beyond it the generated method passes the 8000 bytecodes that the JVM is
+# willing to compile, and matrix products on Arrow batches are about seven times faster.
+MAX_EXPRESSION_WEIGHTS = 64
 
 
 @dataclass(frozen=True)
@@ -72,13 +73,12 @@ def _folded_layers(model: DenseModel) -> list[tuple[list[list[float]], list[floa
     return [(scaled, shifted), *rest]
 
 
-def _expression_scores(df: DataFrame, model: DenseModel, target: str, prefix: str) -> DataFrame:
-    """Column arithmetic over values that are never NULL, which keeps the generated code short
-    enough to be compiled."""
-    columns = list(df.columns)
+def _expression_scores(df: DataFrame, names: Sequence[str], model: DenseModel, target: str) -> DataFrame:
+    """Column arithmetic over values that are never NULL, which keeps the generated code short."""
+    columns, prefix = list(df.columns), target.strip("_")
     layers = _folded_layers(model)
-    stage = [f"__{prefix}_0_{i}" for i in range(len(model.features))]
-    work = df.withColumns({name: R.filled(F.col(feature)) for name, feature in zip(stage, model.features)})
+    stage = [f"__{prefix}_0_{i}" for i in range(len(names))]
+    work = df.withColumns({name: R.filled(F.col(feature)) for name, feature in zip(stage, names)})
     for depth, (weights, bias) in enumerate(layers, start=1):
         inputs = [F.col(name) for name in stage]
         last = depth == len(layers)
@@ -94,30 +94,58 @@ def _expression_scores(df: DataFrame, model: DenseModel, target: str, prefix: st
     return pinned(work, {target: F.array(*[F.col(name) / F.col("__sum") for name in raised])}).select(*columns, target)
 
 
-def _batch_scores(df: DataFrame, model: DenseModel, target: str) -> DataFrame:
-    mean, std = np.asarray(model.mean), np.asarray(model.std)
-    layers = [(np.asarray(weights).T, np.asarray(bias)) for weights, bias in model.layers]
+def _as_lists(matrix: np.ndarray) -> pa.Array:
+    """Arrow lists over the rows of a matrix, without a copy per row."""
+    rows, width = matrix.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, (rows + 1) * width, width, dtype=np.int32)), pa.array(matrix.ravel()))
+
+
+def _softmax_rows(logits: np.ndarray) -> np.ndarray:
+    raised = np.exp(logits - logits.max(axis=1, keepdims=True))
+    return raised / raised.sum(axis=1, keepdims=True)
+
+
+def _dense_udf(model: DenseModel):
+    layers = [(np.asarray(weights).T, np.asarray(bias)) for weights, bias in _folded_layers(model)]
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def score(batch: pd.DataFrame) -> pd.Series:
-        x = (np.nan_to_num(batch.to_numpy(dtype=np.float64), nan=0.0, posinf=np.inf, neginf=-np.inf) - mean) / std
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def score(batch: pa.Array) -> pa.Array:
+        x = np.column_stack([batch.field(i).to_numpy(zero_copy_only=False) for i in range(batch.type.num_fields)])
         for depth, (weights, bias) in enumerate(layers, start=1):
             x = x @ weights + bias
             if depth < len(layers):
                 x = np.maximum(x, 0.0)
-        e = np.exp(x - x.max(axis=1, keepdims=True))
-        return pd.Series(list(e / e.sum(axis=1, keepdims=True)))
+        return _as_lists(_softmax_rows(x))
 
-    inputs = F.struct(*[F.col(name).cast("double").alias(f"f{i}") for i, name in enumerate(model.features)])
-    return df.withColumn(target, score(inputs))
+    return score
+
+
+def score_dense_all(df: DataFrame, models: dict[str, DenseModel], prefixes: dict[str, str] | None = None) -> DataFrame:
+    """Add the probabilities of several models (by target name) in one pass over the rows.
+
+    ``prefixes`` holds what stands before the feature columns of a target. Missing features
+    count as 0.
+    """
+    prefixes = prefixes or {}
+    columns = list(df.columns)
+    batch, staged = {}, df
+    for target, model in models.items():
+        names = [prefixes.get(target, "") + name for name in model.features]
+        X.require_columns(df, names, "Model input")
+        if model.weight_count <= MAX_EXPRESSION_WEIGHTS:
+            staged = _expression_scores(staged, names, model, target)
+        else:
+            inputs = F.struct(*[R.filled(F.col(name)).alias(f"f{i}") for i, name in enumerate(names)])
+            batch[target] = _dense_udf(model)(inputs)
+    if batch:
+        raw = staged.withColumns({f"__{target}_raw": value for target, value in batch.items()})
+        staged = pinned(raw, {target: F.col(f"__{target}_raw") for target in batch})
+    return staged.select(*columns, *models)
 
 
 def score_dense(df: DataFrame, model: DenseModel, target: str = "probs") -> DataFrame:
-    """Add class probabilities; missing features count as 0."""
-    X.require_columns(df, model.features, "Model input")
-    if model.weight_count <= MAX_EXPRESSION_WEIGHTS:
-        return _expression_scores(df, model, target, target.strip("_"))
-    return _batch_scores(df, model, target)
+    """Add class probabilities."""
+    return score_dense_all(df, {target: model})
 
 
 def class_of(probs: Column, class_ids: Sequence[int]) -> Column:
@@ -179,18 +207,17 @@ def score_sequence(df: DataFrame, model: SequenceModel, target: str = "probs") -
     convolutions = [(np.asarray(k), np.asarray(b)) for k, b in (model.conv1, model.conv2)]
     (w1, b1), (w2, b2) = [(np.asarray(w).T, np.asarray(b)) for w, b in (model.dense1, model.dense2)]
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def score(batch: pd.Series) -> pd.Series:
-        if not len(batch):
-            return pd.Series([], dtype=object)
-        x = np.stack(batch.to_numpy()).astype(np.float64).reshape(-1, channels, length)
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def score(batch: pa.Array) -> pa.Array:
+        x = batch.flatten().to_numpy(zero_copy_only=False).reshape(-1, channels, length)
         for kernel, bias in convolutions:
             wide = np.pad(x, ((0, 0), (0, 0), (1, 1)))
-            x = sum(np.einsum("ncl,oc->nol", wide[:, :, k:k + length], kernel[:, :, k], optimize=True) for k in range(3))
-            x = np.maximum(x + bias[None, :, None], 0.0)
+            # One matrix product over (channel, offset) per band position.
+            windows = np.stack([wide[:, :, k:k + length] for k in range(3)], axis=3).transpose(0, 2, 1, 3)
+            x = windows.reshape(len(x), length, -1) @ kernel.reshape(len(kernel), -1).T
+            x = np.maximum(x + bias, 0.0).transpose(0, 2, 1)
         hidden = np.maximum(x.mean(axis=2) @ w1 + b1, 0.0)
-        logits = hidden @ w2 + b2
-        e = np.exp(logits - logits.max(axis=1, keepdims=True))
-        return pd.Series(list(e / e.sum(axis=1, keepdims=True)))
+        return _as_lists(_softmax_rows(hidden @ w2 + b2))
 
-    return df.withColumn(target, score(F.flatten(X.sequence_array(model.groups, model.norm))))
+    raw = df.withColumn("__raw", score(F.flatten(X.sequence_array(model.groups, model.norm))))
+    return pinned(raw, {target: F.col("__raw")}).select(*df.columns, target)

@@ -41,21 +41,34 @@ def assemble_scene(bands: DataFrame, required: Sequence[str] = S.STACK_BANDS, ma
     return grid if mask_edges is None else M.apply_mask(grid, mask_edges, scenes, [*names, "scl"])
 
 
-def with_model_probabilities(pixels: DataFrame, model: C.DenseModel | C.SequenceModel, target: str) -> DataFrame:
-    """Rebuild the inputs of a model from raw bands and add its probabilities; the pixel columns stay."""
-    columns = list(pixels.columns)
-    if isinstance(model, C.SequenceModel):
-        flat = [name for group in model.groups for name in group]
-        others = [name for name in columns if name not in flat]
-        scored = C.score_sequence(
-            X.sequence_table(pixels, features=flat, groups=model.groups, context="Apply pixel table", carry=others), model, target)
-        return scored.select(*columns, target)
+def _with_inputs(pixels: DataFrame, model: C.DenseModel, prefix: str) -> DataFrame:
+    """Add the inputs of a dense model, rebuilt from raw bands, under prefixed names."""
     raw = [name for name in model.features if S.is_raw(name)]
-    layers = {name: f"__keep_{name}" for name in ("NDVI", "NDWI") if name in columns}
-    work = X.with_feature_indices(X.with_standardised(pixels.withColumnsRenamed(layers), raw))
-    scored = C.score_dense(work, model, target)
-    back = {kept: name for name, kept in layers.items()}
-    return scored.drop("NDVI", "NDWI").withColumnsRenamed(back).select(*columns, target)
+    X.require_columns(pixels, raw, "Apply pixel table (raw inputs)")
+    bands = pixels.select(*pixels.columns, F.struct(*pixels.columns).alias("__pixel"))
+    built = X.with_feature_indices(X.with_standardised(bands, raw))
+    return built.select(*[F.col(f"__pixel.`{name}`").alias(name) for name in pixels.columns],
+                        *[F.col(name).alias(prefix + name) for name in model.features])
+
+
+def with_model_probabilities(pixels: DataFrame, models: dict[str, C.DenseModel | C.SequenceModel]) -> DataFrame:
+    """Add the probabilities of each model by target name; the pixel columns stay as they are.
+
+    Dense models share one pass through the Arrow workers.
+    """
+    columns, work, dense, prefixes = list(pixels.columns), pixels, {}, {}
+    for target, model in models.items():
+        if isinstance(model, C.SequenceModel):
+            flat = [name for group in model.groups for name in group]
+            kept = work.select(F.struct(*work.columns).alias("__pixel"), *[c for c in S.clean_names(map(S.raw_of, flat))])
+            scored = C.score_sequence(X.sequence_table(kept, features=flat, groups=model.groups,
+                                                       context="Apply pixel table", carry=["__pixel"]), model, target)
+            work = scored.select("__pixel.*", target)
+        else:
+            prefixes[target] = f"__{target.strip('_')}_in_"
+            work = _with_inputs(work, model, prefixes[target])
+            dense[target] = model
+    return (C.score_dense_all(work, dense, prefixes) if dense else work).select(*columns, *models)
 
 
 def classify_pixels(pixels: DataFrame, model: C.DenseModel | C.SequenceModel, specialist: C.DenseModel | None = None,
@@ -68,19 +81,21 @@ def classify_pixels(pixels: DataFrame, model: C.DenseModel | C.SequenceModel, sp
     """
     required = model.features if isinstance(model, C.DenseModel) else model.groups[0]
     work = X.with_scene_indices(pixels).withColumn("valid", G.is_valid(pixels, required))
-    work = with_model_probabilities(work, model, "__main")
-    work = work.withColumns({"class_id": C.class_of(F.col("__main"), model.class_ids), "class_prob": F.array_max("__main")})
+    models = {"__main": model}
     if specialist is not None:
-        try:
-            work = with_model_probabilities(work, specialist, "__special")
-        except ValueError as problem:
-            warnings.warn(f"The specialist model was skipped: {problem}", stacklevel=2)
+        missing = [name for name in specialist.features if S.is_raw(name) and name not in pixels.columns]
+        if missing:
+            warnings.warn(f"The specialist model was skipped: missing {S.shorten(missing)}", stacklevel=2)
         else:
-            candidate = Q.is_specialist_candidate(F.col("class_id"))
-            work = work.withColumns({
-                "class_prob": F.when(candidate, F.array_max("__special")).otherwise(F.col("class_prob")),
-                "class_id": F.when(candidate, C.class_of(F.col("__special"), specialist.class_ids)).otherwise(F.col("class_id")),
-            }).drop("__special")
+            models["__special"] = specialist
+    work = with_model_probabilities(work, models)
+    work = work.withColumns({"class_id": C.class_of(F.col("__main"), model.class_ids), "class_prob": F.array_max("__main")})
+    if "__special" in models:
+        candidate = Q.is_specialist_candidate(F.col("class_id"))
+        work = work.withColumns({
+            "class_prob": F.when(candidate, F.array_max("__special")).otherwise(F.col("class_prob")),
+            "class_id": F.when(candidate, C.class_of(F.col("__special"), specialist.class_ids)).otherwise(F.col("class_id")),
+        }).drop("__special")
     work = work.drop("__main").withColumn("class_id", Q.water_rule(F.col("class_id"), F.col("NDWI")))
     if not debug:
         work = work.select("scene_id", "row", "col", "valid", "class_id", "class_prob", "NDVI", "SPC")

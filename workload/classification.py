@@ -37,7 +37,7 @@ _SCORED = [
 
 def _scored(spark, folder):
     pixels = D.scene_pixels(spark, folder)
-    work = with_model_probabilities(X.with_scene_indices(pixels), _MODEL, "__main")
+    work = with_model_probabilities(X.with_scene_indices(pixels), {"__main": _MODEL})
     return work.withColumns({"class_id": C.class_of(F.col("__main"), _MODEL.class_ids), "class_prob": F.array_max("__main")})
 
 
@@ -45,7 +45,7 @@ def _scored(spark, folder):
 def specialist_override(spark, folder):
     main = _scored(spark, folder).drop("__main")
     candidates = main.where(Q.is_specialist_candidate(F.col("class_id")))
-    scored = with_model_probabilities(candidates, _SPECIAL, "__special")
+    scored = with_model_probabilities(candidates, {"__special": _SPECIAL})
     refined = scored.select("id", C.class_of(F.col("__special"), _SPECIAL.class_ids).alias("class_id"), F.array_max("__special").alias("class_prob"))
     return rounded(J.override_predictions(main.select("id", "class_id", "class_prob"), refined, ["id"], ["class_id", "class_prob"]))
 
