@@ -14,15 +14,12 @@ STATUS_FOLDER = r"(?i)[/\\](Done|Failed)[/\\]"
 
 
 def base_name(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/\\]*)[/\\]*$", 1)
+    return F.substring_index(F.rtrim(F.translate(path, "\\", "/"), F.lit("/")), "/", -1)
 
 
 def scene_stem(path: Column) -> Column:
     """File or folder name without .zip, then .tif/.tiff, then .SAFE."""
-    name = F.trim(base_name(path))
-    for suffix in (r"(?i)\.zip$", r"(?i)\.tiff?$", r"(?i)\.safe$"):
-        name = F.regexp_replace(name, suffix, "")
-    return name
+    return F.regexp_replace(F.trim(base_name(path)), r"(?i)(\.safe)?(\.tiff?)?(\.zip)?$", "")
 
 
 def is_scene_id(scene_id: Column) -> Column:

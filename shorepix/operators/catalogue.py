@@ -23,8 +23,9 @@ def format_rank(fmt: Column) -> Column:
 
 def file_format(path: Column) -> Column:
     """SAFE, TIFF or ZIP from the end of a path; NULL for other files."""
-    return (F.when(path.rlike(r"(?i)\.safe/?$"), "SAFE").when(path.rlike(r"(?i)\.tiff?$"), "TIFF")
-            .when(path.rlike(r"(?i)\.zip$"), "ZIP"))
+    end = F.lower(F.right(F.rtrim(path, F.lit("/")), F.lit(5)))
+    return (F.when(end == ".safe", "SAFE").when(end.endswith(".tif") | (end == ".tiff"), "TIFF")
+            .when(end.endswith(".zip"), "ZIP"))
 
 
 def in_status_folder(path: Column) -> Column:
@@ -87,9 +88,11 @@ def catalogue_order(scenes: DataFrame) -> DataFrame:
 
 
 def _against_kept(records: DataFrame) -> DataFrame:
-    kept = preferred_scenes(records).select(
+    best = preferred_scenes(records)
+    kept = best.select(
         "scene_key", F.col("scene_id").alias("kept_id"), F.col("path").alias("kept_path"), F.col("format").alias("kept_format"))
-    return salted_lookup(records.withColumn("scene_key", F.upper("scene_id")), kept, ["scene_key"])
+    counts = best.select("scene_key", F.col("copies").alias("__n"))
+    return salted_lookup(records.withColumn("scene_key", F.upper("scene_id")), kept, ["scene_key"], counts=counts)
 
 
 def duplicate_groups(records: DataFrame) -> DataFrame:

@@ -40,19 +40,23 @@ def broadcast_if_small(table: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) ->
 
 
 def salted_lookup(big: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "inner",
-                  salts: int = 32) -> DataFrame:
+                  salts: int = 32, counts: DataFrame | None = None) -> DataFrame:
     """Join ``big`` with a table that has one row per key, spreading hot keys over ``salts`` tasks.
 
-    One pass over the key columns counts rows per key (combined before the shuffle). The
-    few keys above 1/1000 of all rows get ``salts`` copies on the small side and a random
-    salt on the big side; every other key keeps a single copy.
+    One pass over the key columns counts rows per key (combined before the shuffle), unless
+    ``counts`` (keys and __n) gives them. The few keys above 1/1000 of all rows get ``salts`` copies on the small side and a salt from
+    the other columns on the big side; every other key keeps a single copy. The salt is a hash
+    and no random number, so a task that is run again after a lost executor sends every row to
+    the same place.
     """
     keys = list(keys)
-    counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    if counts is None:
+        counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     total = counts.agg(F.sum("__n")).scalar()
     hot = F.broadcast(counts.where(F.col("__n") * HOT_SHARE > total).select(*keys, F.lit(True).alias("__hot")))
     is_hot = F.col("__hot").isNotNull()
-    spread = F.when(is_hot, F.floor(F.rand(17) * salts).cast("int")).otherwise(0)
+    others = [F.col(f"`{f.name}`") for f in big.schema.fields if f.name not in keys and f.dataType.typeName() != "map"]
+    spread = F.when(is_hot, F.pmod(F.xxhash64(*others or [F.lit(0)]), F.lit(salts)).cast("int")).otherwise(0)
     copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     left = big.join(hot, keys, "left").withColumn("__salt", spread).drop("__hot")
     right = per_key.join(hot, keys, "left").withColumn("__salt", F.explode(copies)).drop("__hot")
