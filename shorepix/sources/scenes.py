@@ -7,7 +7,7 @@ import zipfile
 from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,15 +60,18 @@ def archive_members(spark: SparkSession, folder: str, trust_names: bool = True)
         except (zipfile.BadZipFile, OSError):
             return []
 
-    def open_mounted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def member_batch(path: str, source) -> pa.RecordBatch:
+        members = names_of(source)
+        return pa.record_batch([pa.array([path] * len(members), pa.string()), pa.array(members, pa.string())], ["path", "member"])
+
+    def open_mounted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch["path"]:
-                members = names_of(unquote(urlparse(path).path))
-                yield pd.DataFrame({"path": path, "member": members}, columns=["path", "member"])
+            for path in batch.column("path").to_pylist():
+                yield member_batch(path, unquote(urlparse(path).path))
 
-    def open_content(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def open_content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                yield pd.DataFrame({"path": path, "member": names_of(io.BytesIO(content))}, columns=["path", "member"])
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                yield member_batch(path, io.BytesIO(content.as_py()))
 
-    return mounted.mapInPandas(open_mounted, _MEMBERS).unionByName(remote.mapInPandas(open_content, _MEMBERS))
+    return mounted.mapInArrow(open_mounted, _MEMBERS).unionByName(remote.mapInArrow(open_content, _MEMBERS))
