@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .lookup import attach
+
 HASH_BUCKETS = 1 << 16
 
 
@@ -84,8 +86,8 @@ def _split(df: DataFrame, group: list[str], order: Column, bucket: Column, wante
              F.min_by(F.col("__wanted") - F.col("__upto") + F.col("__n"), "__bucket").alias("__rest"))
     )
     if group:
-        # One row per group of an already counted table; the optimizer sees its size.
-        flagged = keyed.join(cut, group)
+        # One row per group: broadcast behind a size check, so that the rows are not shuffled.
+        flagged = attach(keyed, cut, group, "inner")
     else:
         one = cut.select(F.struct("__cut", "__rest").alias("s")).scalar()
         flagged = keyed.withColumn("__s", one).select(

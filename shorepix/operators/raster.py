@@ -64,23 +64,28 @@ def bands_to_wide(df: DataFrame, bands: Sequence[str], keys: Sequence[str] = PIX
     ])
 
 
-def resample_nearest(fine: DataFrame, coarse: DataFrame, factor: int, clamp: bool = True) -> DataFrame:
+def grid_extent(pixels: DataFrame) -> DataFrame:
+    """First and last row and column per scene."""
+    return pixels.groupBy("scene_id").agg(F.min("row").alias("__r0"), F.max("row").alias("__r1"),
+                                          F.min("col").alias("__c0"), F.max("col").alias("__c1"))
+
+
+def resample_nearest(fine: DataFrame, coarse: DataFrame, factor: int, extent: DataFrame | None = None) -> DataFrame:
     """Give each fine pixel the values of the nearest coarse pixel of its scene.
 
     Both grids share their upper left corner and the coarse side is ``factor`` times the
     fine side, so the nearest centre is a floor division; beyond the coarse grid the edge
-    pixel is used. That turns the nearest-neighbour search into an equi-join.
+    pixel is used. That turns the nearest-neighbour search into an equi-join. ``extent`` (see
+    :func:`grid_extent`) saves a pass over ``coarse`` when it is known from the native bands.
     """
     extra = [name for name in coarse.columns if name not in PIXEL]
-    row, col = F.floor(F.col("row") / factor).cast("int"), F.floor(F.col("col") / factor).cast("int")
-    left = fine
-    if clamp:
-        extent = coarse.groupBy("scene_id").agg(
-            F.min("row").alias("__r0"), F.max("row").alias("__r1"),
-            F.min("col").alias("__c0"), F.max("col").alias("__c1"))
-        left = attach(left, extent, ["scene_id"], "left")
-        row = F.when(F.col("__r0").isNotNull(), F.least(F.greatest(row, F.col("__r0")), F.col("__r1")))
-        col = F.when(F.col("__c0").isNotNull(), F.least(F.greatest(col, F.col("__c0")), F.col("__c1")))
+    left = attach(fine, grid_extent(coarse) if extent is None else extent, ["scene_id"], "left")
+
+    def nearest(name: str, first: str, last: str) -> Column:
+        place = F.floor(F.col(name) / factor).cast("int")
+        return F.when(F.col(first).isNotNull(), F.least(F.greatest(place, F.col(first)), F.col(last)))
+
+    row, col = nearest("row", "__r0", "__r1"), nearest("col", "__c0", "__c1")
     left = left.withColumns({"__row": row, "__col": col}).drop("__r0", "__r1", "__c0", "__c1")
     right = coarse.select("scene_id", F.col("row").alias("__row"), F.col("col").alias("__col"), *extra)
     return left.join(right, ["scene_id", "__row", "__col"], "left").select(*fine.columns, *extra)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from . import features as X
+from .lookup import attach
 
 DENSE, SEQUENCE = "tabular_dense", "spectral_1d_cnn"  # fixed family names
 
@@ -93,4 +94,4 @@ def with_specialist(models: DataFrame) -> DataFrame:
     role = F.col("specialist_role") == S.SPECIALIST_ROLE
     specialists = models.where(role).groupBy("folder").agg(F.min("model_name").alias("specialist_name"))
     primary = models.where(~F.coalesce(role, F.lit(False)))
-    return primary.join(specialists, "folder", "left")
+    return attach(primary, specialists, ["folder"])

@@ -34,7 +34,9 @@ def assemble_scene(bands: DataFrame, required: Sequence[str] = S.STACK_BANDS, ma
     grid = G.bands_to_wide(bands, by_side[10])
     for side in (20, 60):
         if by_side[side]:
-            grid = G.resample_nearest(grid, G.bands_to_wide(bands, by_side[side]), side // 10)
+            # The extent needs the positions of one native band only.
+            extent = G.grid_extent(bands.where(F.col("band") == by_side[side][0]))
+            grid = G.resample_nearest(grid, G.bands_to_wide(bands, by_side[side]), side // 10, extent)
     names = [S.raw_name(band) for band in required]
     grid = grid.withColumn("baseline", N.processing_baseline(F.col("scene_id")))
     grid = G.apply_scl(G.remove_offset(grid, names), names).drop("baseline")

@@ -37,7 +37,7 @@ def test_validation_table(spark, tmp_path):
     path.write_text("Label_Char,NDVI\n")
     with pytest.raises(ValueError, match="empty"):
         T.read_validation(spark, str(path))
-    assert T.report_names("/d/My Data.csv", "/m/ICE.v1.bin")[1] == "My_Data__ICE.v1__metrics.csv"
+    assert T.report_names("/d/My Data.csv", "/m/Main.v1.bin")[1] == "My_Data__Main.v1__metrics.csv"
 
 
 def test_band_table_filters_reach_the_scan(spark, tmp_path):

@@ -10,6 +10,7 @@ from shorepix.operators import mask as M
 from shorepix.operators import ranking as K
 from shorepix.operators import raster as G
 from shorepix.operators.lookup import attach
+from shorepix.plans.classify import assemble_scene
 from shorepix.plans.matching import match_images
 
 from . import derive as D
@@ -45,6 +46,31 @@ def resample_nearest(spark, folder):
     return G.resample_nearest(grid.select(*G.PIXEL, "class_id"), coarse, 2)
 
 
+# Scene assembly: 10 m bands everywhere, 20 m and 60 m bands on their smaller grids.
+_ASM_ID = "'S2A_L2A_' || CAST(id // 10000 AS VARCHAR) || '_N0' || CAST(300 + id // 10000 * 150 AS VARCHAR)"
+
+
+@query("scene_assembly", with_ctes([GRID, ("g", f"SELECT *, {_ASM_ID} AS sid, CASE WHEN 300 + id // 10000 * 150 > 399 THEN 1000 ELSE 0 END AS off FROM grid"),
+                                    ("g20", 'SELECT sid, "row", col, o_totalprice AS b05, CAST(class_id + 3 AS DOUBLE) AS scl FROM g WHERE "row" < 50 AND col < 50'),
+                                    ("g60", 'SELECT sid, "row", col, CAST(o_custkey AS DOUBLE) AS b01 FROM g WHERE "row" < 16 AND col < 16'),
+                                    ("e", 'SELECT sid, max("row") AS r1 FROM g20 GROUP BY sid'), ("e60", 'SELECT sid, max("row") AS r1 FROM g60 GROUP BY sid'),
+                                    ("j", """SELECT g.sid, g."row", g.col, g.o_totalprice - off AS b02, CASE WHEN valid THEN o_custkey - off END AS b08, b05 - off AS b05, b01 - off AS b01, scl
+ FROM g LEFT JOIN e ON e.sid = g.sid LEFT JOIN e60 ON e60.sid = g.sid LEFT JOIN g20 ON g20.sid = g.sid AND g20."row" = least(g."row" // 2, e.r1) AND g20.col = g.col // 2
+ LEFT JOIN g60 ON g60.sid = g.sid AND g60."row" = least(g."row" // 6, e60.r1) AND g60.col = least(g.col // 6, 15)""")],
+    """SELECT sid AS scene_id, "row", col, """ + ", ".join(f'CASE WHEN scl = 11 THEN NULL ELSE CAST({b.lower()} AS DOUBLE) END AS "{S.raw_name(b)}"' for b in ("B02", "B08", "B05", "B01"))
+    + ", CASE WHEN scl = 11 THEN NULL ELSE scl END AS scl FROM j"))
+def scene_assembly(spark, folder):
+    number = F.floor(F.col("id") / 10000)
+    scene = F.concat(F.lit("S2A_L2A_"), number.cast("string"), F.lit("_N0"), (300 + number * 150).cast("string"))
+    value = lambda band, column: F.struct(F.lit(band).alias("band"), column.cast("double").alias("value"))
+    on_20, on_60 = (F.col("row") < 50) & (F.col("col") < 50), (F.col("row") < 16) & (F.col("col") < 16)
+    native = F.array(value("B02", F.col("o_totalprice")), value("B08", F.when(F.col("valid"), F.col("o_custkey"))),
+                     F.when(on_20, value("B05", F.col("o_totalprice"))), F.when(on_20, value("SCL", F.col("class_id") + 3)),
+                     F.when(on_60, value("B01", F.col("o_custkey"))))
+    bands = D.grid(spark, folder).select(scene.alias("scene_id"), "row", "col", F.explode(native).alias("b")).where(F.col("b").isNotNull())
+    return assemble_scene(bands.select("scene_id", "row", "col", "b.*"), ("B02", "B08", "B05", "B01"))
+
+
 # Masks: one diamond with a hole per supplier, placed in the scene of its key.
 _RING = ((-1, 0), (0, 1), (1, 0), (0, -1))
 _CENTRE = "(s_suppkey * 370) % 1000 + 5.3 AS cx, 1000.0 - (s_suppkey * 610) % 1000 - 4.1 AS cy, 25.0 + abs(s_acctbal) / 100 AS r"
