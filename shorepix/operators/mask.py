@@ -72,12 +72,12 @@ def bounds(edge_table: DataFrame, keys: Sequence[str] = ("mask_id",)) -> DataFra
 
 
 def row_intervals(edge_table: DataFrame, scenes: DataFrame) -> DataFrame:
-    """Intervals of x inside the mask per (scene_id, row).
+    """Intervals of x inside the mask per (scene_id, row), with origin_x and size of the scene.
 
     ``scenes`` holds scene_id, mask_id, origin_x, origin_y (upper left corner), size (pixel
     side) and n_rows. A geometry counts by the even-odd rule; geometries of one mask add up.
     """
-    placed = edge_table.join(scenes.select("scene_id", "mask_id", "origin_y", "size", "n_rows"), "mask_id")
+    placed = edge_table.join(scenes.select("scene_id", "mask_id", "origin_x", "origin_y", "size", "n_rows"), "mask_id")
     low, high = F.least("y0", "y1"), F.greatest("y0", "y1")
     # Row centre lines with low <= y < high.
     first = F.floor((F.col("origin_y") - high) / F.col("size") - 0.5) + 1
@@ -91,19 +91,20 @@ def row_intervals(edge_table: DataFrame, scenes: DataFrame) -> DataFrame:
         .withColumn("at", F.col("x0") + (line - F.col("y0")) * (F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0")))
     )
     # A row of a geometry has as many crossings as its outline has edges there.
-    per_geometry = crossings.groupBy("scene_id", "row", "geom_id").agg(F.sort_array(F.collect_list("at")).alias("xs"))
+    per_geometry = crossings.groupBy("scene_id", "row", "geom_id").agg(
+        F.sort_array(F.collect_list("at")).alias("xs"), F.min("origin_x").alias("origin_x"), F.min("size").alias("size"))
     pairs = F.transform(
         F.sequence(F.lit(0), F.floor(F.size("xs") / 2).cast("int") - 1),
         lambda i: F.struct(F.get("xs", i * 2).alias("lo"), F.get("xs", i * 2 + 1).alias("hi")))
-    intervals = per_geometry.where(F.size("xs") >= 2).select("scene_id", "row", pairs.alias("pairs"))
-    return intervals.groupBy("scene_id", "row").agg(F.flatten(F.collect_list("pairs")).alias("inside"))
+    intervals = per_geometry.where(F.size("xs") >= 2).select("scene_id", "row", "origin_x", "size", pairs.alias("pairs"))
+    return intervals.groupBy("scene_id", "row").agg(
+        F.flatten(F.collect_list("pairs")).alias("inside"), F.min("origin_x").alias("origin_x"), F.min("size").alias("size"))
 
 
 def mark_study_site(pixels: DataFrame, edge_table: DataFrame, scenes: DataFrame) -> DataFrame:
     """Add ``study_site``: TRUE where the pixel centre lies *outside* the mask (the stored flag is the mask)."""
     centre = F.col("__origin_x") + (F.col("col") + 0.5) * F.col("__size")
-    lines = row_intervals(edge_table, scenes).join(
-        scenes.select("scene_id", F.col("origin_x").alias("__origin_x"), F.col("size").alias("__size")), "scene_id")
+    lines = row_intervals(edge_table, scenes).withColumnsRenamed({"origin_x": "__origin_x", "size": "__size"})
     hit = F.exists("inside", lambda pair: (centre >= pair["lo"]) & (centre < pair["hi"]))
     return (
         pixels.join(lines, ["scene_id", "row"], "left")

@@ -66,29 +66,57 @@ def bands_to_wide(df: DataFrame, bands: Sequence[str], keys: Sequence[str] = PIX
 
 def grid_extent(pixels: DataFrame) -> DataFrame:
     """First and last row and column per scene."""
-    return pixels.groupBy("scene_id").agg(F.min("row").alias("__r0"), F.max("row").alias("__r1"),
-                                          F.min("col").alias("__c0"), F.max("col").alias("__c1"))
+    return pixels.groupBy("scene_id").agg(F.min("row").alias("r0"), F.max("row").alias("r1"),
+                                          F.min("col").alias("c0"), F.max("col").alias("c1"))
 
 
-def resample_nearest(fine: DataFrame, coarse: DataFrame, factor: int, extent: DataFrame | None = None) -> DataFrame:
-    """Give each fine pixel the values of the nearest coarse pixel of its scene.
+def extend_edges(coarse: DataFrame, coarse_extent: DataFrame, fine_extent: DataFrame, factor: int) -> DataFrame:
+    """Repeat the edge pixels of a coarse grid outwards until it covers the fine grid of its scene.
 
-    Both grids share their upper left corner and the coarse side is ``factor`` times the
-    fine side, so the nearest centre is a floor division; beyond the coarse grid the edge
-    pixel is used. That turns the nearest-neighbour search into an equi-join. ``extent`` (see
-    :func:`grid_extent`) saves a pass over ``coarse`` when it is known from the native bands.
+    Only edge pixels are copied, and only where the coarse grid is the smaller one.
     """
-    extra = [name for name in coarse.columns if name not in PIXEL]
-    left = attach(fine, grid_extent(coarse) if extent is None else extent, ["scene_id"], "left")
+    both = coarse_extent.join(fine_extent.withColumnsRenamed({n: f"fine_{n}" for n in ("r0", "r1", "c0", "c1")}), "scene_id")
+    joined = attach(coarse, both, ["scene_id"], "left")
+
+    def places(name: str, first: str, last: str) -> Column:
+        place = F.col(name)
+        low = F.when(place == F.col(first), F.least(place, F.floor(F.col(f"fine_{first}") / factor))).otherwise(place)
+        high = F.when(place == F.col(last), F.greatest(place, F.floor(F.col(f"fine_{last}") / factor))).otherwise(place)
+        return F.sequence(F.coalesce(low, place).cast("int"), F.coalesce(high, place).cast("int"))
+
+    spread = joined.withColumn("row", F.explode(places("row", "r0", "r1"))).withColumn("col", F.explode(places("col", "c0", "c1")))
+    return spread.select(*coarse.columns)
+
 
-    def nearest(name: str, first: str, last: str) -> Column:
-        place = F.floor(F.col(name) / factor).cast("int")
-        return F.when(F.col(first).isNotNull(), F.least(F.greatest(place, F.col(first)), F.col(last)))
+def join_coarse(fine: DataFrame, coarse: DataFrame, factor: int, block: Sequence[str] = ()) -> DataFrame:
+    """Give fine pixels the values of the coarse pixel that holds them.
 
-    row, col = nearest("row", "__r0", "__r1"), nearest("col", "__c0", "__c1")
-    left = left.withColumns({"__row": row, "__col": col}).drop("__r0", "__r1", "__c0", "__c1")
-    right = coarse.select("scene_id", F.col("row").alias("__row"), F.col("col").alias("__col"), *extra)
-    return left.join(right, ["scene_id", "__row", "__col"], "left").select(*fine.columns, *extra)
+    With ``block`` columns, common to both sides and to their partitioning, the join runs on
+    the block alone, so that neither side is shuffled again; the few coarse pixels of a block
+    (nine at 20 m, one at 60 m) are told apart by a condition.
+    """
+    extra = [name for name in coarse.columns if name not in (*PIXEL, *block)]
+    place = {name: F.floor(F.col(name) / factor).cast("int") for name in ("row", "col")}
+    keys = [F.col("scene_id").alias("__scene"), *[F.col(name).alias(f"__{name}") for name in (*block, "row", "col")]]
+    right = coarse.select(*keys, *extra)
+    same = F.col("scene_id") == F.col("__scene")
+    for name in block:
+        same = same & (F.col(name) == F.col(f"__{name}"))
+    for name, own in place.items():
+        # A difference, not an equality, is no join key for the planner.
+        same = same & ((own - F.col(f"__{name}") == 0) if block else (own == F.col(f"__{name}")))
+    return fine.join(right, same, "left").select(*fine.columns, *extra)
+
+
+def resample_nearest(fine: DataFrame, coarse: DataFrame, factor: int) -> DataFrame:
+    """Give each fine pixel the values of the nearest coarse pixel of its scene.
+
+    Both grids share their upper left corner and the coarse side is ``factor`` times the
+    fine side, so the nearest centre is a floor division; beyond the coarse grid its edge
+    pixels are repeated. That turns the nearest-neighbour search into an equi-join.
+    """
+    covered = extend_edges(coarse, grid_extent(coarse), grid_extent(fine), factor)
+    return join_coarse(fine, covered, factor)
 
 
 def remove_offset(df: DataFrame, names: Sequence[str], baseline: str = "baseline") -> DataFrame:

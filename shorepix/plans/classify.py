@@ -17,6 +17,7 @@ from ..operators import raster as G
 from ..operators import rules as Q
 from ..operators import scoring as C
 
+BLOCK = ("block_row", "block_col")
 LAYERS = ("out_class", "class_prob", "seagrass_cover", "ndvi")
 
 
@@ -24,19 +25,27 @@ def assemble_scene(bands: DataFrame, required: Sequence[str] = S.STACK_BANDS, ma
                    scenes: DataFrame | None = None) -> DataFrame:
     """10 m pixel table from native band rows (scene_id, band, row, col, x, y, value).
 
-    Crop (where a mask is given), widen each resolution on its own grid, join 20 m and 60 m
-    pixels by floor division, remove the offset, apply the scene classification and the mask.
+    Crop (where a mask is given), shuffle by 60 m block, widen each resolution on its own grid,
+    join 20 m and 60 m pixels by floor division, remove the offset, apply the scene
+    classification and the mask.
     """
     if mask_edges is not None:
         bands = G.crop_to_extents(bands, M.crop_extents(mask_edges, scenes))
-    wanted = [*required, "SCL"]
-    by_side = {side: [band for band in wanted if S.BAND_RESOLUTION[band] == side] for side in (10, 20, 60)}
-    grid = G.bands_to_wide(bands, by_side[10])
-    for side in (20, 60):
-        if by_side[side]:
-            # The extent needs the positions of one native band only.
-            extent = G.grid_extent(bands.where(F.col("band") == by_side[side][0]))
-            grid = G.resample_nearest(grid, G.bands_to_wide(bands, by_side[side]), side // 10, extent)
+    grid, fine_extent = None, G.grid_extent(bands.where(F.col("band") == S.REFERENCE_BAND))
+    for side in (10, 20, 60):
+        members = [band for band in [*required, "SCL"] if S.BAND_RESOLUTION[band] == side]
+        if not members:
+            continue
+        native, factor = bands.where(F.col("band").isin(*members)), side // 10
+        if side > 10:
+            extent = G.grid_extent(bands.where(F.col("band") == members[0]))
+            native = G.extend_edges(native, extent, fine_extent, factor)
+        # Rows of all resolutions meet in their 60 m block: the one shuffle of each serves
+        # both the widening and the joins.
+        blocks = native.withColumns({name: F.floor(F.col(at) * factor / 6).cast("int") for name, at in zip(BLOCK, ("row", "col"))})
+        wide = G.bands_to_wide(blocks.repartition("scene_id", *BLOCK), members, ["scene_id", *BLOCK, "row", "col"])
+        grid = wide if grid is None else G.join_coarse(grid, wide, factor, BLOCK)
+    grid = grid.drop(*BLOCK)
     names = [S.raw_name(band) for band in required]
     grid = grid.withColumn("baseline", N.processing_baseline(F.col("scene_id")))
     grid = G.apply_scl(G.remove_offset(grid, names), names).drop("baseline")
