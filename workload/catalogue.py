@@ -120,11 +120,11 @@ def missing_bands(spark, folder):
 
 _OUT = "scene_id || '_classified_main-v1.3.tif'"
 _MODEL = "/models/main v1.3.bin"
-_DONE = ("outputs", f"SELECT DISTINCT scene_id || '_classified_main-v1.3.tif' AS output_name FROM files WHERE user_id < 40")
+_DONE = ("outputs", f"SELECT DISTINCT scene_id || '_classified_main-v1.3.tif' AS output_name FROM files WHERE value < 15")
 
 
 def _outputs(spark, folder):
-    return D.listing(spark, folder).where("user_id < 40").select(N.output_name(F.col("scene_id"), F.lit(_MODEL)).alias("output_name"))
+    return D.listing(spark, folder).where("value < 15").select(N.output_name(F.col("scene_id"), F.lit(_MODEL)).alias("output_name"))
 
 
 def _named(spark, folder):

@@ -11,6 +11,7 @@ from shorepix.operators import labels as L
 from shorepix.operators import metrics as E
 from shorepix.operators import ranking as K
 from shorepix.plans.train import specialist_training_table
+from shorepix.plans.validate import evaluate
 
 from . import derive as D
 from . import query, rounded, table, with_ctes
@@ -139,6 +140,13 @@ def class_metrics(spark, folder):
     return rounded(E.metrics_table(_counts(spark, folder), D.VOCABULARY))
 
 
+@query("validation_report", with_ctes(COUNTS, _PER_CLASS + " UNION ALL " + _OVERALL))
+def validation_report(spark, folder):
+    """Complete validation run: every label maps to the dataset label of its concept, which is itself here."""
+    rows = D.predictions(spark, folder).withColumn("row_id", F.col("event_id"))
+    return rounded(evaluate(rows, "true_label", "pred_label", D.VOCABULARY).metrics)
+
+
 @query("overall_accuracy", with_ctes(COUNTS, _OVERALL))
 def overall_accuracy(spark, folder):
     return rounded(E.overall_accuracy(_counts(spark, folder)).drop("position"))

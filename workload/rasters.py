@@ -140,7 +140,7 @@ def extent_overlap(spark, folder):
 
 @query("extent_intersection", with_ctes([_JOBS_SQL, ("cut", """SELECT o_orderkey, greatest(m_xmin - 60, s_xmin) AS xmin, greatest(m_ymin - 60, s_ymin) AS ymin,
  least(m_xmax + 60, s_xmax) AS xmax, least(m_ymax + 60, s_ymax) AS ymax FROM jobs""")],
-    "SELECT o_orderkey, " + ", ".join(f"CASE WHEN xmin < xmax AND ymin < ymax THEN {c} END AS {c}" for c in ("xmin", "ymin", "xmax", "ymax")) + " FROM cut"))
+    "SELECT o_orderkey, " + ", ".join(f"CASE WHEN xmin < xmax AND ymin < ymax THEN CAST({c} AS DOUBLE) END AS {c}" for c in ("xmin", "ymin", "xmax", "ymax")) + " FROM cut"))
 def extent_intersection(spark, folder):
     cut = X.intersection(X.grown(X.box("m_")), X.box("s_"))
     return _jobs(spark, folder).withColumn("cut", cut).select("o_orderkey", "cut.xmin", "cut.ymin", "cut.xmax", "cut.ymax")

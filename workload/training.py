@@ -8,10 +8,9 @@ from shorepix import schema as S
 from shorepix.operators import features as X
 from shorepix.operators import scoring as C
 from shorepix.plans import train as T
-from shorepix.plans.validate import evaluate
 
 from . import derive as D
-from . import query, rounded
+from . import query
 from .labels import _special_source
 
 
@@ -35,10 +34,3 @@ def specialist_training(spark, folder):
     scored = model.score(T.specialist_training_table(source))
     predicted = C.label_of(F.col("probs"), model.vocabulary)
     return scored.groupBy("True_Class", predicted.alias("pred_label")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("validation_report")
-def validation_report(spark, folder):
-    """Label mapping, metrics and class order of a complete validation run."""
-    rows = D.predictions(spark, folder).withColumn("row_id", F.col("event_id"))
-    return rounded(evaluate(rows, "true_label", "pred_label", D.VOCABULARY).metrics)
