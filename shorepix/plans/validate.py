@@ -12,7 +12,7 @@ from ..operators import features as X
 from ..operators import labels as L
 from ..operators import metrics as E
 from ..operators import scoring as C
-from ..operators.lookup import local_if_small, small_table
+from ..operators.lookup import attach, local_if_small, small_table
 from ..session import cut_lineage
 
 MULTICLASS, PRESENCE_ABSENCE = "multiclass", "presence_absence"
@@ -106,9 +106,16 @@ def evaluate(df: DataFrame, label: str, prediction: str, vocabulary: list[str],
     mode = resolve_validation_mode(mode)
     spark = df.sparkSession
     space, _ = local_if_small(L.label_space(df, label, "row_id"))
-    mapped = L.attach_mapped(L.attach_mapped(df, label, space, "__true"), prediction, space, "__pred")
-    words = small_table(spark, [(word,) for word in dict.fromkeys([*vocabulary, target])], "label string")
-    hints = {row["label"]: row["mapped"] for row in L.map_labels(words, space).collect()}
+    keyed = df.withColumns({side: F.coalesce(F.col(name).cast("string"), F.lit(S.MISSING_LABEL))
+                            for side, name in (("__t", label), ("__p", prediction))})
+    words = list(dict.fromkeys([*vocabulary, target]))
+    # One mapping for all labels in sight: rows, vocabulary, target and label space.
+    seen = keyed.select(F.explode(F.array("__t", "__p")).alias("label")).unionByName(
+        small_table(spark, [(word,) for word in words], "label string")).unionByName(space.select("label"))
+    mapping, _ = local_if_small(L.map_labels(seen.distinct(), space).select("label", "mapped"))
+    side = lambda key, name: mapping.select(F.col("label").alias(key), F.col("mapped").alias(name))
+    mapped = attach(attach(keyed, side("__t", "__true"), ["__t"]), side("__p", "__pred"), ["__p"]).drop("__t", "__p")
+    hints = {row["label"]: row["mapped"] for row in mapping.where(F.col("label").isin(*words)).collect()}
     if mode == PRESENCE_ABSENCE:
         goal = hints[target]
         mapped = mapped.withColumns({name: E.presence_absence(F.col(name), goal) for name in ("__true", "__pred")})
@@ -120,9 +127,8 @@ def evaluate(df: DataFrame, label: str, prediction: str, vocabulary: list[str],
         classes = order
     else:
         # Distinct dataset labels, in first-seen order of the label they map to.
-        seen = L.map_labels(space.select("label"), space).join(space, "label").groupBy("mapped").agg(
-            F.min("first_position").alias("first_position"))
-        classes = [row["mapped"] for row in seen.where(F.col("mapped") != S.MISSING_LABEL).orderBy("first_position").collect()]
+        first = mapping.join(space, "label").groupBy("mapped").agg(F.min("first_position").alias("first_position"))
+        classes = [row["mapped"] for row in first.where(F.col("mapped") != S.MISSING_LABEL).orderBy("first_position").collect()]
     if not classes:
         raise ValueError("No labelled classes were found in the validation dataset.")
     predictions = mapped.withColumn(label, F.col("__true")).withColumn("Predicted_Class", F.col("__pred")).drop("__true", "__pred")
