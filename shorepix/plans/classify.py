@@ -71,7 +71,7 @@ def with_model_probabilities(pixels: DataFrame, models: dict[str, C.DenseModel |
     for target, model in models.items():
         if isinstance(model, C.SequenceModel):
             flat = [name for group in model.groups for name in group]
-            kept = work.select(F.struct(*work.columns).alias("__pixel"), *[c for c in S.clean_names(map(S.raw_of, flat))])
+            kept = work.select(F.struct(*work.columns).alias("__pixel"), *S.clean_names(map(S.raw_of, flat)))
             scored = C.score_sequence(X.sequence_table(kept, features=flat, groups=model.groups,
                                                        context="Apply pixel table", carry=["__pixel"]), model, target)
             work = scored.select("__pixel.*", target)

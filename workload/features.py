@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shorepix import schema as S
-from shorepix.functions import reflectance as R
 from shorepix.operators import features as X
 from shorepix.operators import raster as G
 from shorepix.operators import registry as Y
