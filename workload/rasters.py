@@ -47,10 +47,10 @@ def resample_nearest(spark, folder):
 
 
 # Scene assembly: 10 m bands everywhere, 20 m and 60 m bands on their smaller grids.
-_ASM_ID = "'S2A_L2A_' || CAST(id // 10000 AS VARCHAR) || '_N0' || CAST(300 + id // 10000 * 150 AS VARCHAR)"
+_ASM_ID = "'S2A_L2A_' || CAST(id // 10000 AS VARCHAR) || '_N0' || CAST(300 + id // 10000 * 150 % 400 AS VARCHAR)"
 
 
-@query("scene_assembly", with_ctes([GRID, ("g", f"SELECT *, {_ASM_ID} AS sid, CASE WHEN 300 + id // 10000 * 150 > 399 THEN 1000 ELSE 0 END AS off FROM grid"),
+@query("scene_assembly", with_ctes([GRID, ("g", f"SELECT *, {_ASM_ID} AS sid, CASE WHEN 300 + id // 10000 * 150 % 400 > 399 THEN 1000 ELSE 0 END AS off FROM grid"),
                                     ("g20", 'SELECT sid, "row", col, o_totalprice AS b05, CAST(class_id + 3 AS DOUBLE) AS scl FROM g WHERE "row" < 50 AND col < 50'),
                                     ("g60", 'SELECT sid, "row", col, CAST(o_custkey AS DOUBLE) AS b01 FROM g WHERE "row" < 16 AND col < 16'),
                                     ("e", 'SELECT sid, max("row") AS r1 FROM g20 GROUP BY sid'), ("e60", 'SELECT sid, max("row") AS r1 FROM g60 GROUP BY sid'),
@@ -61,7 +61,7 @@ _ASM_ID = "'S2A_L2A_' || CAST(id // 10000 AS VARCHAR) || '_N0' || CAST(300 + id
     + ", CASE WHEN scl = 11 THEN NULL ELSE scl END AS scl FROM j"))
 def scene_assembly(spark, folder):
     number = F.floor(F.col("id") / 10000)
-    scene = F.concat(F.lit("S2A_L2A_"), number.cast("string"), F.lit("_N0"), (300 + number * 150).cast("string"))
+    scene = F.concat(F.lit("S2A_L2A_"), number.cast("string"), F.lit("_N0"), (300 + number * 150 % 400).cast("string"))
     value = lambda band, column: F.struct(F.lit(band).alias("band"), column.cast("double").alias("value"))
     on_20, on_60 = (F.col("row") < 50) & (F.col("col") < 50), (F.col("row") < 16) & (F.col("col") < 16)
     native = F.array(value("B02", F.col("o_totalprice")), value("B08", F.when(F.col("valid"), F.col("o_custkey"))),
