@@ -41,7 +41,7 @@ def section_token_counts(spark, folder):
 @query("op5_token_files")
 def token_id_files(spark, folder):
     manifest = token_files.write_token_files(table(spark, folder, "documents"))
-    return token_files.read_token_files(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return token_files.read_token_files(manifest, with_ids=False)
 
 
 @query("op1_hypergeometric_sharding")

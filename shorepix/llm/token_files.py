@@ -182,9 +182,9 @@ def write_token_files(documents: DataFrame, folder: str | None = None, tokenizer
     return spark.read.schema(written.schema).parquet(manifest)
 
 
-def read_token_files(manifest: DataFrame, wanted: list[int] | None = None) -> DataFrame:
-    """One row per document: doc_id, start (ids of all documents before it), n_tokens, ids (binary, little-endian
-    uint32), ids_crc32 (unsigned, of these bytes).
+def read_token_files(manifest: DataFrame, wanted: list[int] | None = None, with_ids: bool = True) -> DataFrame:
+    """One row per document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (unsigned, of the ids
+    as little-endian uint32) and, unless left out, ids (these bytes).
 
     Every file is read at its end first; with ``wanted`` only the frames of those documents are decompressed. Files are
     spread over the tasks. Each frame is checked against its checksum; a damaged one raises.
@@ -199,19 +199,19 @@ def read_token_files(manifest: DataFrame, wanted: list[int] | None = None) -> Da
         for batch in batches:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 system, name = _filesystem(path)
-                rows = {"doc_id": [], "start": [], "n_tokens": [], "ids": [], "ids_crc32": []}
+                rows = {"doc_id": [], "start": [], "n_tokens": [], "ids_crc32": []} | ({"ids": []} if with_ids else {})
                 held = 0
                 with system.open_input_file(name) as stream:
                     for doc_id, start, ids in Reader(stream).documents(wanted):
                         raw = ids.tobytes()
-                        held += len(raw)
-                        for key, value in zip(rows, (doc_id, base + start, len(ids), raw, zlib.crc32(raw)), strict=True):
+                        held += len(raw) * with_ids
+                        for key, value in zip(rows, (doc_id, base + start, len(ids), zlib.crc32(raw), raw), strict=False):
                             rows[key].append(value)
-                        if held > 16_000_000:
+                        if held > 4_000_000:
                             yield pa.RecordBatch.from_pydict(rows)
                             rows, held = {key: [] for key in rows}, 0
                 if rows["doc_id"]:
                     yield pa.RecordBatch.from_pydict(rows)
 
     return (files.select("path", "base").repartition(parts, "path")
-            .mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long"))
+            .mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids))

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 
 END_ID = 1
-#: Pieces a worker remembers before it starts anew; about 300 MB with their words.
+#: Pieces a worker remembers before it forgets those it has seen least; about 300 MB with their words.
 MEMO_PIECES = 1_000_000
 #: Characters handled at once.
 CHUNK_CHARS = 1_000_000
@@ -100,6 +100,20 @@ class Encoder:
         self.memo, self.words = _Memo(1), _Memo(0)
         self.table, self.word_table = _Ragged(), _Ragged()
         self.table.add(np.ones(1, np.int64), np.array([END_ID]), np.zeros((1, 2), np.int32) if self.spans else None)
+        self.seen = np.zeros(1024, np.int64)
+
+    def _forget(self) -> None:
+        """Keep at most half of the pieces, those seen most often."""
+        seen, least = self.seen[1:len(self.memo) + 1], 2
+        while (seen >= least).sum() > self.memo_pieces // 2:
+            least *= 2
+        rows = np.flatnonzero(seen >= least) + 1
+        pieces = [piece for piece, n in zip(self.memo, seen.tolist(), strict=True) if n >= least]
+        take, count = self.table.take(rows)
+        ids, span = self.table.ids[take], self.table.span[take] if self.spans else None
+        self._reset()
+        self.table.add(count, ids, span)
+        self.memo.update(zip(pieces, range(1, len(pieces) + 1), strict=True))
 
     def _learn(self) -> None:
         parts, width = [], []
@@ -138,7 +152,7 @@ class Encoder:
         if not self.by_word:
             return self._whole(texts)
         if len(self.memo) > self.memo_pieces:
-            self._reset()
+            self._forget()
         rows, sizes, starts = [], [], []
         look = self.memo.__getitem__
         for text in texts:
@@ -151,7 +165,10 @@ class Encoder:
                 starts += [np.cumsum(width) - width, np.array([len(text)])]
         if self.memo.new:
             self._learn()
-        take, count = self.table.take(np.concatenate(rows))
+        rows = np.concatenate(rows)
+        self.seen = _Ragged._room(self.seen, self.table.rows)
+        self.seen[:self.table.rows] += np.bincount(rows, minlength=self.table.rows)
+        take, count = self.table.take(rows)
         per_text = np.diff(np.cumsum(count)[np.cumsum(sizes) - 1], prepend=0)
         spans = self.table.span[take] + np.repeat(np.concatenate(starts), count)[:, None] if self.spans else None
         return self.table.ids[take], per_text, spans
