@@ -11,6 +11,9 @@ nearly all of them go before they leave their task; only the others are joined.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,40 +33,32 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seeds(hashes: str) -> Column:
-    """One struct per word position with the words that the masks need; fields past the end are null."""
-    return F.arrays_zip(*[F.slice(hashes, k + 1, F.greatest(F.size(hashes) - k, F.lit(0))).alias(f"w{k}") for k in range(SPAN)])
-
-
-def _seed(mask: int) -> Column:
-    """The hash of a mask at a position; null if the mask reaches past the end."""
-    parts = [F.col(f"w{k}") for k in MASKS[mask]]
-    return F.when(parts[-1].isNotNull(), F.xxhash64(F.lit(mask), *parts))
+def _seed(mask: int, word) -> Column:
+    """The hash of a mask; ``word(k)`` is the k-th word from its position on. Null if the mask reaches past the end."""
+    return F.when(word(MASKS[mask][-1]).isNotNull(), F.xxhash64(F.lit(mask), *[word(k) for k in MASKS[mask]]))
 
 
-def _bits(seed: Column) -> Column:
-    one = F.lit(1).cast("long")
-    shift = lambda k: F.call_function("shiftleft", one, F.shiftrightunsigned(seed, k).bitwiseAND(F.lit(63).cast("long")).cast("int"))
-    return shift(20).bitwiseOR(shift(28)).bitwiseOR(shift(36))
+def _bit(seed: Column, shift: int = 20) -> Column:
+    return F.shiftrightunsigned(seed, shift).bitwiseAND(F.lit(63).cast("long")).cast("int")
 
 
 def _cell(seed: Column) -> Column:
     return seed.bitwiseAND(F.lit(TABLE_WORDS - 1).cast("long")).cast("int")
 
 
-def _positions(df: DataFrame, keys: list[str], hashes: str) -> DataFrame:
-    """``keys``, ``hashes``, pos (from 0) and w0 .. w7 for every word position."""
-    return (df.select(*keys, hashes, F.posexplode(_seeds(hashes)).alias("pos", "w"))
-            .select(*keys, hashes, "pos", "w.*"))
+def _seed_rows(df: DataFrame, key: str, hashes: str, test=None) -> DataFrame:
+    """``key``, pos (from 0), mask and seed for every word position and every mask whose seed passes ``test``.
 
-
-def _seed_rows(df: DataFrame, kept: list[str | Column], tests: list[Column] | None = None) -> DataFrame:
-    """``kept`` plus mask and seed: a row for each mask that fits at the position (and passes its test)."""
-    seeds = []
-    for mask in range(len(MASKS)):
-        seed = _seed(mask) if tests is None else F.when(tests[mask], _seed(mask))
-        seeds.append(F.struct(F.lit(mask).alias("mask"), seed.alias("seed")))
-    return df.select(*kept, F.inline(F.array(*seeds))).filter(F.col("seed").isNotNull())
+    The words of a mask are fields of the exploded element, so that a row holds these words and not the whole text's.
+    """
+    fields = [F.slice(hashes, k + 1, F.greatest(F.size(hashes) - k, F.lit(0))).alias(f"w{k}") for k in range(SPAN)]
+    words = df.select(key, F.posexplode(F.arrays_zip(*fields)).alias("pos", "w")).select(key, "pos", "w.*")
+    seeds = [_seed(m, lambda k: F.col(f"w{k}")) for m in range(len(MASKS))]
+    if test is not None:
+        seeds = [F.when(test(seed), seed) for seed in seeds]
+        words = words.filter(reduce(or_, [seed.isNotNull() for seed in seeds]))
+    pairs = [F.struct(F.lit(m).alias("mask"), seed.alias("seed")) for m, seed in enumerate(seeds)]
+    return words.select(key, "pos", F.inline(F.array(*pairs))).filter(F.col("seed").isNotNull())
 
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -74,29 +69,33 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     not searched for. Rows that share a doc_id (or item_id) are reported together. Empty tables give no rows; other
     columns are ignored.
     """
-    docs = pinned(documents.select("doc_id", F.col("text").cast("string").alias("__text")), {"h": word_hashes(F.col("__text"))}).drop("__text")
-    items = pinned(benchmark.select("item_id", F.col("text").cast("string").alias("__text")), {"b": word_hashes(F.col("__text"))})
-    items = staged(items.drop("__text").filter(F.size("b") >= WINDOW))
-    item_seeds = staged(_seed_rows(_positions(items, ["item_id"], "b"), ["item_id", F.col("b"), F.col("pos").alias("item_pos")]))
+    spark = documents.sparkSession
+    texts = documents.select("doc_id", F.col("text").cast("string").alias("__text"))
+
+    def hashed(df):
+        return pinned(df, {"h": word_hashes(F.col("__text"))}).drop("__text").filter(F.size("h") >= WINDOW)
 
+    items = staged(hashed(benchmark.select("item_id", F.col("text").cast("string").alias("__text"))).withColumnRenamed("h", "b"))
+    item_seeds = staged(_seed_rows(items, "item_id", "b").withColumnRenamed("pos", "item_pos"))
     # The bit table: one array of TABLE_WORDS longs, read as a scalar.
-    spark = documents.sparkSession
-    cells = item_seeds.groupBy(_cell(F.col("seed")).alias("id")).agg(F.bit_or(_bits(F.col("seed"))).alias("bits"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), _bit(F.col("seed")))
+    cells = item_seeds.groupBy(_cell(F.col("seed")).alias("id")).agg(F.bit_or(bit).alias("bits"))
     table = staged(spark.range(0, TABLE_WORDS, 1, 1).select(F.col("id").cast("int").alias("id")).join(cells, "id", "left")
                    .agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))).alias("t"))
                    .select(F.col("t.bits").alias("t"))).scalar()
-
-    def known(mask: int) -> Column:
-        seed = _seed(mask)
-        return F.get(table, _cell(seed)).bitwiseAND(_bits(seed)) == _bits(seed)
-
-    tests = [known(mask) for mask in range(len(MASKS))]
-    found = _positions(docs.filter(F.size("h") >= WINDOW), ["doc_id"], "h").filter(tests[0] | tests[1])
-    # The words that any window around the hit can touch.
+    known = lambda seed: F.getbit(F.get(table, _cell(seed)), _bit(seed)) == 1
+
+    # Hits: where a document and an item share a seed.
+    hits = staged(_seed_rows(hashed(texts), "doc_id", "h", known).join(item_seeds, ["mask", "seed"])
+                  .select(F.col("doc_id").alias("hit_doc"), "item_id", "pos", "item_pos").distinct())
+    # Their documents are read once more for the words around the hits.
+    wanted = size_checked(staged(hits.select("hit_doc").distinct()))
+    words = hashed(texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["hit_doc"]), "left_semi"))
     low = F.greatest(F.col("pos") - (WINDOW - 1), F.lit(0))
-    kept = found.withColumns({"n_words": F.size("h"), "low": low, "around": F.slice("h", low + 1, F.lit(2 * WINDOW + SPAN))})
-    seeds = _seed_rows(kept, ["doc_id", "pos", "n_words", "low", "around"], tests)
-    hits = seeds.join(item_seeds, ["mask", "seed"])
+    around = F.slice("h", low + 1, F.lit(2 * WINDOW))
+    hits = (words.join(size_checked(hits), F.col("doc_id").eqNullSafe(F.col("hit_doc")))
+            .select("doc_id", "item_id", "pos", "item_pos", F.size("h").alias("n_words"), low.alias("low"), around.alias("around"))
+            .join(items, "item_id"))
 
     # A window starts at s (document word) and at s - shift in the item.
     shift = F.col("pos") - F.col("item_pos")
