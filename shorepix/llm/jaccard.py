@@ -175,30 +175,38 @@ def similar_documents(documents: DataFrame) -> DataFrame:
     needed = size - F.ceil(PERCENT * size / 100) + 1
     longer = F.least(size, needed + F.floor(size / 25) + 4)
     often = F.col("c") > FREQUENT
-    short = met.filter(often).groupBy("v").agg(F.count("*").alias("often"), F.max(longer - needed).alias("spare")).filter("often > spare").select("v")
-    short = short.withColumn("short", F.lit(True))
+    held = met.filter(often).groupBy("v").agg(F.count("*").alias("held"), F.max(longer - needed).alias("spare"))
+    held = held.select("v", F.col("held").cast("int").alias("held"), (F.col("held") > F.col("spare")).alias("short"))
     # Entries that can make a link: all of ordinary lists; of frequent lists those in a prefix of the plain order.
-    usable = staged(met.filter(~often | (place < needed)).join(short, "v", "left")
-                    .select("key", "v", "meta", often.alias("often"), F.coalesce("short", F.lit(False)).alias("short")))
+    usable = staged(met.filter(~often | (place < needed)).join(held, "v", "left")
+                    .select("key", "v", "meta", often.alias("often"), F.coalesce("held", F.lit(0)).alias("held"), F.coalesce("short", F.lit(False)).alias("short")))
 
     join = _Join(texts, classes)
-    # First round: each list against its smallest set (of frequent lists: against the smallest one that must be compared).
+    # First round: each list against its smallest set (of frequent lists: against the smallest one that must be compared),
+    # where they meet in an eighth of a prefix at least. What this round misses is left to the second.
     lead = usable.filter(~F.col("often") | F.col("short")).groupBy("key").agg(F.min(F.struct("meta", "v")).alias("lead")).select("key", "lead.*")
     first = (usable.alias("x").filter(~F.col("often") | F.col("short")).join(lead.alias("y"), "key")
              .filter((F.col("x.v") != F.col("y.v")) & _possible("x", "y"))
-             .select(F.col("x.v").alias("a"), F.col("y.v").alias("b")))
+             .groupBy(F.col("x.v").alias("a"), F.col("y.v").alias("b")).agg(F.count("*").alias("shared"), F.min("x.meta").alias("meta"))
+             .filter(8 * F.col("shared") >= needed).select("a", "b"))
     links = join.links(first)
     labels = components(links)
     # Second round: pairs of different components.
     marked = usable.join(labels, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
     mixed_lists = marked.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
     marked = staged(marked.join(mixed_lists, "key", "left_semi"))
-    second = (marked.alias("x").join(marked.alias("y"), "key")
-              .filter((F.col("x.comp") != F.col("y.comp")) & _possible("x", "y")
-                      & F.when(F.col("x.often"), F.col("x.short") & (~F.col("y.short") | (F.col("x.v") < F.col("y.v"))))
-                      .otherwise(F.col("x.v") < F.col("y.v")))
-              .select(F.col("x.v").alias("a"), F.col("y.v").alias("b")))
-    more = join.links(second)
+    n, m = (F.shiftright(F.col(f"{x}.meta"), 32) for x in "xy")
+    pairs = (marked.alias("x").join(marked.alias("y"), "key")
+             .filter((F.col("x.comp") != F.col("y.comp")) & _possible("x", "y")
+                     & F.when(F.col("x.often"), F.col("x.short") | F.col("y.short")).otherwise(True) & (F.col("x.v") < F.col("y.v")))
+             .groupBy(F.col("x.v").alias("a"), F.col("y.v").alias("b"))
+             .agg(F.count(F.when(~F.col("x.often"), 1)).alias("shared"), F.min(F.least("x.held", "y.held")).alias("held"),
+                  F.first(n).alias("n"), F.first(m).alias("m")))
+    # All elements that two sets share lie in both prefixes, where the lists have counted them (but for frequent ones), or
+    # behind the shorter reaching prefix.
+    behind = lambda k: F.col(k) - F.least(F.col(k), F.col(k) - F.ceil(PERCENT * F.col(k) / 100) + 1 + F.floor(F.col(k) / 25) + 4)
+    most = F.col("shared") + F.col("held") + F.greatest(behind("n"), behind("m"))
+    more = join.links(pairs.filter((100 + PERCENT) * most >= PERCENT * (F.col("n") + F.col("m"))))
     labels = components(links.union(more))
     members = classes.join(labels, "v", "left").select("set_hash", "copies", "least_doc", F.coalesce("comp", "v").alias("comp"))
     ids = members.groupBy("comp").agg(F.min("least_doc").alias("component_id"))
