@@ -5,15 +5,16 @@ Sets are 64-bit hashes of shingles, ordered by hash. Two sets of similarity t sh
 sets save:
 
 * equal sets are one set with one answer;
-* **frequent elements**: an element found in more than FREQUENT prefixes is moved behind all others in the common order.
-  Prefixes are taken a little longer than needed, so that almost every set still has a full prefix without its frequent
-  elements. Only the others (near-copies of a large group, boilerplate) keep their frequent elements, and in a frequent
-  list only pairs with at least one of these sets count;
+* **frequent elements**: an element that enters the lists more than FREQUENT times is moved behind all others in the common order.
+  Prefixes are taken a little longer than needed, so that most sets still have a full prefix without their frequent
+  elements. Sets that one half of the elements shows to be mostly frequent (near-copies of a large group, boilerplate)
+  enter the lists with all their elements: what they do not share with their group then comes first. The few sets this
+  misses are compared by the plain order;
 * **skipping by position**: in a list, a pair is skipped if the sizes of the sets or the positions of the shared element
   already bound the overlap below the threshold;
-* **answers from a similar set's answer**: in a first round each list only compares its sets with one of them. A set
-  linked to it takes over its component, and later rounds skip all pairs of one component, so a group of n near-copies
-  costs n comparisons instead of n^2. What remains is compared pair by pair.
+* **answers from a similar set's answer**: in the first rounds a long list compares its sets with only a few of them. A
+  set linked to one takes over its component, and later rounds skip all pairs of one component, so a group of near-copies
+  costs a few comparisons per copy instead of one per pair. What remains is compared pair by pair.
 
 Every comparison reads both whole sets.
 """
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shorepix.llm.graph import components
@@ -33,7 +34,11 @@ from shorepix.llm.words import LOWER, mixed, span_hashes, text_slices, word_span
 
 SHINGLE = 5
 PERCENT = 80
-FREQUENT = 64
+FREQUENT = 16
+#: One in so many elements is counted to find the sets that are mostly frequent.
+SAMPLED = 2
+#: Rounds over lists of more than FREQUENT entries, and how many sets of a list the others are compared with in each.
+ROUNDS, LEADERS = 3, 8
 _MIX = np.array([0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
 
@@ -74,19 +79,23 @@ def _set_hash(found: np.ndarray) -> int:
         return int(mixed(np.array([mixed(found).sum(dtype=np.uint64) + np.uint64(len(found))], np.uint64)).view(np.int64)[0])
 
 
+def _packed(found: np.ndarray) -> bytes:
+    """The upper 48 bits of each element: in the lists a chance meeting costs a comparison, no more."""
+    return (found >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at, data, bounds in text_slices(batch.column(1)):
             sets = shingle_sets(data, bounds)
-            # Of an element only 48 bits are kept for the lists: a chance meeting costs a comparison, no more.
-            prefix = [(s[:_longer_prefix(len(s))] >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in sets]
+            prefix = [_packed(s[:_longer_prefix(len(s))]) for s in sets]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int32()),
                 pa.array([_set_hash(s) if len(s) else None for s in sets], pa.int64()), pa.array(prefix, pa.binary())],
                 names=["doc_id", "n", "set_hash", "prefix"])
 
 
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _entries(batches: Iterator[pa.RecordBatch], sampled: int = 1) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         for at in range(0, batch.num_rows, 500):
@@ -96,8 +105,15 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys[:, :6] = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 6)
             place = np.arange(len(keys)) - np.repeat(np.cumsum(counts) - counts, counts)
             meta = np.repeat(sizes[at:at + 500].astype(np.int64), counts) << 32 | place
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(np.repeat(ids[at:at + 500], counts)),
-                                              pa.array(meta)], names=["key", "v", "meta"])
+            keys, owner = keys.view(np.int64).ravel(), np.repeat(ids[at:at + 500], counts)
+            if sampled > 1:
+                some = keys % sampled == 0
+                keys, owner, meta = keys[some], owner[some], meta[some]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(owner), pa.array(meta)], names=["key", "v", "meta"])
+
+
+def _sampled_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _entries(batches, SAMPLED)
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,6 +125,15 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "set_hash", "elements"])
 
 
+def _whole_prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at, data, bounds in text_slices(batch.column(1)):
+            sets = shingle_sets(data, bounds)
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0).slice(at, len(sets)), pa.array([_set_hash(s) if len(s) else None for s in sets], pa.int64()),
+                pa.array([_packed(s) for s in sets], pa.binary())], names=["doc_id", "set_hash", "prefix"])
+
+
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ok = []
@@ -126,15 +151,18 @@ class _Join:
     def __init__(self, texts: DataFrame, sets: DataFrame):
         self.texts, self.sets = texts, sets
 
+    def of(self, sets: DataFrame, kernel, column: str) -> DataFrame:
+        """``sets`` (v, doc_id, set_hash, ...) with a binary column that ``kernel`` derives from their texts."""
+        wanted = size_checked(sets.select("doc_id").distinct())
+        return (self.texts.join(wanted, "doc_id", "left_semi").mapInArrow(kernel, f"doc_id long, set_hash long, {column} binary")
+                .join(size_checked(sets), ["doc_id", "set_hash"]).dropDuplicates(["v"]))
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of sets that are similar, from their whole texts."""
         pairs = staged(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         ends = staged(pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct()
                       .join(self.sets, "v").select("v", "doc_id", "set_hash"))
-        wanted = size_checked(ends.select("doc_id").distinct())
-        full = (self.texts.join(wanted, "doc_id", "left_semi").mapInArrow(_full_sets, "doc_id long, set_hash long, elements binary")
-                .join(size_checked(ends), ["doc_id", "set_hash"]).dropDuplicates(["v"]).select("v", "elements"))
-        full = staged(full)
+        full = staged(self.of(ends, _full_sets, "elements").select("v", "elements"))
         return staged(pairs.join(full.toDF("a", "x"), "a").join(full.toDF("b", "y"), "b").select("a", "b", "x", "y")
                       .mapInArrow(_linked, "a long, b long"))
 
@@ -168,46 +196,74 @@ def similar_documents(documents: DataFrame) -> DataFrame:
                                  .join(classes.filter("copies > 1").select("set_hash", F.col("v").alias("kept")), "set_hash")
                                  .filter("v <> kept").select("v")))
     one_each = signed.filter(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull()).join(copies, "v", "left_anti")
-    entries = one_each.select("v", "n", "prefix").mapInArrow(_entries, "key long, v long, meta long")
-    lists = entries.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
-    met = staged(entries.join(lists, "key"))
+    join = _Join(texts, classes)
+    entry = "key long, v long, meta long"
     size, place = F.shiftright("meta", 32), F.col("meta").bitwiseAND(F.lit((1 << 32) - 1))
-    needed = size - F.ceil(PERCENT * size / 100) + 1
-    longer = F.least(size, needed + F.floor(size / 25) + 4)
-    often = F.col("c") > FREQUENT
-    held = met.filter(often).groupBy("v").agg(F.count("*").alias("held"), F.max(longer - needed).alias("spare"))
-    held = held.select("v", F.col("held").cast("int").alias("held"), (F.col("held") > F.col("spare")).alias("short"))
-    # Entries that can make a link: all of ordinary lists; of frequent lists those in a prefix of the plain order.
-    usable = staged(met.filter(~often | (place < needed)).join(held, "v", "left")
-                    .select("key", "v", "meta", often.alias("often"), F.coalesce("held", F.lit(0)).alias("held"), F.coalesce("short", F.lit(False)).alias("short")))
 
-    join = _Join(texts, classes)
-    # First round: each list against its smallest set (of frequent lists: against the smallest one that must be compared),
-    # where they meet in an eighth of a prefix at least. What this round misses is left to the second.
-    lead = usable.filter(~F.col("often") | F.col("short")).groupBy("key").agg(F.min(F.struct("meta", "v")).alias("lead")).select("key", "lead.*")
-    first = (usable.alias("x").filter(~F.col("often") | F.col("short")).join(lead.alias("y"), "key")
-             .filter((F.col("x.v") != F.col("y.v")) & _possible("x", "y"))
-             .groupBy(F.col("x.v").alias("a"), F.col("y.v").alias("b")).agg(F.count("*").alias("shared"), F.min("x.meta").alias("meta"))
-             .filter(8 * F.col("shared") >= needed).select("a", "b"))
-    links = join.links(first)
-    labels = components(links)
-    # Second round: pairs of different components.
-    marked = usable.join(labels, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
-    mixed_lists = marked.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
-    marked = staged(marked.join(mixed_lists, "key", "left_semi"))
+    def needed(n):
+        return n - F.ceil(PERCENT * n / 100) + 1
+
+    def reach(n):
+        return F.least(n, needed(n) + F.floor(n / 25) + 4)
+
+    # Sets that seem to be mostly frequent enter the lists whole.
+    seen = one_each.select("v", "n", "prefix").mapInArrow(_sampled_entries, entry)
+    crowded = size_checked(staged(seen.groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") > FREQUENT).select("key")))
+    whole = (seen.join(crowded, "key", "left_semi").groupBy("v").agg(F.count("*").alias("c"), F.max(size).alias("size"))
+             .filter(4 * SAMPLED * F.col("c") > reach(F.col("size")) - needed(F.col("size"))).select("v"))
+    whole = staged(whole.join(classes, "v").select("v", "doc_id", "set_hash", "n"))
+    whole_ids = size_checked(whole.select("v", F.lit(True).alias("whole")))
+    whole_sets = staged(join.of(whole, _whole_prefix, "prefix").select("v", "n", "prefix"))
+    emitted = one_each.select("v", "n", "prefix").join(whole_ids, "v", "left_anti").union(whole_sets)
+    entries = emitted.mapInArrow(_entries, entry)
+    lists = entries.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+    met = entries.join(lists, "key").select("key", "v", "meta", (F.col("c") > FREQUENT).alias("often"))
+
+    # Each set's prefix in the common order: elements that are not frequent first, by hash within both kinds.
+    mine = Window.partitionBy("v")
+    before = mine.orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    often = F.col("often").cast("int")
+    ranked = (met.join(whole_ids, "v", "left").withColumns({
+        "whole": F.coalesce("whole", F.lit(False)), "earlier": F.coalesce(F.sum(often).over(before), F.lit(0)), "held": F.sum(often).over(mine)}))
+    rare = F.when(F.col("whole"), size).otherwise(reach(size)) - F.col("held")
+    enough = F.col("whole") | (rare >= needed(size))
+    leading = F.when(F.col("often"), F.col("whole") & (rare + F.col("earlier") < needed(size))).otherwise(place - F.col("earlier") < needed(size))
+    usable = ranked.select("key", "v", "meta", (enough & leading).alias("ordered"), (~enough).alias("missed"), (place < needed(size)).alias("plain"))
+    usable = staged(usable.filter("ordered or plain"))
+    wanted = (usable.groupBy("key").agg(F.count(F.when(F.col("ordered"), 1)).alias("ordered_n"), F.max(F.col("missed") & F.col("plain")).alias("with_missed"))
+              .filter("ordered_n > 1 or with_missed").select("key", "with_missed", (F.col("ordered_n") > FREQUENT).alias("long")))
+    usable = staged(usable.join(wanted, "key").filter("ordered or (plain and with_missed)").withColumn("long", F.col("long") | F.col("with_missed")).drop("with_missed"))
+    either = (F.col("x.missed") | F.col("y.missed")) & F.col("x.plain") & F.col("y.plain")
+    meet = (F.col("x.ordered") & F.col("y.ordered")) | either
+
+    def across(entries, labels):
+        """Entries of the lists that hold sets of several components, with these."""
+        marked = staged(entries.join(labels, "v", "left").withColumn("comp", F.coalesce("comp", "v")))
+        several = marked.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
+        return marked.join(several, "key", "left_semi")
+
+    # Rounds over the long lists: each list against a few of its sets, those of least hash. What they miss is left to the end.
+    labels = classes.filter("false").select("v", F.col("v").alias("comp"))
+    for turn in range(ROUNDS):
+        marked = across(usable.filter("long"), labels)
+        chance = F.xxhash64(F.lit(turn), "v")
+        leaders = (marked.groupBy("key", F.pmod(chance, F.lit(LEADERS)).alias("seat"))
+                   .agg(F.min(F.struct(chance.alias("chance"), "v", "meta", "ordered", "missed", "plain", "comp")).alias("leader")).select("key", "leader.*"))
+        tried = (marked.alias("x").join(leaders.alias("y"), "key").filter((F.col("x.comp") != F.col("y.comp")) & meet & _possible("x", "y"))
+                 .groupBy(F.col("x.v").alias("a"), F.col("y.v").alias("b")).agg(F.count("*").alias("shared"), F.min("x.meta").alias("meta"))
+                 .filter(4 * F.col("shared") >= needed(size)).select("a", "b"))
+        labels = staged(components(join.links(tried).union(labels.toDF("a", "b"))))
+    # The rest, pair by pair.
+    marked = staged(across(usable, labels))
     n, m = (F.shiftright(F.col(f"{x}.meta"), 32) for x in "xy")
     pairs = (marked.alias("x").join(marked.alias("y"), "key")
-             .filter((F.col("x.comp") != F.col("y.comp")) & _possible("x", "y")
-                     & F.when(F.col("x.often"), F.col("x.short") | F.col("y.short")).otherwise(True) & (F.col("x.v") < F.col("y.v")))
+             .filter((F.col("x.comp") != F.col("y.comp")) & (F.col("x.v") < F.col("y.v")) & meet & _possible("x", "y"))
              .groupBy(F.col("x.v").alias("a"), F.col("y.v").alias("b"))
-             .agg(F.count(F.when(~F.col("x.often"), 1)).alias("shared"), F.min(F.least("x.held", "y.held")).alias("held"),
-                  F.first(n).alias("n"), F.first(m).alias("m")))
-    # All elements that two sets share lie in both prefixes, where the lists have counted them (but for frequent ones), or
-    # behind the shorter reaching prefix.
-    behind = lambda k: F.col(k) - F.least(F.col(k), F.col(k) - F.ceil(PERCENT * F.col(k) / 100) + 1 + F.floor(F.col(k) / 25) + 4)
-    most = F.col("shared") + F.col("held") + F.greatest(behind("n"), behind("m"))
+             .agg(F.count("*").alias("shared"), F.first(n).alias("n"), F.first(m).alias("m")))
+    # Shared elements lie in both prefixes, where the lists have counted them, or behind the prefix that ends first.
+    most = F.col("shared") + F.greatest(F.col("n") - needed(F.col("n")), F.col("m") - needed(F.col("m")))
     more = join.links(pairs.filter((100 + PERCENT) * most >= PERCENT * (F.col("n") + F.col("m"))))
-    labels = components(links.union(more))
+    labels = components(more.union(labels.toDF("a", "b")))
     members = classes.join(labels, "v", "left").select("set_hash", "copies", "least_doc", F.coalesce("comp", "v").alias("comp"))
     ids = members.groupBy("comp").agg(F.min("least_doc").alias("component_id"))
     named = members.join(ids, "comp").select("set_hash", "copies", "component_id")
