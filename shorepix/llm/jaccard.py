@@ -5,7 +5,8 @@ Sets are 64-bit hashes of shingles, ordered by hash. Two sets of similarity t sh
 sets save:
 
 * equal sets are one set with one answer;
-* **frequent elements**: an element that enters the lists more than FREQUENT times is moved behind all others in the common order.
+* **frequent elements**: elements that enter the lists more than FREQUENT times are moved behind all others in the common
+  order, the more frequent ones (by powers of two) further back.
   Prefixes are taken a little longer than needed, so that most sets still have a full prefix without their frequent
   elements. Sets that one half of the elements shows to be mostly frequent (near-copies of a large group, boilerplate)
   enter the lists with all their elements: what they do not share with their group then comes first. The few sets this
@@ -38,7 +39,7 @@ FREQUENT = 16
 #: One in so many elements is counted to find the sets that are mostly frequent.
 SAMPLED = 2
 #: Rounds over lists of more than FREQUENT entries, and how many sets of a list the others are compared with in each.
-ROUNDS, LEADERS = 3, 8
+ROUNDS, LEADERS = 2, 8
 _MIX = np.array([0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
 
@@ -217,18 +218,20 @@ def similar_documents(documents: DataFrame) -> DataFrame:
     emitted = one_each.select("v", "n", "prefix").join(whole_ids, "v", "left_anti").union(whole_sets)
     entries = emitted.mapInArrow(_entries, entry)
     lists = entries.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
-    met = entries.join(lists, "key").select("key", "v", "meta", (F.col("c") > FREQUENT).alias("often"))
+    tier = F.when(F.col("c") > FREQUENT, F.floor(F.log2(F.col("c") / FREQUENT)).cast("int") + 1).otherwise(0)
+    met = entries.join(lists, "key").select("key", "v", "meta", tier.alias("tier"))
 
-    # Each set's prefix in the common order: elements that are not frequent first, by hash within both kinds.
+    # Each set's prefix in the common order: by tier, then by hash. Elements found once are in tier 0 and not in the table.
     mine = Window.partitionBy("v")
     before = mine.orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
-    often = F.col("often").cast("int")
+    often = (F.col("tier") > 0).cast("int")
     ranked = (met.join(whole_ids, "v", "left").withColumns({
-        "whole": F.coalesce("whole", F.lit(False)), "earlier": F.coalesce(F.sum(often).over(before), F.lit(0)), "held": F.sum(often).over(mine)}))
+        "whole": F.coalesce("whole", F.lit(False)), "earlier": F.coalesce(F.sum(often).over(before), F.lit(0)), "held": F.sum(often).over(mine),
+        "behind": F.row_number().over(mine.orderBy("tier", place)) - 1 - F.count("*").over(mine) + F.sum(often).over(mine)}))
     rare = F.when(F.col("whole"), size).otherwise(reach(size)) - F.col("held")
     enough = F.col("whole") | (rare >= needed(size))
-    leading = F.when(F.col("often"), F.col("whole") & (rare + F.col("earlier") < needed(size))).otherwise(place - F.col("earlier") < needed(size))
-    usable = ranked.select("key", "v", "meta", (enough & leading).alias("ordered"), (~enough).alias("missed"), (place < needed(size)).alias("plain"))
+    leading = F.when(F.col("tier") > 0, F.col("whole") & (rare + F.col("behind") < needed(size))).otherwise(place - F.col("earlier") < needed(size))
+    usable = ranked.select("key", "v", "meta", rare.cast("int").alias("rare"), (enough & leading).alias("ordered"), (~enough).alias("missed"), (place < needed(size)).alias("plain"))
     usable = staged(usable.filter("ordered or plain"))
     wanted = (usable.groupBy("key").agg(F.count(F.when(F.col("ordered"), 1)).alias("ordered_n"), F.max(F.col("missed") & F.col("plain")).alias("with_missed"))
               .filter("ordered_n > 1 or with_missed").select("key", "with_missed", (F.col("ordered_n") > FREQUENT).alias("long")))
@@ -242,13 +245,14 @@ def similar_documents(documents: DataFrame) -> DataFrame:
         several = marked.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
         return marked.join(several, "key", "left_semi")
 
-    # Rounds over the long lists: each list against a few of its sets, those of least hash. What they miss is left to the end.
+    # Rounds over the long lists: each list against a few of its sets, those with the fewest elements of their own, from
+    # which a group of near-copies differs least. What these rounds miss is left to the end.
     labels = classes.filter("false").select("v", F.col("v").alias("comp"))
     for turn in range(ROUNDS):
         marked = across(usable.filter("long"), labels)
         chance = F.xxhash64(F.lit(turn), "v")
         leaders = (marked.groupBy("key", F.pmod(chance, F.lit(LEADERS)).alias("seat"))
-                   .agg(F.min(F.struct(chance.alias("chance"), "v", "meta", "ordered", "missed", "plain", "comp")).alias("leader")).select("key", "leader.*"))
+                   .agg(F.min(F.struct("rare", chance.alias("chance"), "v", "meta", "ordered", "missed", "plain", "comp")).alias("leader")).select("key", "leader.*"))
         tried = (marked.alias("x").join(leaders.alias("y"), "key").filter((F.col("x.comp") != F.col("y.comp")) & meet & _possible("x", "y"))
                  .groupBy(F.col("x.v").alias("a"), F.col("y.v").alias("b")).agg(F.count("*").alias("shared"), F.min("x.meta").alias("meta"))
                  .filter(4 * F.col("shared") >= needed(size)).select("a", "b"))
