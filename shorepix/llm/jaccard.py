@@ -232,12 +232,17 @@ def similar_documents(documents: DataFrame) -> DataFrame:
     enough = F.col("whole") | (rare >= needed(size))
     leading = F.when(F.col("tier") > 0, F.col("whole") & (rare + F.col("behind") < needed(size))).otherwise(place - F.col("earlier") < needed(size))
     usable = ranked.select("key", "v", "meta", rare.cast("int").alias("rare"), (enough & leading).alias("ordered"), (~enough).alias("missed"), (place < needed(size)).alias("plain"))
+    # How many elements a set can share with others in either kind of prefix at most.
+    usable = usable.withColumns({"k": F.sum(F.col("ordered").cast("int")).over(mine).cast("int"), "plain_k": F.sum(F.col("plain").cast("int")).over(mine).cast("int")})
     usable = staged(usable.filter("ordered or plain"))
     wanted = (usable.groupBy("key").agg(F.count(F.when(F.col("ordered"), 1)).alias("ordered_n"), F.max(F.col("missed") & F.col("plain")).alias("with_missed"))
               .filter("ordered_n > 1 or with_missed").select("key", "with_missed", (F.col("ordered_n") > FREQUENT).alias("long")))
     usable = staged(usable.join(wanted, "key").filter("ordered or (plain and with_missed)").withColumn("long", F.col("long") | F.col("with_missed")).drop("with_missed"))
     either = (F.col("x.missed") | F.col("y.missed")) & F.col("x.plain") & F.col("y.plain")
-    meet = (F.col("x.ordered") & F.col("y.ordered")) | either
+    found = F.when(F.col("x.missed") | F.col("y.missed"), F.least("x.plain_k", "y.plain_k")).otherwise(F.least("x.k", "y.k"))
+    n, m = (F.shiftright(F.col(f"{x}.meta"), 32) for x in "xy")
+    meet = (((F.col("x.ordered") & F.col("y.ordered")) | either)
+            & ((100 + PERCENT) * (found + F.greatest(n - needed(n), m - needed(m))) >= PERCENT * (n + m)))
 
     def across(entries, labels):
         """Entries of the lists that hold sets of several components, with these."""
@@ -252,14 +257,13 @@ def similar_documents(documents: DataFrame) -> DataFrame:
         marked = across(usable.filter("long"), labels)
         chance = F.xxhash64(F.lit(turn), "v")
         leaders = (marked.groupBy("key", F.pmod(chance, F.lit(LEADERS)).alias("seat"))
-                   .agg(F.min(F.struct("rare", chance.alias("chance"), "v", "meta", "ordered", "missed", "plain", "comp")).alias("leader")).select("key", "leader.*"))
+                   .agg(F.min(F.struct("rare", chance.alias("chance"), "v", "meta", "ordered", "missed", "plain", "k", "plain_k", "comp")).alias("leader")).select("key", "leader.*"))
         tried = (marked.alias("x").join(leaders.alias("y"), "key").filter((F.col("x.comp") != F.col("y.comp")) & meet & _possible("x", "y"))
                  .groupBy(F.col("x.v").alias("a"), F.col("y.v").alias("b")).agg(F.count("*").alias("shared"), F.min("x.meta").alias("meta"))
                  .filter(4 * F.col("shared") >= needed(size)).select("a", "b"))
         labels = staged(components(join.links(tried).union(labels.toDF("a", "b"))))
     # The rest, pair by pair.
     marked = staged(across(usable, labels))
-    n, m = (F.shiftright(F.col(f"{x}.meta"), 32) for x in "xy")
     pairs = (marked.alias("x").join(marked.alias("y"), "key")
              .filter((F.col("x.comp") != F.col("y.comp")) & (F.col("x.v") < F.col("y.v")) & meet & _possible("x", "y"))
              .groupBy(F.col("x.v").alias("a"), F.col("y.v").alias("b"))
