@@ -22,7 +22,7 @@ _powers = np.ones((2, 1), np.uint64)
 def _power_tables(n: int) -> np.ndarray:
     global _powers
     if _powers.shape[1] < n:
-        steps = np.empty((2, max(n, 1 << 21)), np.uint64)
+        steps = np.empty((2, max(n, (1 << 20) + 4096)), np.uint64)
         steps[0], steps[1] = _BASE, _INVERSE
         steps[:, 0] = 1
         _powers = np.cumprod(steps, axis=1)
@@ -38,7 +38,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def text_slices(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def text_slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, bounds) of runs of rows of about ``most`` bytes; row k of a run is bytes[bounds[k]:bounds[k+1]].
     Nulls are empty."""
     if len(column) == 0:
