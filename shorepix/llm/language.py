@@ -100,7 +100,7 @@ class Model:
         rows, owner, has_letter = gram_rows(texts)
         if not len(self.languages):
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        sums = np.stack([np.bincount(owner, weights=column[rows], minlength=len(texts)) for column in self.table], axis=1)
+        sums = np.stack([np.bincount(owner, weights=column[rows], minlength=len(texts)) for column in self.table], axis=1).astype(float)
         sums += self.prior
         best = sums.argmax(axis=1)
         score = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
