@@ -189,18 +189,22 @@ def repeated_lines(documents: DataFrame) -> DataFrame:
 
 def _rebuilt(columns: list[str], text_at: int):
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, drops = batch.column(text_at).to_pylist(), batch.column(len(columns)).to_pylist()
-            out, counts, gone = [], [], []
-            for text, drop in zip(texts, drops, strict=True):
-                lines = (text or "").split("\n")
-                drop = set(drop or ())
-                out.append(text if not drop else "\n".join(line for k, line in enumerate(lines) if k not in drop))
-                counts.append(len(lines))
-                gone.append(len(drop))
-            arrays = [batch.column(k) if k != text_at else pa.array(out, pa.string()) for k in range(len(columns))]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(counts, pa.int32()), pa.array(gone, pa.int32())],
-                                             names=[*columns, "n_lines", "n_dropped"])
+        for whole in batches:
+            for batch in (whole.slice(at, 500) for at in range(0, whole.num_rows, 500)):
+                yield part(batch)
+
+    def part(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, drops = batch.column(text_at).to_pylist(), batch.column(len(columns)).to_pylist()
+        out, counts, gone = [], [], []
+        for text, drop in zip(texts, drops, strict=True):
+            lines = (text or "").split("\n")
+            drop = set(drop or ())
+            out.append(text if not drop else "\n".join(line for k, line in enumerate(lines) if k not in drop))
+            counts.append(len(lines))
+            gone.append(len(drop))
+        arrays = [batch.column(k) if k != text_at else pa.array(out, pa.string()) for k in range(len(columns))]
+        return pa.RecordBatch.from_arrays([*arrays, pa.array(counts, pa.int32()), pa.array(gone, pa.int32())],
+                                         names=[*columns, "n_lines", "n_dropped"])
 
     return rebuild
 
