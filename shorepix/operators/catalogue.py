@@ -196,12 +196,12 @@ def with_output_name(scenes: DataFrame, model_path: str, tag: str = "classified"
 
 def pending_scenes(scenes: DataFrame, outputs: DataFrame) -> DataFrame:
     """Scenes whose output does not exist yet."""
-    return scenes.join(outputs.select("output_name").distinct(), "output_name", "left_anti")
+    return scenes.join(outputs.select("output_name"), "output_name", "left_anti")
 
 
 def skipped_scenes(scenes: DataFrame, outputs: DataFrame) -> DataFrame:
     """Scenes whose output exists already."""
-    return scenes.join(outputs.select("output_name").distinct(), "output_name", "left_semi")
+    return scenes.join(outputs.select("output_name"), "output_name", "left_semi")
 
 
 def status_destination(path: Column, status: str) -> Column:

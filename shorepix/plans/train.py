@@ -55,14 +55,16 @@ def _fit(split: DataFrame, label: str, features: list[str], classifier, weight:
     ready = X.impute_medians(split, features, medians).withColumn("__label", F.col(label))
     if weight is not None:
         ready = ready.join(F.broadcast(weight), label)  # one row per class of a fixed pair
+    # The optimizer passes over the prepared rows many times.
+    ready = cut_lineage(ready)
+    # Codes come from the labels of all rows, so that no validation row is left out of the accuracy.
+    codes = StringIndexer(inputCol="__label", outputCol="__code", stringOrderType="alphabetAsc", handleInvalid="error").fit(ready)
     stages = [
-        StringIndexer(inputCol="__label", outputCol="__code", stringOrderType="alphabetAsc", handleInvalid="skip"),
+        codes,
         VectorAssembler(inputCols=features, outputCol="__raw", handleInvalid="keep"),
         StandardScaler(inputCol="__raw", outputCol="__features", withMean=True, withStd=True),
         classifier.setFeaturesCol("__features").setLabelCol("__code").setPredictionCol("__prediction"),
     ]
-    # The optimizer passes over the prepared rows many times.
-    ready = cut_lineage(ready)
     pipeline = Pipeline(stages=stages).fit(ready.where(~F.col("is_valid")))
     judged = pipeline.transform(ready.where("is_valid"))
     accuracy = MulticlassClassificationEvaluator(
@@ -86,7 +88,7 @@ def train_dense(df: DataFrame, mode: str | None = None, label: str = "True_Class
     if n_classes < 2:
         raise ValueError("At least two distinct classes are required to train a model.")
     classifier = MultilayerPerceptronClassifier(
-        layers=[len(features), *hidden, n_classes], maxIter=epochs, seed=seed, blockSize=min(batch_size, 4096))
+        layers=[len(features), *hidden, n_classes], maxIter=epochs, seed=seed, blockSize=batch_size)
     return _fit(split, label, features, classifier)
 
 

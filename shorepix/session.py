@@ -32,12 +32,14 @@ def build_session(app_name: str = "shorepix", master: str | None = None, **conf:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and read it back.
 
-    The folder comes from ``spark.checkpoint.dir``. Only a session without one (a
-    local test run) gets a temporary folder.
+    The folder comes from ``spark.checkpoint.dir``. Only a ``local[..]`` session without
+    one gets a temporary folder; on a cluster a missing setting raises.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="shorepix-checkpoint-"))
     return df.checkpoint()

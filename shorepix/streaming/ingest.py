@@ -56,7 +56,7 @@ def ingest_scenes(stream: DataFrame, process: Callable[[DataFrame], DataFrame],
                 try:
                     save(batch.where(F.col("scene_id") == row["scene_id"]))
                 except Exception as error:  # noqa: BLE001
-                    errors.append((row["scene_id"], str(error)[:2000]))
+                    errors.append((row["scene_id"], str(error)))
             bad = bad.unionByName(small_table(batch.sparkSession, errors, "scene_id string, error string"))
         record(bad, batch_id)
 
