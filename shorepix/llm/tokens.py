@@ -19,10 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 
 END_ID = 1
-#: Pieces a worker remembers before it forgets those it has seen least; about 160 MB with their words.
-MEMO_PIECES = 600_000
+#: Pieces a worker remembers before it forgets those it has seen least; about 300 MB with their words.
+MEMO_PIECES = 1_000_000
 #: Characters handled at once.
-CHUNK_CHARS = 400_000
+CHUNK_CHARS = 1_000_000
 
 
 def default_tokenizer() -> str:
@@ -119,7 +119,7 @@ class Encoder:
         self.memo.update(zip(pieces, range(1, len(pieces) + 1), strict=True))
 
     def _learn(self) -> None:
-        if len(self.words) > self.memo_pieces // 2:
+        if len(self.words) > self.memo_pieces:
             self.words, self.word_table = _Memo(0), _Ragged()
         parts, width = [], []
         for piece in self.memo.new:
