@@ -15,7 +15,10 @@ sets save:
   already bound the overlap below the threshold;
 * **answers from a similar set's answer**: in the first rounds a long list compares its sets with only a few of them. A
   set linked to one takes over its component, and later rounds skip all pairs of one component, so a group of near-copies
-  costs a few comparisons per copy instead of one per pair. What remains is compared pair by pair.
+  costs a few comparisons per copy instead of one per pair. What remains is compared pair by pair;
+* **sketches**: a set's sketch holds, for each of SKETCH_BITS residues, whether it has an odd number of elements there. Two
+  sketches differ in no more bits than their sets differ in elements, so in a long list a pair whose sketches differ too
+  much is skipped.
 
 Every comparison reads both whole sets.
 """
@@ -40,6 +43,7 @@ FREQUENT = 16
 SAMPLED = 2
 #: Rounds over lists of more than FREQUENT entries, and how many sets of a list the others are compared with in each.
 ROUNDS, LEADERS = 2, 8
+SKETCH_BITS = 512
 _MIX = np.array([0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
 
@@ -85,6 +89,17 @@ def _packed(found: np.ndarray) -> bytes:
     return (found >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
+def _sketches(sets: list[np.ndarray]) -> pa.Array:
+    """The parity of the number of elements in each residue class, 64 bits to a long."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    cell = owner * SKETCH_BITS + (every % np.uint64(SKETCH_BITS)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=len(sets) * SKETCH_BITS) & 1).astype(bool)
+    longs = SKETCH_BITS // 64
+    bounds = np.arange(0, longs * (len(sets) + 1), longs, dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.packbits(odd).view(np.int64)))
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at, data, bounds in text_slices(batch.column(1)):
@@ -92,8 +107,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             prefix = [_packed(s[:_longer_prefix(len(s))]) for s in sets]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int32()),
-                pa.array([_set_hash(s) if len(s) else None for s in sets], pa.int64()), pa.array(prefix, pa.binary())],
-                names=["doc_id", "n", "set_hash", "prefix"])
+                pa.array([_set_hash(s) if len(s) else None for s in sets], pa.int64()), pa.array(prefix, pa.binary()), _sketches(sets)],
+                names=["doc_id", "n", "set_hash", "prefix", "sketch"])
 
 
 def _entries(batches: Iterator[pa.RecordBatch], sampled: int = 1) -> Iterator[pa.RecordBatch]:
@@ -188,7 +203,7 @@ def similar_documents(documents: DataFrame) -> DataFrame:
     n_copies is the number of documents with the same set.
     """
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = staged(texts.mapInArrow(_signatures, "doc_id long, n int, set_hash long, prefix binary")
+    signed = staged(texts.mapInArrow(_signatures, "doc_id long, n int, set_hash long, prefix binary, sketch array<long>")
                     .withColumn("v", F.monotonically_increasing_id()))
     classes = staged(signed.filter(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set_hash")
                      .agg(F.min("v").alias("v"), F.min_by("doc_id", "v").alias("doc_id"), F.min("n").alias("n"),
@@ -262,12 +277,19 @@ def similar_documents(documents: DataFrame) -> DataFrame:
                  .groupBy(F.col("x.v").alias("a"), F.col("y.v").alias("b")).agg(F.count("*").alias("shared"), F.min("x.meta").alias("meta"))
                  .filter(4 * F.col("shared") >= needed(size)).select("a", "b"))
         labels = staged(components(join.links(tried).union(labels.toDF("a", "b"))))
-    # The rest, pair by pair.
+    # The rest, pair by pair; over long lists only where the sketches leave room.
     marked = staged(across(usable, labels))
-    pairs = (marked.alias("x").join(marked.alias("y"), "key")
-             .filter((F.col("x.comp") != F.col("y.comp")) & (F.col("x.v") < F.col("y.v")) & meet & _possible("x", "y"))
-             .groupBy(F.col("x.v").alias("a"), F.col("y.v").alias("b"))
-             .agg(F.count("*").alias("shared"), F.first(n).alias("n"), F.first(m).alias("m")))
+
+    def met_in(entries, *more):
+        pairs = entries.alias("x").join(entries.alias("y"), "key").filter((F.col("x.comp") != F.col("y.comp")) & (F.col("x.v") < F.col("y.v")) & meet & _possible("x", "y"))
+        for condition in more:
+            pairs = pairs.filter(condition)
+        return pairs.select(F.col("x.v").alias("a"), F.col("y.v").alias("b"), n.alias("n"), m.alias("m"))
+
+    apart = sum((F.bit_count(F.col("x.sketch")[k].bitwiseXOR(F.col("y.sketch")[k])) for k in range(SKETCH_BITS // 64)), F.lit(0))
+    sketched = marked.filter("long").join(one_each.select("v", "sketch"), "v")
+    pairs = (met_in(marked.filter("not long")).union(met_in(sketched, (100 + PERCENT) * apart <= (100 - PERCENT) * (n + m)))
+             .groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("m").alias("m")))
     # Shared elements lie in both prefixes, where the lists have counted them, or behind the prefix that ends first.
     most = F.col("shared") + F.greatest(F.col("n") - needed(F.col("n")), F.col("m") - needed(F.col("m")))
     more = join.links(pairs.filter((100 + PERCENT) * most >= PERCENT * (F.col("n") + F.col("m"))))
