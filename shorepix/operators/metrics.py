@@ -38,15 +38,23 @@ def confusion_matrix(counts: DataFrame, classes: Sequence[str]) -> DataFrame:
     )
 
 
-def class_metrics(counts: DataFrame, class_order: Sequence[str] = ()) -> DataFrame:
-    """Precision, recall and supports per labelled class; classes of ``class_order`` come first."""
+def class_metrics(counts: DataFrame, class_order: Sequence[str] = (), classes: Sequence[str] = ()) -> DataFrame:
+    """Precision, recall and supports per class; classes of ``class_order`` come first.
+
+    The classes are those of the list, also where no row carries them, or without a list all labels of the truth.
+    """
     hit = F.when(F.col("true_label") == F.col("pred_label"), F.col("n")).otherwise(0)
     sides = counts.select(F.explode(F.array(
         F.struct(F.col("true_label").alias("label"), F.col("n").alias("t"), F.lit(0).cast("bigint").alias("p"), hit.alias("h")),
         F.struct(F.col("pred_label").alias("label"), F.lit(0).cast("bigint").alias("t"), F.col("n").alias("p"), F.lit(0).cast("bigint").alias("h")),
     )).alias("side")).select("side.*")
+    if classes:
+        fixed = [(name, 0, 0, 0) for name in classes]
+        sides = sides.where(F.col("label").isin(*classes)).unionByName(
+            small_table(counts.sparkSession, fixed, "label string, t bigint, p bigint, h bigint"))
     summed = sides.groupBy("label").agg(F.sum("t").alias("t"), F.sum("p").alias("p"), F.sum("h").alias("h"))
-    labelled = summed.where((F.col("t") > 0) & (F.trim("label") != "") & (F.col("label") != S.MISSING_LABEL))
+    known = F.lit(True) if classes else F.col("t") > 0
+    labelled = summed.where(known & (F.trim("label") != "") & (F.col("label") != S.MISSING_LABEL))
     hint = F.array(*map(F.lit, class_order)) if class_order else F.array().cast("array<string>")
     place = F.array_position(hint, F.col("label"))
     return labelled.select(
@@ -69,9 +77,9 @@ def overall_accuracy(counts: DataFrame) -> DataFrame:
         total.alias("Support_True"), total.alias("Support_Pred"))
 
 
-def metrics_table(counts: DataFrame, class_order: Sequence[str] = ()) -> DataFrame:
+def metrics_table(counts: DataFrame, class_order: Sequence[str] = (), classes: Sequence[str] = ()) -> DataFrame:
     """OVERALL row followed by the class rows."""
-    rows = overall_accuracy(counts).unionByName(class_metrics(counts, class_order))
+    rows = overall_accuracy(counts).unionByName(class_metrics(counts, class_order, classes))
     return rows.orderBy("position", "Class").drop("position")
 
 
@@ -101,10 +109,14 @@ def presence_scores(df: DataFrame, true: str, pred: str) -> DataFrame:
     })
 
 
-def outside_predictions(counts: DataFrame) -> DataFrame:
-    """Number of predictions whose label no row of the truth carries."""
-    truth = counts.select(F.col("true_label").alias("pred_label")).where(F.col("true_label") != S.MISSING_LABEL).distinct()
-    return counts.join(truth, "pred_label", "left_anti").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_outside"))
+def outside_predictions(counts: DataFrame, classes: Sequence[str] = ()) -> DataFrame:
+    """Number of predictions outside the list of classes, or without a list, outside the labels of the truth."""
+    if classes:
+        outside = counts.where(~F.col("pred_label").isin(*classes))
+    else:
+        truth = counts.select(F.col("true_label").alias("pred_label")).where(F.col("true_label") != S.MISSING_LABEL).distinct()
+        outside = counts.join(truth, "pred_label", "left_anti")
+    return outside.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_outside"))
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -42,50 +43,51 @@ def resolve_validation_mode(mode: str | None) -> str:
     raise ValueError("Invalid validation mode. Use 'multiclass' or 'presence_absence'.")
 
 
+CONTEXT = "Validation dataset"
+
+
 def predict_labels(df: DataFrame, model: C.DenseModel | C.SequenceModel, vocabulary: list[str],
                    specialist: C.DenseModel | None = None) -> DataFrame:
-    """Add ``raw_prediction`` (a vocabulary label) and ``Predicted_Confidence``.
+    """Add ``raw_prediction`` (a vocabulary label) and ``Predicted_Confidence``; the columns of ``df`` stay as they are.
 
-    Rows predicted as seagrass or microalgae take label and confidence of the specialist.
+    Rows predicted as seagrass or microalgae take label and confidence of the specialist, which sees the original
+    bands. Without all of its bands it is left out with a warning.
+    """
+    columns = [F.col(f"`{name}`") for name in df.columns]
+    work = _with_probabilities(df, model, "__main")
+    label, confidence = C.label_of(F.col("__main"), vocabulary), F.array_max("__main")
+    if specialist is not None:
+        missing = [name for name in map(S.raw_name, S.SPECIALIST_BANDS) if name not in df.columns]
+        if missing:
+            warnings.warn(f"Validation goes on without the specialist model, which needs {S.shorten(missing)}", stacklevel=2)
+        else:
+            work = _with_probabilities(work, specialist, "__special")
+            words = small_table(df.sparkSession, [(word,) for word in vocabulary], "label string")
+            # At most one row per vocabulary label comes back.
+            refined = [row["label"] for row in L.with_concepts(words).where(F.col("concept").isin(*REFINED_CONCEPTS)).collect()]
+            candidate = label.isin(*refined) if refined else F.lit(False)
+            confidence = F.when(candidate, F.array_max("__special")).otherwise(confidence)
+            label = F.when(candidate, C.label_of(F.col("__special"), specialist.labels)).otherwise(label)
+    return work.select(*columns, label.alias("raw_prediction"), confidence.alias("Predicted_Confidence"))
+
+
+def _with_probabilities(df: DataFrame, model: C.DenseModel | C.SequenceModel, target: str) -> DataFrame:
+    """Add class probabilities; inputs are built beside the row, which is carried through whole.
+
+    Sequence models, spatial models and the specialist rebuild their inputs from raw bands; spectral models need theirs.
     """
-    columns = list(df.columns)
+    row = df.select(F.struct(*[F.col(f"`{name}`") for name in df.columns]).alias("__row"), "*")
     if isinstance(model, C.SequenceModel):
         flat = [name for group in model.groups for name in group]
-        keep = [name for name in columns if name not in flat]
-        scored = C.score_sequence(X.sequence_table(df, features=flat, groups=model.groups, context="Validation dataset", carry=keep), model, "__main")
+        built = X.sequence_table(row, features=flat, groups=model.groups, context=CONTEXT, carry=["__row"])
+        scored = C.score_sequence(built, model, target)
     else:
-        scored = C.score_dense(_with_features(df, model.features), model, "__main")
-    result = scored.withColumns({
-        "raw_prediction": C.label_of(F.col("__main"), vocabulary), "Predicted_Confidence": F.array_max("__main")})
-    if specialist is not None:
-        words = small_table(df.sparkSession, [(word,) for word in vocabulary], "label string")
-        # At most one row per vocabulary label comes back.
-        refined = [row["label"] for row in L.with_concepts(words).where(F.col("concept").isin(*REFINED_CONCEPTS)).collect()]
-        prepared = _with_features(result, S.SPECIALIST_FEATURES, rebuild=True, prefix="__s_")
-        model_s = C.DenseModel([f"__s_{name}" for name in specialist.features], specialist.mean, specialist.std,
-                               specialist.layers, specialist.class_ids, specialist.labels)
-        prepared = C.score_dense(prepared, model_s, "__special")
-        candidate = F.col("raw_prediction").isin(*refined) if refined else F.lit(False)
-        result = prepared.withColumns({
-            "Predicted_Confidence": F.when(candidate, F.array_max("__special")).otherwise(F.col("Predicted_Confidence")),
-            "raw_prediction": F.when(candidate, C.label_of(F.col("__special"), specialist.labels)).otherwise(F.col("raw_prediction")),
-        })
-    return result.select(*columns, "raw_prediction", "Predicted_Confidence")
-
-
-def _with_features(df: DataFrame, names, rebuild: bool = False, prefix: str = "") -> DataFrame:
-    """Add missing model features next to the columns of ``df``.
-
-    Spatial models and the specialist rebuild derived columns; spectral models need them present.
-    """
-    columns = list(df.columns)
-    if rebuild:
-        built = X.specialist_features(df.select("*", F.struct(*columns).alias("__row")), context="Validation dataset", carry=["__row"])
-        return built.select("__row.*", *[F.col(name).alias(prefix + name) for name in S.SPECIALIST_FEATURES])
-    row = df.select("*", F.struct(*columns).alias("__row"))
-    built = X.prepare_features(row, None, names, context="Validation dataset", carry=["__row"])
-    others = [name for name in columns if name not in names]
-    return built.select(*[F.col(f"__row.`{name}`").alias(name) for name in others], *names)
+        if set(model.features) == set(S.SPECIALIST_FEATURES):
+            built = X.specialist_features(row, context=CONTEXT, carry=["__row"])
+        else:
+            built = X.prepare_features(row, None, model.features, context=CONTEXT, carry=["__row"])
+        scored = C.score_dense(built, model, target)
+    return scored.select("__row.*", target)
 
 
 def validate(df: DataFrame, label: str, model: C.DenseModel | C.SequenceModel, vocabulary: list[str],
@@ -132,5 +134,5 @@ def evaluate(df: DataFrame, label: str, prediction: str, vocabulary: list[str],
     if not classes:
         raise ValueError("No labelled classes were found in the validation dataset.")
     predictions = mapped.withColumn(label, F.col("__true")).withColumn("Predicted_Class", F.col("__pred")).drop("__true", "__pred")
-    return Validation(predictions, counts, classes, E.metrics_table(counts, order),
-                      E.confusion_matrix(counts, classes), E.outside_predictions(counts))
+    return Validation(predictions, counts, classes, E.metrics_table(counts, order, classes),
+                      E.confusion_matrix(counts, classes), E.outside_predictions(counts, classes))

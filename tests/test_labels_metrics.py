@@ -125,6 +125,14 @@ def test_presence_absence(spark):
     assert nothing["Precision"] is None and nothing["F1"] is None
 
 
+def test_presence_absence_without_presence(spark):
+    rows = spark.createDataFrame([(0, "Sand", "Sand"), (1, "Sand", "Magnoliopsida"), (2, "Water", None)], "row_id bigint, t string, p string")
+    result = evaluate(rows, "t", "p", ["Sand", "Water", "Magnoliopsida"], mode="binary")
+    assert result.outside.first()[0] == 0
+    assert {r["Class"]: (r["Support_True"], r["Support_Pred"], r["Producer_Accuracy_Recall"]) for r in result.metrics.collect()} == {
+        "OVERALL": (3, 3, None), "Absence": (3, 2, pytest.approx(2 / 3)), "Presence": (0, 1, None)}
+
+
 def test_evaluate_multiclass_order(spark):
     result = evaluate(labelled(spark), "t", "p", ["Rhodophyta", "Water", "Sand"])
     assert result.classes == ["Sand", "Water", "Vauch"]

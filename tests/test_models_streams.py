@@ -11,7 +11,7 @@ from shorepix.operators import features as X
 from shorepix.operators import scoring as C
 from shorepix.plans import train as T
 from shorepix.plans.classify import classify_pixels
-from shorepix.plans.validate import validate
+from shorepix.plans.validate import predict_labels, validate
 from shorepix.streaming import ingest as I
 
 
@@ -150,6 +150,27 @@ def test_validation_with_specialist(spark):
     refined = validate(rows, "Label_Char", main, vocabulary, special)
     assert [r["Predicted_Class"] for r in refined.predictions.orderBy("row_id").collect()] == ["MPB", "Water", "Seagrass"]
     assert refined.predictions.orderBy("row_id").first()["Predicted_Confidence"] == pytest.approx(1 / (1 + np.exp(-3)))
+    # The specialist as main model, and without one of its bands.
+    alone = predict_labels(rows, special, special.labels).orderBy("row_id").collect()
+    assert [r["raw_prediction"] for r in alone] == ["Microphytobenthos", "Microphytobenthos", "Magnoliopsida"]
+    with pytest.warns(UserWarning, match="Reflectance_B05"):
+        kept = predict_labels(rows.drop("Reflectance_B05"), main, vocabulary, special)
+    assert [r["raw_prediction"] for r in kept.orderBy("row_id").collect()] == vocabulary
+
+
+def test_predictions_keep_the_input_rows(spark):
+    bands = [S.raw_name(band) for band in S.SPECIALIST_BANDS]
+    missing = S.raw_name("B05")
+    rows = spark.createDataFrame([(0, *[None if name == missing else 2.0 + i for i, name in enumerate(bands)], 0.9), (1, *[1.0] * len(bands), None)],
+                                 f"row_id bigint, {', '.join(n + ' double' for n in bands)}, NDVI double")
+    special = C.DenseModel(list(S.SPECIALIST_FEATURES), [0.0] * 10, [1.0] * 10, [([[0.1] * 10, [0.2, 0, 0.3] + [0.0] * 7], [0.0, 0.0])], [4, 5], ["Magnoliopsida", "Microphytobenthos"])
+    length = len(bands)
+    main = C.SequenceModel([bands], {"mean": [[0.0] * length], "std": [[1.0] * length]}, ([[[0.0, 1.0, 0.0]]], [0.0]), ([[[0.0, 1.0, 0.0]]], [0.0]),
+                           ([[1.0]], [0.0]), ([[1.0], [0.0]], [1.0, 0.0]), [4, 5])
+    found = predict_labels(rows, main, special.labels, special)
+    assert [tuple(r[name] for name in rows.columns) for r in found.orderBy("row_id").collect()] == [tuple(r) for r in rows.orderBy("row_id").collect()]
+    expected = predict_labels(rows, special, special.labels).orderBy("row_id").collect()
+    assert [r["Predicted_Confidence"] for r in found.orderBy("row_id").collect()] == pytest.approx([r["Predicted_Confidence"] for r in expected])
 
 
 PIXELS = "scene_id string, row int, col int, v double"

@@ -147,6 +147,18 @@ def validation_report(spark, folder):
     return rounded(evaluate(rows, "true_label", "pred_label", D.VOCABULARY).metrics)
 
 
+_FEW = "SELECT * FROM p WHERE true_label IS NULL OR true_label <> 'Magnoliopsida'"
+_FEW_PA = [PRED, ("few", _FEW), ("c", """SELECT 'Absence' AS true_label, CASE WHEN pred_label = 'Magnoliopsida' THEN 'Presence' ELSE 'Absence' END AS pred_label, count(*) AS n FROM few GROUP BY ALL""")]
+
+
+@query("validation_presence_absence", with_ctes(_FEW_PA, _PER_CLASS.replace("(SELECT DISTINCT true_label FROM c WHERE true_label <> '<MISSING>') k", "(VALUES ('Absence'), ('Presence')) k(true_label)") + " UNION ALL " + _OVERALL))
+def validation_presence_absence(spark, folder):
+    """Presence/absence validation whose truth holds no row of the target: both classes are reported all the same."""
+    rows = D.predictions(spark, folder).withColumn("row_id", F.col("event_id"))
+    few = rows.where(F.col("true_label").isNull() | (F.col("true_label") != S.DEFAULT_TARGET))
+    return rounded(evaluate(few, "true_label", "pred_label", D.VOCABULARY, "presence_absence").metrics)
+
+
 @query("overall_accuracy", with_ctes(COUNTS, _OVERALL))
 def overall_accuracy(spark, folder):
     return rounded(E.overall_accuracy(_counts(spark, folder)).drop("position"))
