@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -9,14 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+@functools.cache
+def _local_folder(application: str) -> str:
+    """One temporary folder per local application; spark.checkpoint.dir can't be set once a session runs."""
+    return tempfile.mkdtemp(prefix="llm-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new path below ``spark.checkpoint.dir``. Only a local session without that setting gets a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
-        base = tempfile.mkdtemp(prefix="llm-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_folder(spark.sparkContext.applicationId)
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
