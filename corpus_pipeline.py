@@ -11,6 +11,10 @@ from shorepix.llm import decontamination, jaccard, language, line_dedup, packing
 from shorepix.llm.store import staged
 
 
+#: Pieces that each worker remembers while it encodes; fewer than by default, as executors have run four stages before.
+MEMO_PIECES = 250_000
+
+
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified (naive Bayes over hashed character n-grams)."""
     return language.with_language(docs)
@@ -33,7 +37,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their place in sequences of 4096 tokens."""
-    return packing.pack_documents(docs, 4096)
+    return packing.pack_documents(docs, 4096, memo_pieces=MEMO_PIECES)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

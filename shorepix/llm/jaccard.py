@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from shorepix.llm.graph import components
 from shorepix.llm.store import size_checked, staged
+from shorepix.llm.tokens import lean
 from shorepix.llm.words import LOWER, mixed, span_hashes, text_slices, word_spans
 
 SHINGLE = 5
@@ -100,6 +101,7 @@ def _sketches(sets: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.packbits(odd).view(np.int64)))
 
 
+@lean
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at, data, bounds in text_slices(batch.column(1)):
@@ -111,6 +113,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["doc_id", "n", "set_hash", "prefix", "sketch"])
 
 
+@lean
 def _entries(batches: Iterator[pa.RecordBatch], sampled: int = 1) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -132,6 +135,7 @@ def _sampled_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     return _entries(batches, SAMPLED)
 
 
+@lean
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at, data, bounds in text_slices(batch.column(1)):
@@ -141,6 +145,7 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "set_hash", "elements"])
 
 
+@lean
 def _whole_prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at, data, bounds in text_slices(batch.column(1)):
@@ -150,6 +155,7 @@ def _whole_prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 pa.array([_packed(s) for s in sets], pa.binary())], names=["doc_id", "set_hash", "prefix"])
 
 
+@lean
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ok = []

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shorepix.llm.tokens import release
+from shorepix.llm.tokens import lean
 from shorepix.llm.words import mixed
 
 GRAMS = (1, 2, 3)
@@ -128,8 +128,8 @@ def fit(documents: DataFrame, sample: int = SAMPLE) -> Model:
     share = F.create_map(*[F.lit(x) for lang, n in shares for x in (lang, min(1.0, sample / n))])
     chosen = learned.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         seen = np.zeros((len(languages), BUCKETS), np.int64)
         for batch in batches:
             kinds = np.array([languages.index(lang) for lang in batch.column(0).to_pylist()], np.int64)
@@ -157,8 +157,8 @@ def predict(documents: DataFrame, model: Model, keep: list[str] | None = None) -
     shared = documents.sparkSession.sparkContext.broadcast(model)
     schema = kept.schema.add("lang_pred", "string").add("score", "double")
 
+    @lean
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         for batch in batches:
             names, scores = [], []
             for _, texts in _runs(batch.column(len(keep)).to_pylist()):

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shorepix.llm.store import size_checked, staged
+from shorepix.llm.tokens import lean
 from shorepix.llm.words import line_spans, mixed, span_hashes, text_slices, word_spans
 
 #: Shorter lines (in words) are compared exactly: one word of four is too much.
@@ -79,6 +80,7 @@ def _signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
 
 
+@lean
 def _line_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -93,6 +95,7 @@ def _line_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["doc_id", "line", "whole", "k0", "k1", "k2", "k3"])
 
 
+@lean
 def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -106,6 +109,7 @@ def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                               pa.array(texts, pa.string())], names=["doc_id", "line", "line_text"])
 
 
+@lean
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at, data, bounds in text_slices(batch.column(0)):
@@ -140,6 +144,7 @@ def _split(text: str) -> list[str]:
     return text.split(" ")
 
 
+@lean
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ok = [within_one_edit(a, b) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
@@ -188,6 +193,7 @@ def repeated_lines(documents: DataFrame) -> DataFrame:
 
 
 def _rebuilt(columns: list[str], text_at: int):
+    @lean
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in (whole.slice(at, 500) for at in range(0, whole.num_rows, 500)):

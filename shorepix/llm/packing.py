@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shorepix.llm.store import fresh, staged
-from shorepix.llm.tokens import chunks, default_tokenizer, encoder
+from shorepix.llm.tokens import MEMO_PIECES, chunks, default_tokenizer, encoder, trim
 
 CLASSES = 128
 MOST_IN_PATTERN = 4
@@ -256,7 +256,7 @@ def pack(pieces: DataFrame, capacity: int, length: str = "length") -> DataFrame:
 
 
 def token_pieces(documents: DataFrame, capacity: int, tokenizer: str | None = None, by_word: bool = True,
-                 with_ids: bool = False) -> DataFrame:
+                 with_ids: bool = False, memo_pieces: int = MEMO_PIECES) -> DataFrame:
     """Encode whole texts, close each with id 1 and cut those longer than ``capacity``: one row per piece with doc_id,
     piece, start, length, ids_crc32 (unsigned, of little-endian uint32 ids) and, if asked for, ids (binary).
 
@@ -267,7 +267,8 @@ def token_pieces(documents: DataFrame, capacity: int, tokenizer: str | None = No
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(tokenizer, by_word)
+        trim()
+        coder = encoder(tokenizer, by_word, False, memo_pieces)
         for batch in batches:
             doc_ids = batch.column(0).to_numpy(zero_copy_only=False)
             for at, texts in chunks(batch.column(1).to_pylist()):
@@ -291,7 +292,8 @@ def token_pieces(documents: DataFrame, capacity: int, tokenizer: str | None = No
 
 
 def pack_documents(documents: DataFrame, capacity: int = 4096, tokenizer: str | None = None, by_word: bool = True,
-                   with_ids: bool = False) -> DataFrame:
+                   with_ids: bool = False, memo_pieces: int = MEMO_PIECES) -> DataFrame:
     """Pieces of all documents with their sequence and offset. The pieces are written once to the shared folder, so that
-    histogram, numbering and places see the same rows and texts are encoded once."""
-    return pack(staged(token_pieces(documents, capacity, tokenizer, by_word, with_ids)), capacity)
+    histogram, numbering and places see the same rows and texts are encoded once. ``memo_pieces``: what a
+    worker remembers (see :mod:`shorepix.llm.tokens`); the rows are the same with any number."""
+    return pack(staged(token_pieces(documents, capacity, tokenizer, by_word, with_ids, memo_pieces)), capacity)

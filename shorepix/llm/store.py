@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,11 +29,30 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> Iterator[None]:
+    """Within this block Spark hands Python batches of about ``most`` bytes (a longer row goes alone), as far as the
+    session does not ask for less. Batches stand in the memory of the JVM and of the worker at once."""
+    before = spark.conf.get(_BATCH_BYTES)
+    number, unit = re.fullmatch(r"(-?\d+)\s*([kmgt]?)b?", before.strip().lower()).groups()
+    now = int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
+    if now > most or now <= 0:
+        spark.conf.set(_BATCH_BYTES, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_BYTES, before)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: the rows are fixed from here on, and a lost
     executor costs no more than the stages after this one."""
     folder = shared_folder(df.sparkSession)
-    df.write.parquet(folder)
+    with small_batches(df.sparkSession):
+        df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

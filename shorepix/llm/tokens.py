@@ -14,9 +14,10 @@ import functools
 import gc
 import os
 import string
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 END_ID = 1
 #: Pieces a worker remembers before it forgets those it has seen least; about 300 MB with their words.
@@ -189,9 +190,16 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str, by_word: bool = True, spans: bool = False) -> Encoder:
+def encoder(path: str, by_word: bool = True, spans: bool = False, memo_pieces: int = MEMO_PIECES) -> Encoder:
     """One encoder per worker process, kept from task to task."""
-    return Encoder(path, by_word, spans)
+    return Encoder(path, by_word, spans, memo_pieces)
+
+
+def trim() -> None:
+    """Give memory that earlier tasks of this worker process have freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def release() -> None:
@@ -199,8 +207,21 @@ def release() -> None:
     if encoder.cache_info().currsize:
         encoder.cache_clear()
         gc.collect()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+    trim()
+
+
+def lean(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``kernel`` for a worker process that holds no encoders and, once the task is over, no freed memory: an idle worker
+    counts against its executor like a busy one."""
+    @functools.wraps(kernel)
+    def run(batches: Iterator[pa.RecordBatch], *options) -> Iterator[pa.RecordBatch]:
+        release()
+        try:
+            yield from kernel(batches, *options)
+        finally:
+            trim()
+
+    return run
 
 
 def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:

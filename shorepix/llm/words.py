@@ -16,17 +16,22 @@ AS_IS = np.arange(1, 257).astype(np.uint64)
 LOWER = AS_IS.copy()
 LOWER[0x41:0x5B] = AS_IS[0x61:0x7B]
 
+_USUAL = (1 << 20) + 4096
 _powers = np.ones((2, 1), np.uint64)
 
 
 def _power_tables(n: int) -> np.ndarray:
+    """Powers of the base and of its inverse, at least ``n``; those beyond the usual run of texts are not kept."""
     global _powers
-    if _powers.shape[1] < n:
-        steps = np.empty((2, max(n, (1 << 20) + 4096)), np.uint64)
-        steps[0], steps[1] = _BASE, _INVERSE
-        steps[:, 0] = 1
-        _powers = np.cumprod(steps, axis=1)
-    return _powers
+    if _powers.shape[1] >= n:
+        return _powers
+    steps = np.empty((2, max(n, _USUAL)), np.uint64)
+    steps[0], steps[1] = _BASE, _INVERSE
+    steps[:, 0] = 1
+    powers = np.cumprod(steps, axis=1)
+    if n <= _USUAL:
+        _powers = powers
+    return powers
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
