@@ -64,18 +64,25 @@ def ingest_scenes(stream: DataFrame, process: Callable[[DataFrame], DataFrame],
             .trigger(availableNow=True).start())
 
 
-def first_scenes(stream: DataFrame, arrival: str = "arrived_at", delay: str = "30 days") -> DataFrame:
-    """First record of every scene (ignoring case) within the watermark.
+def first_scenes(stream: DataFrame, accepted: str, checkpoint: str, arrival: str = "arrived_at") -> StreamingQuery:
+    """Append the first record of every scene (ignoring case) to the table at ``accepted``, without any time horizon.
 
-    Across batches the first arrival wins, whatever its format; :func:`preferred_in_batch`
-    adds the format preference inside a batch.
+    Inside a batch the preferred format wins, then the earlier arrival, then the path. A scene that an earlier batch
+    accepted is left out, however much later its copy comes. The part of a repeated batch is replaced.
     """
-    keyed = stream.withColumn("scene_key", F.upper("scene_id"))
-    return keyed.withWatermark(arrival, delay).dropDuplicatesWithinWatermark(["scene_key"])
+    columns = stream.columns
+    keyed = stream.sparkSession.createDataFrame([], stream.schema).withColumn("scene_key", F.upper("scene_id"))
+    keyed.write.mode("overwrite").parquet(f"{accepted}/batch=-1")  # an empty part, so that the table can be read
+    order = F.struct(K.format_rank(K.file_format(F.col("path"))).alias("rank"), F.col(arrival), F.col("path"))
 
+    def run(batch: DataFrame, batch_id: int) -> None:
+        first = batch.groupBy(F.upper("scene_id").alias("scene_key")).agg(F.min_by(F.struct(*columns), order).alias("kept"))
+        before = batch.sparkSession.read.parquet(accepted).where(F.col("batch") != batch_id).select("scene_key")
+        new = first.join(before, "scene_key", "left_anti").select("kept.*", "scene_key")
+        new.write.mode("overwrite").parquet(f"{accepted}/batch={batch_id}")
 
-def preferred_in_batch(batch: DataFrame) -> DataFrame:
-    return K.preferred_scenes(batch)
+    return (stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
 
 
 def run_rollup(spark: SparkSession, folder: str) -> DataFrame:

@@ -216,9 +216,15 @@ def test_streaming_duplicates_and_rollup(spark, tmp_path):
     rows = [("S1", "/z/S1.zip", "2024-01-01T00:00:00"), ("s1", "/y/s1.SAFE", "2024-01-01T00:01:00"), ("S2", "/z/S2.zip", "2024-01-02T00:00:00")]
     (folder / "a.json").write_text("\n".join(json.dumps({"scene_id": a, "path": b, "arrived_at": c}) for a, b, c in rows))
     stream = spark.readStream.schema("scene_id string, path string, arrived_at timestamp").json(str(folder))
-    query = I.first_scenes(stream).writeStream.format("memory").queryName("firsts").trigger(availableNow=True).start()
-    query.awaitTermination()
-    assert sorted(r["scene_key"] for r in spark.table("firsts").collect()) == ["S1", "S2"]
+    accepted, state = str(tmp_path / "accepted"), str(tmp_path / "state")
+    I.first_scenes(stream, accepted, state).awaitTermination()
+    assert sorted((r["scene_key"], r["path"]) for r in spark.read.parquet(accepted).collect()) == [("S1", "/y/s1.SAFE"), ("S2", "/z/S2.zip")]
+    # A scene from long before is accepted, and a copy of a known one from long after is not.
+    rows = [("S3", "/z/S3.zip", "2020-01-01T00:00:00"), ("s2", "/y/s2.SAFE", "2026-01-01T00:00:00")]
+    (folder / "b.json").write_text("\n".join(json.dumps({"scene_id": a, "path": b, "arrived_at": c}) for a, b, c in rows))
+    I.first_scenes(stream, accepted, state).awaitTermination()
+    assert sorted((r["scene_key"], r["path"]) for r in spark.read.parquet(accepted).collect()) == [
+        ("S1", "/y/s1.SAFE"), ("S2", "/z/S2.zip"), ("S3", "/z/S3.zip")]
 
     runs = tmp_path / "runs"
     runs.mkdir()
