@@ -66,45 +66,49 @@ def _split(df: DataFrame, group: list[str], order: Column, bucket: Column, wante
     """Flag the first ``wanted`` rows of every group along ``order``.
 
     Only rows of the one bucket that the boundary cuts are ranked; all others are decided
-    by comparing bucket numbers.
+    by comparing bucket numbers. A NULL in ``group`` is a group like any other: the joins go by
+    a struct of the group columns, which is never NULL itself and equals one with the same NULLs.
     """
     keyed = df.withColumns({"__order": order, "__bucket": bucket})
-    counts = keyed.groupBy(*group, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    totals = counts.groupBy(*group).agg(F.sum("__n").alias("n"))
-    totals = totals.select(*group, wanted.alias("__wanted"))
-    running = W.partitionBy(*group).orderBy("__bucket").rowsBetween(W.unboundedPreceding, 0)
+    if group:
+        keyed = keyed.withColumn("__group", F.struct(*group))
+    key = ["__group"] if group else []
+    counts = keyed.groupBy(*key, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    totals = counts.groupBy(*key).agg(F.sum("__n").alias("n"))
+    totals = totals.select(*key, wanted.alias("__wanted"))
+    running = W.partitionBy(*key).orderBy("__bucket").rowsBetween(W.unboundedPreceding, 0)
     cumulative = counts.withColumn("__upto", F.sum("__n").over(running))
     if group:
-        bounds = cumulative.join(totals, group)
+        bounds = cumulative.join(totals, key)
     else:
         bounds = cumulative.withColumn("__wanted", totals.select("__wanted").scalar())
     # The cut bucket is the first whose running count reaches the wanted count.
     cut = (
         bounds.where(F.col("__upto") >= F.col("__wanted"))
-        .groupBy(*group)
+        .groupBy(*key)
         .agg(F.min("__bucket").alias("__cut"),
              F.min_by(F.col("__wanted") - F.col("__upto") + F.col("__n"), "__bucket").alias("__rest"))
     )
     if group:
         # One row per group: broadcast behind a size check, so that the rows are not shuffled.
-        flagged = attach(keyed, cut, group, "inner")
+        flagged = attach(keyed, cut, key, "inner")
     else:
         one = cut.select(F.struct("__cut", "__rest").alias("s")).scalar()
         flagged = keyed.withColumn("__s", one).select(
             "*", F.col("__s.__cut").alias("__cut"), F.col("__s.__rest").alias("__rest")).drop("__s")
     decided = flagged.where(F.col("__bucket") != F.col("__cut")).withColumn(
         "is_valid", F.col("__bucket") < F.col("__cut"))
-    place = F.row_number().over(W.partitionBy(*group, "__bucket").orderBy("__order", *ties))
+    place = F.row_number().over(W.partitionBy(*key, "__bucket").orderBy("__order", *ties))
     ranked = flagged.where(F.col("__bucket") == F.col("__cut")).withColumn(
         "is_valid", place <= F.col("__rest"))
-    return decided.unionByName(ranked).drop("__order", "__bucket", "__cut", "__rest")
+    return decided.unionByName(ranked).drop("__order", "__bucket", "__cut", "__rest", *key)
 
 
 def stratified_split(df: DataFrame, label: str, keys: Sequence[str], valid_share: float = 0.3,
                      seed: int = 42, order: Column | None = None, bucket: Column | None = None) -> DataFrame:
     """Add ``is_valid``: per label, round(n * share) rows (half to even), at least 1 and at most n - 1.
 
-    ``keys`` identify a row. ``order`` and ``bucket`` replace the default hash order.
+    Rows with a NULL label are one class. ``keys`` identify a row. ``order`` and ``bucket`` replace the default hash order.
     """
     small = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < 2)
     if not small.isEmpty():

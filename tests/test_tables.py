@@ -84,6 +84,18 @@ def test_exact_splits_with_a_hot_label(spark):
     assert K.random_split(frame.limit(2), ["label", "k"], 0.3).where("is_valid").count() == 0
 
 
+@pytest.mark.parametrize("max_rows", [1, 100_000])
+def test_exact_splits_keep_a_hot_null_label(spark, monkeypatch, max_rows):
+    attach = J.attach
+    monkeypatch.setattr(K, "attach", lambda *a: attach(*a, max_rows=max_rows))
+    rows = [(None, i) for i in range(900)] + [("few", i) for i in range(5)] + [("", i) for i in range(3)]
+    frame = spark.createDataFrame(rows, "label string, k int")
+    out = K.stratified_split(frame, "label", ["label", "k"], 0.3)
+    sizes = {row["label"]: (row["n"], row["v"]) for row in out.groupBy("label").agg(F.count("*").alias("n"), F.count_if("is_valid").alias("v")).collect()}
+    assert sizes == {None: (900, 270), "few": (5, 2), "": (3, 1)}
+    assert out.columns == ["label", "k", "is_valid"] and out.drop("is_valid").exceptAll(frame).count() == 0
+
+
 def test_salted_lookup_keeps_every_row(spark):
     big = spark.createDataFrame([("hot" if i % 3 == 0 else f"k{i}", i) for i in range(3000)], "key string, v int")
     small = big.groupBy("key").agg(F.max("v").alias("top"))
