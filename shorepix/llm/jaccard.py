@@ -1,4 +1,4 @@
-"""Exact Jaccard join of documents on word shingles, as connected components.
+"""Exact Jaccard join of documents on word shingles, as connected components or as all links.
 
 Sets are 64-bit hashes of shingles, ordered by hash. Two sets of similarity t share an element among the first
 |x| - ceil(t |x|) + 1 of each in any common order, so inverted lists are built over prefixes only. What relations between
@@ -20,6 +20,9 @@ sets save:
   sketches differ in no more bits than their sets differ in elements, so in a long list a pair whose sketches differ too
   much is skipped.
 
+All links lie inside the components, so they are found there: a component is cut into blocks of sets, and each pair of
+blocks gives the overlaps of all its sets at once, as products of incidence matrices.
+
 Every comparison reads both whole sets.
 """
 
@@ -45,6 +48,8 @@ SAMPLED = 2
 #: Rounds over lists of more than FREQUENT entries, and how many sets of a list the others are compared with in each.
 ROUNDS, LEADERS = 2, 8
 SKETCH_BITS = 512
+#: Sets and elements of a block, about; elements of the small components that one task call compares; columns of a product.
+BLOCK, BLOCK_ELEMENTS, SMALL_ELEMENTS, COLUMNS = 512, 1 << 19, 1 << 16, 4096
 _MIX = np.array([0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
 
@@ -167,6 +172,73 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
 
 
+def overlaps(x: list[np.ndarray], y: list[np.ndarray] | None = None) -> np.ndarray:
+    """|a n b| for every set a of ``x`` and b of ``y``. Without ``y`` of every two sets of ``x``; the diagonal is not meant."""
+    mine = np.concatenate(x)
+    if y is None:
+        shared, times = np.unique(mine, return_counts=True)
+        shared = shared[times > 1]
+    else:
+        shared = np.intersect1d(mine, np.concatenate(y))
+
+    def cells(sets):
+        every = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.searchsorted(shared, every)
+        held = shared[np.minimum(at, len(shared) - 1)] == every
+        order = np.argsort(at[held], kind="stable")
+        return owner[held][order], at[held][order], len(sets)
+
+    def columns(side, low):
+        owner, at, n = side
+        a, b = np.searchsorted(at, [low, low + COLUMNS])
+        matrix = np.zeros((n, min(COLUMNS, len(shared) - low)), np.float32)
+        matrix[owner[a:b], at[a:b] - low] = 1
+        return matrix
+
+    out = np.zeros((len(x), len(x if y is None else y)), np.int64)
+    if len(shared):
+        left = cells(x)
+        right = left if y is None else cells(y)
+        for low in range(0, len(shared), COLUMNS):
+            one = columns(left, low)
+            out += (one @ (one if y is None else columns(right, low)).T).astype(np.int64)
+    return out
+
+
+def _cell_links(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The links (v of one set, v of the other) of each component in a cell: comp, i, j, own, v, elements. Where i and j are
+    different blocks, only those between them."""
+    table = table.sort_by("comp").combine_chunks()
+    comp, i, j, own, v = (table.column(k).to_numpy() for k in range(5))
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column(5)]
+    starts = np.flatnonzero(np.diff(comp, prepend=comp[0] - 1)) if len(comp) else []
+    for a, b in zip(starts, [*starts[1:], len(comp)], strict=True):
+        if i[a] == j[a]:
+            left = right = np.arange(a, b)
+            both = overlaps(sets[a:b])
+        else:
+            left, right = a + np.flatnonzero(own[a:b] == i[a]), a + np.flatnonzero(own[a:b] == j[a])
+            if not len(left) or not len(right):
+                continue
+            both = overlaps([sets[k] for k in left], [sets[k] for k in right])
+        n, m = (np.array([len(sets[k]) for k in side]) for side in (left, right))
+        ok = 100 * both >= PERCENT * (n[:, None] + m[None, :] - both)
+        x, y = np.nonzero(np.triu(ok, 1) if left is right else ok)
+        yield v[left[x]], v[right[y]]
+
+
+def _link_pairs(table: pa.Table) -> pa.Table:
+    found = [(np.minimum(a, b), np.maximum(a, b)) for a, b in _cell_links(table)]
+    return pa.table({name: pa.array(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64)) for k, name in enumerate("ab")})
+
+
+def _link_counts(table: pa.Table) -> pa.Table:
+    ends = [end for pair in _cell_links(table) for end in pair]
+    v, n = np.unique(np.concatenate(ends) if ends else np.zeros(0, np.int64), return_counts=True)
+    return pa.table({"v": pa.array(v.astype(np.int64)), "n_links": pa.array(n.astype(np.int64))})
+
+
 class _Join:
     """The steps of one join; ``texts``: (doc_id, text), ``sets``: (v, doc_id, n, set_hash), one row per distinct set."""
 
@@ -197,17 +269,8 @@ def _possible(a: str, b: str):
     return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & ((100 + PERCENT) * most >= PERCENT * (n + m))
 
 
-def similar_documents(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and n_copies of every document.
-
-    Two documents link when 100 * |x n y| >= 80 * |x u y| for their sets of 5-word shingles. component_id is the smallest
-    doc_id reachable by links, the document's own included. Null and empty texts, and texts without words, have no shingle
-    and link with nothing. Equal rows give equal rows; rows that share a doc_id are separate sets with one id. A row with a
-    null doc_id gets the component of the documents with an equal set, if there are any, else null. Other columns are
-    ignored; an empty table stays empty.
-
-    n_copies is the number of documents with the same set.
-    """
+def _grouped(documents: DataFrame) -> tuple[_Join, DataFrame, DataFrame]:
+    """The join, the rows (doc_id, n, set_hash, ...) and the distinct sets: v, doc_id, n, set_hash, copies, least_doc, comp."""
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = staged(texts.mapInArrow(_signatures, "doc_id long, n int, set_hash long, prefix binary, sketch array<long>")
                     .withColumn("v", F.monotonically_increasing_id()))
@@ -300,7 +363,21 @@ def similar_documents(documents: DataFrame) -> DataFrame:
     most = F.col("shared") + F.greatest(F.col("n") - needed(F.col("n")), F.col("m") - needed(F.col("m")))
     more = join.links(pairs.filter((100 + PERCENT) * most >= PERCENT * (F.col("n") + F.col("m"))))
     labels = components(more.union(labels.toDF("a", "b")))
-    members = classes.join(labels, "v", "left").select("set_hash", "copies", "least_doc", F.coalesce("comp", "v").alias("comp"))
+    return join, signed, classes.join(labels, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
+
+
+def similar_documents(documents: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and n_copies of every document.
+
+    Two documents link when 100 * |x n y| >= 80 * |x u y| for their sets of 5-word shingles. component_id is the smallest
+    doc_id reachable by links, the document's own included. Null and empty texts, and texts without words, have no shingle
+    and link with nothing. Equal rows give equal rows; rows that share a doc_id are separate sets with one id. A row with a
+    null doc_id gets the component of the documents with an equal set, if there are any, else null. Other columns are
+    ignored; an empty table stays empty.
+
+    n_copies is the number of documents with the same set. The links themselves: ``linked_documents`` and ``all_links``.
+    """
+    _, signed, members = _grouped(documents)
     ids = members.groupBy("comp").agg(F.min("least_doc").alias("component_id"))
     named = members.join(ids, "comp").select("set_hash", "copies", "component_id")
     return (signed.select("doc_id", "n", "set_hash").join(named, "set_hash", "left")
@@ -308,6 +385,52 @@ def similar_documents(documents: DataFrame) -> DataFrame:
                     F.coalesce("copies", F.lit(1)).alias("n_copies")))
 
 
+def _cells(join: _Join, members: DataFrame):
+    """The whole sets of all components of several sets, grouped by the blocks that are compared with each other."""
+    blocks = F.ceil(F.greatest(F.col("c") / BLOCK, F.col("total") / BLOCK_ELEMENTS)).cast("int")
+    sizes = staged(members.groupBy("comp").agg(F.count("*").alias("c"), F.sum("n").alias("total")).filter("c > 1").withColumn("blocks", blocks))
+    small = sizes.filter("blocks = 1").agg(F.sum("total")).first()[0] or 0
+    inside = staged(members.join(size_checked(sizes.select("comp", "blocks")), "comp").select("v", "doc_id", "set_hash", "comp", "blocks"))
+    full = staged(join.of(inside, _full_sets, "elements").select("comp", "blocks", "v", "elements"))
+    own = F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")
+    dealt = full.withColumn("own", own).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    # A component of several blocks has cells of its own; those of one block share cells.
+    cell = F.when(F.col("blocks") > 1, F.col("comp")).otherwise(-1 - F.pmod(F.xxhash64("comp"), F.lit(small // SMALL_ELEMENTS + 1)))
+    return dealt.select("comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "v", "elements", cell.alias("cell")).groupBy("cell", "i", "j")
+
+
+def all_links(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, links): doc_id and set_id of every row, and each pair (a, b) of distinct sets that are similar, a < b, once.
+
+    Links are those of ``similar_documents``; equal sets are one set_id. set_id is null where no document id or no word is
+    given to link. The links of a group of near-copies grow with the square of its size.
+    """
+    join, signed, members = _grouped(documents)
+    members = staged(members)
+    found = staged(_cells(join, members).applyInArrow(_link_pairs, "a long, b long"))
+    name = members.select("v", "set_hash")
+    links = found.join(name.toDF("a", "x"), "a").join(name.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    known = members.select("set_hash", F.col("set_hash").alias("set_id"))
+    return signed.select("doc_id", "set_hash").join(known, "set_hash", "left").select("doc_id", "set_id"), links
+
+
+def linked_documents(documents: DataFrame) -> DataFrame:
+    """The columns of ``similar_documents`` with class_id, the smallest doc_id with an equal set, and n_links, the number of
+    other sets that the document's set is similar to. All links are counted, but no pair becomes a row.
+
+    A text without words is a class of its own. Rows with a null doc_id get the class of an equal set, if there is any.
+    """
+    join, signed, members = _grouped(documents)
+    members = staged(members)
+    counts = _cells(join, members).applyInArrow(_link_counts, "v long, n_links long").groupBy("v").agg(F.sum("n_links").alias("n_links"))
+    ids = members.groupBy("comp").agg(F.min("least_doc").alias("component_id"))
+    named = staged(members.join(ids, "comp").join(counts, "v", "left").select("set_hash", "copies", "component_id", F.col("least_doc").alias("class_id"), "n_links"))
+    return (signed.select("doc_id", "n", "set_hash").join(named, "set_hash", "left")
+            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"),
+                    F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("copies", F.lit(1)).alias("n_copies"),
+                    F.coalesce("n_links", F.lit(0)).alias("n_links")))
+
+
 def one_of_each_group(documents: DataFrame) -> DataFrame:
     """The documents, all columns, without those whose component holds a smaller doc_id. Rows that share a doc_id stay or
     go together; rows with a null doc_id stay."""

@@ -142,3 +142,38 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN same USING (doc_id)
 JOIN (SELECT v, min(r) AS component_id FROM reach GROUP BY v) c ON c.v = d.doc_id""")
 def ngram_jaccard_join(spark, folder):
     return jaccard.similar_documents(table(spark, folder, "documents"))
+
+
+@query("op9_ngram_jaccard_links", r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g
+  FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+inverted AS (SELECT g, doc_id FROM s QUALIFY count(*) OVER (PARTITION BY g) > 1),
+overlap AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+  FROM inverted a JOIN inverted b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS MATERIALIZED (
+  SELECT x, y FROM overlap JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y
+  WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+both_ways AS MATERIALIZED (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (
+  SELECT doc_id AS v, doc_id AS r FROM documents
+  UNION
+  SELECT both_ways.y, reach.r FROM reach JOIN both_ways ON both_ways.x = reach.v),
+same AS (
+  SELECT doc_id, min(doc_id) OVER (PARTITION BY g) AS class_id, count(*) OVER (PARTITION BY g) AS n_copies
+  FROM (SELECT doc_id, list_sort(list(g)) AS g FROM s GROUP BY doc_id)),
+links AS (
+  SELECT x AS doc_id, count(DISTINCT b.class_id) AS n_links
+  FROM both_ways JOIN same a ON a.doc_id = x JOIN same b ON b.doc_id = y WHERE a.class_id <> b.class_id GROUP BY x)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS INTEGER) AS n_shingles, coalesce(same.class_id, d.doc_id) AS class_id, c.component_id,
+       coalesce(same.n_copies, 1) AS n_copies, coalesce(links.n_links, 0) AS n_links
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN same USING (doc_id) LEFT JOIN links USING (doc_id)
+JOIN (SELECT v, min(r) AS component_id FROM reach GROUP BY v) c ON c.v = d.doc_id""")
+def ngram_jaccard_links(spark, folder):
+    return jaccard.linked_documents(table(spark, folder, "documents"))

@@ -228,6 +228,42 @@ def test_jaccard_against_brute_force(spark, none):
     assert jaccard.similar_documents(none).count() == 0
 
 
+def test_all_jaccard_links_against_brute_force(spark, none, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 8)  # so that the large group has several blocks
+    monkeypatch.setattr(jaccard, "COLUMNS", 16)
+    rng = random.Random(14)
+    texts = [_text(k, 60, 2) for k in range(6)]
+    for k in range(60):
+        words = texts[k % 3].split()
+        for _ in range(rng.randrange(3)):
+            words[rng.randrange(len(words))] = f"n{rng.randrange(9)}"
+        texts.append(" ".join(words))
+    texts += [None, "", "A b", "a  B", texts[0].upper()]
+    sets = []
+    for t in texts:
+        w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").split()
+        sets.append(frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
+    similar = {x: {y for y in sets if x and y and x != y and 100 * len(x & y) >= 80 * len(x | y)} for x in sets}
+    frame = spark.createDataFrame([(k, t, None, None, 0) for k, t in enumerate(texts)], DOCS)
+    out = {r.doc_id: r for r in jaccard.linked_documents(frame).collect()}
+    plain = {r.doc_id: r for r in jaccard.similar_documents(frame).collect()}
+    for k, x in enumerate(sets):
+        assert out[k].n_links == len(similar[x]) and out[k].class_id == (sets.index(x) if x else k)
+        assert all(out[k][name] == plain[k][name] for name in ("n_shingles", "component_id", "n_copies"))
+    members, links = jaccard.all_links(frame)
+    of = {r.set_id: sets[r.doc_id] for r in members.collect() if r.set_id is not None}
+    found = [frozenset((of[r.a], of[r.b])) for r in links.collect()]
+    assert len(found) == len(set(found)) and set(found) == {frozenset((x, y)) for x, some in similar.items() for y in some}
+    assert len(of) == len(set(sets) - {frozenset()}) and len(found) > 100
+    # Components follow from the links.
+    comp = {r.v: r.comp for r in graph.components(links).collect()}
+    groups = {}
+    for r in members.collect():
+        groups.setdefault(comp.get(r.set_id, r.set_id if r.set_id is not None else ("none", r.doc_id)), set()).add(plain[r.doc_id].component_id)
+    assert all(len(g) == 1 for g in groups.values()) and len(groups) == len({r.component_id for r in plain.values()})
+    assert jaccard.linked_documents(none).count() == 0 and jaccard.all_links(none)[1].count() == 0
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (5, 5), (3, 10), (8, 7)], "a long, b long")
     assert {r.v: r.comp for r in graph.components(edges).collect()} == {1: 1, 2: 1, 3: 1, 10: 1, 9: 7, 8: 7, 7: 7, 5: 5}
