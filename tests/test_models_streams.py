@@ -245,3 +245,14 @@ def test_finished_inputs_are_archived(spark, tmp_path):
     while time.time() < deadline and not [f for _, _, files in os.walk(archive) for f in files if f.endswith(".parquet")]:
         time.sleep(0.5)
     assert [f for _, _, files in os.walk(archive) for f in files if f.endswith(".parquet")]
+
+
+def test_training_query_trains_the_operators_own_size(spark, monkeypatch):
+    import workload
+
+    workload.load_all()
+    made = []
+    perceptron = T.MultilayerPerceptronClassifier
+    monkeypatch.setattr(T, "MultilayerPerceptronClassifier", lambda **given: made.append(given) or perceptron(**given))
+    assert workload.QUERIES["dense_training"](spark, "/root/testdata/sf0.001").count() > 0
+    assert [(g["layers"][1:-1], g["maxIter"]) for g in made] == [([200, 100], 20)]

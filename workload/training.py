@@ -20,7 +20,7 @@ def dense_training(spark, folder):
     source = D.spectra(spark, folder).withColumn("True_Class", F.col("label").cast("string"))
     raw = [S.raw_name(band) for band in S.MODEL_BANDS[S.SPECTRAL]]
     full = X.with_feature_indices(X.with_standardised(source, raw))
-    model = T.train_dense(full, S.SPECTRAL, epochs=10, hidden=(20, 10))
+    model = T.train_dense(full, S.SPECTRAL)
     scored = model.score(full)
     predicted = C.label_of(F.col("probs"), model.vocabulary)
     return scored.groupBy(F.col("True_Class").alias("true_label"), predicted.alias("pred_label")).agg(F.count(F.lit(1)).alias("n"))
