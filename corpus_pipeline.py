@@ -48,7 +48,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best-fit packing", packed),
 ]
 
-#: Trained language models and a tokenizer are beyond SQL; a brute-force version is in tests/llm.
+#: Trained language models and a tokenizer are beyond SQL; tests/llm has brute-force versions of line dedup and of the Jaccard join.
 ORACLE_SQL = None
 
 

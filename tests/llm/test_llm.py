@@ -202,6 +202,45 @@ def test_line_dedup(spark, none):
     assert line_dedup.without_repeated_lines(none).count() == 0
 
 
+def test_line_dedup_against_brute_force(spark):
+    """op8 and the pipeline's second stage on random near-copies of lines."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    bases = [[rng.choice(WORDS[:12]) for _ in range(rng.randrange(1, 10))] for _ in range(60)]
+    texts = []
+    for _ in range(80):
+        lines = []
+        for _ in range(rng.randrange(1, 6)):
+            words = list(rng.choice(bases)) if rng.random() < 0.6 else [rng.choice(WORDS) for _ in range(rng.randrange(8))]
+            for _ in range(rng.randrange(3)):
+                at, what = rng.randrange(len(words) + 1), rng.randrange(3)
+                words[at:at + (what != 1)] = [f"n{rng.randrange(4)}"] if what else []
+            lines.append(" ".join(words))
+        texts.append("\n".join(lines))
+
+    def near(x, y):
+        without = [{(k, *w[:k], *w[k + 1:]) for k in range(len(w))} for w in (x, y)]
+        one_less = any(tuple(b) == w[1:] for a, b in ((0, y), (1, x)) for w in without[a])
+        return x == y or (min(len(x), len(y)) >= 5 and (one_less or (len(x) == len(y) and bool(without[0] & without[1]))))
+
+    earlier, want = [], {}
+    for k, text in enumerate(texts):
+        kept = []
+        for line in text.split("\n"):
+            words = line.split()
+            if not words or not any(near(words, other) for other in earlier):
+                kept.append(line)
+            earlier.append(words)
+        want[k] = ("\n".join(kept), text.count("\n") + 1 - len(kept))
+    frame = spark.createDataFrame([(k, t, None, None, 0) for k, t in enumerate(texts)], DOCS)
+    out = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.without_repeated_lines(frame, ["doc_id", "text"]).collect()}
+    assert out == want and 50 < sum(n for _, n in want.values()) < len(earlier)
+    stay = {k: (t, len(t)) for k, (t, _) in want.items() if t.split() or not texts[k].split()}
+    left = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.lines_deduplicated(spark, frame, "").collect()}
+    assert left == stay and len(stay) < len(texts)
+
+
 def test_jaccard_against_brute_force(spark, none):
     rng = random.Random(4)
     texts = [_text(k, 20, 2) for k in range(6)]
