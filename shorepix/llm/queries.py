@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shorepix.llm import (decontamination, fill_middle, jaccard, language, line_dedup, packing, quality, sharding,
+from shorepix.llm import (decontamination, fill_middle, jaccard, language, lexical, line_dedup, packing, quality, sharding,
                           token_counts, token_files, topk)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -202,3 +202,27 @@ def swar_fill_middle(spark, folder):
     digest = lambda text: F.sha2(text.cast("binary"), 256)
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"),
                        digest(fill_middle.restored(F.col("form"), F.col("output"))).alias("restored_sha256"))
+
+
+@query("op12_dual_tree_search", r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents WHERE text IS NOT NULL),
+i AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark WHERE text IS NOT NULL),
+q AS (SELECT item_id, term, count(*) AS times FROM i GROUP BY ALL),
+c AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS total FROM d WHERE len(w) > 0),
+f AS (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d),
+t AS MATERIALIZED (SELECT doc_id, term, any_value(n) AS n, count(*) AS tf FROM f WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term),
+v AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM t, c GROUP BY term),
+s AS (
+  SELECT item_id, doc_id,
+         CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * docs) // total))))) AS BIGINT) AS score
+  FROM t JOIN q USING (term) JOIN v USING (term), c GROUP BY item_id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 20""")
+def dual_tree_search(spark, folder):
+    return lexical.ranked_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
