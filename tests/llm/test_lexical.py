@@ -100,4 +100,4 @@ def test_whole_batches_are_skipped():
         total = dense[:, held].sum(axis=1)
         order = np.lexsort((np.arange(docs), -total))[:3]
         assert search.best[item][1].tolist() == order.tolist() and search.best[item][0].tolist() == total[order].tolist()
-    assert search.pairs == docs * 20 and search.scored < 0.1 * search.pairs
+    assert search.pairs == docs * 20 and search.scored < 0.15 * search.pairs
