@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shorepix.llm import (decontamination, fill_middle, jaccard, language, lexical, line_dedup, packing, quality, sharding,
-                          token_counts, token_files, topk)
+                          token_counts, token_files, topk, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -226,3 +226,13 @@ r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 20""")
 def dual_tree_search(spark, folder):
     return lexical.ranked_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op13_content_archive", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+r AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS kept FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> kept THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> kept THEN kept END AS refers_to
+FROM r""")
+def content_archive(spark, folder):
+    return warc.record_facts(warc.read_archive(spark, warc.write_archive(table(spark, folder, "pages"))))
