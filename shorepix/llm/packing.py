@@ -19,13 +19,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shorepix.llm.store import fresh, staged
-from shorepix.llm.tokens import MEMO_PIECES, chunks, default_tokenizer, encoder, trim
+from shorepix.llm.tokens import MEMO_BYTES, chunks, default_tokenizer, encoder, trim
 
 CLASSES = 128
 MOST_IN_PATTERN = 4
@@ -240,23 +239,22 @@ def pack(pieces: DataFrame, capacity: int, length: str = "length") -> DataFrame:
     columns = list(pieces.columns)
     schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
 
-    def places(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = shared.value
         keys = rows[:, 0] * (1 << 44) + rows[:, 1]
-        for frame in frames:
-            n, rank = frame[length].to_numpy(np.int64), frame["__rank"].to_numpy(np.int64)
+        at = columns.index(length)
+        for batch in batches:
+            n, rank = batch.column(at).to_numpy().astype(np.int64), batch.column(len(columns)).to_numpy()
             found = rows[np.searchsorted(keys, n * (1 << 44) + rank, "right") - 1]
             step = rank - found[:, 1]
-            frame = frame[columns].copy()
-            frame["sequence_id"] = found[:, 3] + step // found[:, 5]
-            frame["offset"] = found[:, 4] + step % found[:, 5] * n
-            yield frame
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found[:, 3] + step // found[:, 5]), pa.array(found[:, 4] + step % found[:, 5] * n)],
+                                             names=[*columns, "sequence_id", "offset"])
 
-    return numbered.mapInPandas(places, schema)
+    return numbered.mapInArrow(places, schema)
 
 
 def token_pieces(documents: DataFrame, capacity: int, tokenizer: str | None = None, by_word: bool = True,
-                 with_ids: bool = False, memo_pieces: int = MEMO_PIECES) -> DataFrame:
+                 with_ids: bool = False, memo_bytes: int = MEMO_BYTES) -> DataFrame:
     """Encode whole texts, close each with id 1 and cut those longer than ``capacity``: one row per piece with doc_id,
     piece, start, length, ids_crc32 (unsigned, of little-endian uint32 ids) and, if asked for, ids (binary).
 
@@ -268,7 +266,7 @@ def token_pieces(documents: DataFrame, capacity: int, tokenizer: str | None = No
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim()
-        coder = encoder(tokenizer, by_word, False, memo_pieces)
+        coder = encoder(tokenizer, by_word, False, memo_bytes)
         for batch in batches:
             doc_ids = batch.column(0).to_numpy(zero_copy_only=False)
             for at, texts in chunks(batch.column(1).to_pylist()):
@@ -292,8 +290,8 @@ def token_pieces(documents: DataFrame, capacity: int, tokenizer: str | None = No
 
 
 def pack_documents(documents: DataFrame, capacity: int = 4096, tokenizer: str | None = None, by_word: bool = True,
-                   with_ids: bool = False, memo_pieces: int = MEMO_PIECES) -> DataFrame:
+                   with_ids: bool = False, memo_bytes: int = MEMO_BYTES) -> DataFrame:
     """Pieces of all documents with their sequence and offset. The pieces are written once to the shared folder, so that
-    histogram, numbering and places see the same rows and texts are encoded once. ``memo_pieces``: what a
-    worker remembers (see :mod:`shorepix.llm.tokens`); the rows are the same with any number."""
-    return pack(staged(token_pieces(documents, capacity, tokenizer, by_word, with_ids, memo_pieces)), capacity)
+    histogram, numbering and places see the same rows and texts are encoded once. ``memo_bytes``: what a
+    worker may remember (see :mod:`shorepix.llm.tokens`); the rows are the same with any number."""
+    return pack(staged(token_pieces(documents, capacity, tokenizer, by_word, with_ids, memo_bytes)), capacity)

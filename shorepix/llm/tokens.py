@@ -20,10 +20,12 @@ import numpy as np
 import pyarrow as pa
 
 END_ID = 1
-#: Pieces a worker remembers before it forgets those it has seen least; about 300 MB with their words.
-MEMO_PIECES = 1_000_000
+#: Memory that a worker's memo may take, about, before it forgets the pieces it has seen least.
+MEMO_BYTES = 256 << 20
+#: What a remembered piece takes beside its characters and ids: string, dictionary entry, row.
+PIECE_BYTES = 200
 #: Characters handled at once.
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 500_000
 
 
 def default_tokenizer() -> str:
@@ -32,20 +34,19 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: ASCII punctuation that never shares a token with a letter before it.
+#: ASCII punctuation that a tokenizer may set off from the letter before it.
 _MARKS = string.punctuation.replace("'", "")
 
 
 class _Memo(dict):
     """Piece -> row; unknown pieces get the next row and wait in ``new``."""
 
-    def __init__(self, first: int):
+    def __init__(self):
         super().__init__()
-        self.first = first
         self.new: list[str] = []
 
     def __missing__(self, piece: str) -> int:
-        row = self[piece] = len(self) + self.first
+        row = self[piece] = len(self) + 1
         self.new.append(piece)
         return row
 
@@ -55,31 +56,32 @@ class _Ragged:
 
     def __init__(self):
         self.rows = self.used = 0
-        self.first, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.first, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int32)
         self.ids, self.span = np.zeros(4096, np.uint32), np.zeros((4096, 2), np.int32)
 
     @staticmethod
-    def _room(array: np.ndarray, rows: int) -> np.ndarray:
+    def room(array: np.ndarray, rows: int) -> np.ndarray:
         if rows <= len(array):
             return array
-        bigger = np.zeros((max(rows, 2 * len(array)), *array.shape[1:]), array.dtype)
+        bigger = np.zeros((max(rows, len(array) + len(array) // 2), *array.shape[1:]), array.dtype)
         bigger[:len(array)] = array
         return bigger
 
-    def add(self, count: np.ndarray, ids: np.ndarray, span: np.ndarray | None) -> None:
-        rows, used = self.rows + len(count), self.used + len(ids)
-        self.first, self.count, self.ids = self._room(self.first, rows), self._room(self.count, rows), self._room(self.ids, used)
-        self.first[self.rows:rows] = self.used + np.cumsum(count) - count
-        self.count[self.rows:rows] = count
+    def put(self, rows: np.ndarray, count: np.ndarray, ids: np.ndarray, span: np.ndarray | None) -> None:
+        """Set new ``rows``, in any order."""
+        most, used = max(self.rows, int(rows.max(initial=-1)) + 1), self.used + len(ids)
+        self.first, self.count, self.ids = self.room(self.first, most), self.room(self.count, most), self.room(self.ids, used)
+        self.first[rows] = self.used + np.cumsum(count) - count
+        self.count[rows] = count
         self.ids[self.used:used] = ids
         if span is not None:
-            self.span = self._room(self.span, used)
+            self.span = self.room(self.span, used)
             self.span[self.used:used] = span
-        self.rows, self.used = rows, used
+        self.rows, self.used = most, used
 
     def take(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(positions in the flat arrays, ids per row) of these rows, one after the other."""
-        count = self.count[row]
+        count = self.count[row].astype(np.int64)
         ends = np.cumsum(count)
         return np.repeat(self.first[row] - ends + count, count) + np.arange(ends[-1] if len(ends) else 0), count
 
@@ -88,76 +90,90 @@ class Encoder:
     """Ids, and with ``spans`` the character span of each id, of whole texts.
 
     A new piece is taken apart once more: capital ASCII letters are made small (the tokenizer does that too) and the
-    punctuation after its last letter is set off, so that only new words reach the library. Pieces with ``<|``, where a
-    special token may start, stay as they are.
+    punctuation after its last letter is set off where the tokenizer sets it off itself, so that only new words reach the
+    library; words are pieces of the same memo. Pieces with ``<|``, where a special token may start, stay as they are.
     """
 
-    def __init__(self, path: str, by_word: bool = True, spans: bool = False, memo_pieces: int = MEMO_PIECES):
+    def __init__(self, path: str, by_word: bool = True, spans: bool = False, memo_bytes: int = MEMO_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.by_word, self.spans, self.memo_pieces = by_word, spans, memo_pieces
+        self.by_word, self.spans, self.memo_bytes = by_word, spans, memo_bytes
+        self.set_off: dict[str, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
-        self.memo, self.words = _Memo(1), _Memo(0)
-        self.table, self.word_table = _Ragged(), _Ragged()
-        self.table.add(np.ones(1, np.int64), np.array([END_ID]), np.zeros((1, 2), np.int32) if self.spans else None)
-        self.seen = np.zeros(1024, np.int64)
+        self.memo, self.table, self.seen, self.held = _Memo(), _Ragged(), np.zeros(1024, np.int64), 0
+        self.table.put(np.zeros(1, np.int64), np.ones(1, np.int64), np.array([END_ID]), np.zeros((1, 2), np.int32) if self.spans else None)
 
     def _forget(self) -> None:
-        """Keep at most half of the pieces, those seen most often."""
-        seen, least = self.seen[1:len(self.memo) + 1], 2
-        while (seen >= least).sum() > self.memo_pieces // 2:
-            least *= 2
-        rows = np.flatnonzero(seen >= least) + 1
-        pieces = [piece for piece, n in zip(self.memo, seen.tolist(), strict=True) if n >= least]
-        take, count = self.table.take(rows)
+        """Keep the pieces seen most often, up to half of the bytes."""
+        rows = np.arange(1, len(self.memo) + 1)
+        size = np.fromiter(map(len, self.memo), np.int64, len(self.memo)) + 4 * self.table.count[rows] + PIECE_BYTES
+        order = np.argsort(-self.seen[rows], kind="stable")
+        keep = np.zeros(len(rows), bool)
+        keep[order[np.cumsum(size[order]) <= self.memo_bytes // 2]] = True
+        pieces = [piece for piece, kept in zip(self.memo, keep.tolist(), strict=True) if kept]
+        take, count = self.table.take(rows[keep])
         ids, span = self.table.ids[take], self.table.span[take] if self.spans else None
         self._reset()
-        self.table.add(count, ids, span)
+        if pieces:
+            self.table.put(np.arange(1, len(pieces) + 1), count, ids, span)
         self.memo.update(zip(pieces, range(1, len(pieces) + 1), strict=True))
+        self.held = int(size[keep].sum())
+
+    def _sets_off(self, word: str) -> bool:
+        """Whether the tokenizer starts a new word at punctuation behind the last character of ``word``. Some letters end in
+        a mark once they are normalized, and a mark shares its word with punctuation."""
+        last = word[-1]
+        known = self.set_off.get(last)
+        if known is None:
+            known = last.isalpha()
+            if known and not last.isascii():
+                plain = self.tokenizer.normalizer.normalize_str(f"a{last}!") if self.tokenizer.normalizer else f"a{last}!"
+                known = self.tokenizer.pre_tokenizer.pre_tokenize_str(plain)[-1][1][0] == len(plain) - 1
+            self.set_off[last] = known
+        return known
 
     def _learn(self) -> None:
-        if len(self.words) > self.memo_pieces:
-            self.words, self.word_table = _Memo(0), _Ragged()
-        parts, width = [], []
-        for piece in self.memo.new:
-            word, marks = piece, ""
-            if "<|" not in piece:
-                word = piece.rstrip(_MARKS)
-                if word and word[-1].isalpha():
-                    marks = piece[len(word):]
-                else:
-                    word = piece
-                width.append(len(word))
-                word = word.lower() if word.isascii() else word
+        memo, base = self.memo, len(self.memo) - len(self.memo.new) + 1
+        whole, whole_row, parts, part_row, width = [], [], [], [], []
+        for row, piece in enumerate(memo.new, base):  # grows by the words it is made of
+            word = piece.rstrip(_MARKS) if "<|" not in piece else ""
+            if not word or not self._sets_off(word):
+                word = piece
+            small = word.lower() if word.isascii() and "<|" not in piece else word
+            if small == piece:
+                whole.append(piece)
+                whole_row.append(row)
             else:
+                parts += [memo[small], memo[piece[len(word):]]]
+                part_row.append(row)
                 width.append(len(word))
-            parts += [self.words[word], self.words[marks]]
-        for low in range(0, len(self.words.new), 20_000):
-            words = self.words.new[low:low + 20_000]
+        for low in range(0, len(whole), 20_000):
             encode = self.tokenizer.encode_batch if self.spans else self.tokenizer.encode_batch_fast
-            found = encode(words, add_special_tokens=False)
+            found = encode(whole[low:low + 20_000], add_special_tokens=False)
             count = np.fromiter((len(x.ids) for x in found), np.int64, len(found))
             ids = np.fromiter((i for x in found for i in x.ids), np.uint32, int(count.sum()))
             span = np.array([s for x in found for s in x.offsets], np.int32).reshape(-1, 2) if self.spans else None
-            self.word_table.add(count, ids, span)
-        take, count = self.word_table.take(np.array(parts, np.int64))
-        span = None
-        if self.spans:
-            shift = np.zeros(len(parts), np.int32)
-            shift[1::2] = width
-            span = self.word_table.span[take] + np.repeat(shift, count)[:, None]
-        self.table.add(count[::2] + count[1::2], self.word_table.ids[take], span)
-        self.memo.new, self.words.new = [], []
+            self.table.put(np.array(whole_row[low:low + 20_000]), count, ids, span)
+        if parts:
+            take, count = self.table.take(np.array(parts))
+            span = None
+            if self.spans:
+                shift = np.zeros(len(parts), np.int32)
+                shift[1::2] = width
+                span = self.table.span[take] + np.repeat(shift, count)[:, None]
+            self.table.put(np.array(part_row), count[::2] + count[1::2], self.table.ids[take], span)
+        self.held += sum(map(len, memo.new)) + PIECE_BYTES * len(memo.new) + 4 * int(self.table.count[base:self.table.rows].sum())
+        memo.new = []
 
     def chunk(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
         """(ids with an end id after each text, ids per text, spans or None). An end id's span is empty, at the end."""
         if not self.by_word:
             return self._whole(texts)
-        if len(self.memo) > self.memo_pieces:
+        if self.held > self.memo_bytes:
             self._forget()
         rows, sizes, starts = [], [], []
         look = self.memo.__getitem__
@@ -172,8 +188,9 @@ class Encoder:
         if self.memo.new:
             self._learn()
         rows = np.concatenate(rows)
-        self.seen = _Ragged._room(self.seen, self.table.rows)
-        self.seen[:self.table.rows] += np.bincount(rows, minlength=self.table.rows)
+        self.seen = _Ragged.room(self.seen, self.table.rows)
+        met = np.bincount(rows)
+        self.seen[:len(met)] += met
         take, count = self.table.take(rows)
         per_text = np.diff(np.cumsum(count)[np.cumsum(sizes) - 1], prepend=0)
         spans = self.table.span[take] + np.repeat(np.concatenate(starts), count)[:, None] if self.spans else None
@@ -189,10 +206,10 @@ class Encoder:
         return ids, per_text, spans
 
 
-@functools.lru_cache(maxsize=2)
-def encoder(path: str, by_word: bool = True, spans: bool = False, memo_pieces: int = MEMO_PIECES) -> Encoder:
+@functools.lru_cache(maxsize=1)
+def encoder(path: str, by_word: bool = True, spans: bool = False, memo_bytes: int = MEMO_BYTES) -> Encoder:
     """One encoder per worker process, kept from task to task."""
-    return Encoder(path, by_word, spans, memo_pieces)
+    return Encoder(path, by_word, spans, memo_bytes)
 
 
 def trim() -> None:

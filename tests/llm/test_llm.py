@@ -48,7 +48,7 @@ def direct():
 def test_encoder_equals_direct_encoding(direct):
     texts = [r[1] or "" for r in _rows()] + ["Don't STOP... now!! x\ty", "ΟΔΟΣ İ é́", "a.b,c  d", "'s 's. ...'"]
     for spans in (False, True):
-        coder = tokens.Encoder(tokens.default_tokenizer(), spans=spans, memo_pieces=20)
+        coder = tokens.Encoder(tokens.default_tokenizer(), spans=spans, memo_bytes=20_000)
         for _ in range(3):
             ids, counts, _ = coder.chunk(texts)
             for part, text in zip(np.split(ids, np.cumsum(counts)[:-1]), texts, strict=True):
