@@ -11,8 +11,8 @@ from shorepix.llm import decontamination, jaccard, language, line_dedup, packing
 from shorepix.llm.store import staged
 
 
-#: Pieces that each worker remembers while it encodes; fewer than by default, as executors have run four stages before.
-MEMO_PIECES = 250_000
+#: Bytes of the memo of each worker that encodes; less than by default, as executors have run four stages before.
+MEMO_BYTES = 32 << 20
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their place in sequences of 4096 tokens."""
-    return packing.pack_documents(docs, 4096, memo_pieces=MEMO_PIECES)
+    return packing.pack_documents(docs, 4096, memo_bytes=MEMO_BYTES)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
