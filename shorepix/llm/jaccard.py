@@ -381,7 +381,7 @@ def similar_documents(documents: DataFrame) -> DataFrame:
     ids = members.groupBy("comp").agg(F.min("least_doc").alias("component_id"))
     named = members.join(ids, "comp").select("set_hash", "copies", "component_id")
     return (signed.select("doc_id", "n", "set_hash").join(named, "set_hash", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
+            .select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
                     F.coalesce("copies", F.lit(1)).alias("n_copies")))
 
 
@@ -426,7 +426,7 @@ def linked_documents(documents: DataFrame) -> DataFrame:
     ids = members.groupBy("comp").agg(F.min("least_doc").alias("component_id"))
     named = staged(members.join(ids, "comp").join(counts, "v", "left").select("set_hash", "copies", "component_id", F.col("least_doc").alias("class_id"), "n_links"))
     return (signed.select("doc_id", "n", "set_hash").join(named, "set_hash", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"),
+            .select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"),
                     F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("copies", F.lit(1)).alias("n_copies"),
                     F.coalesce("n_links", F.lit(0)).alias("n_links")))
 

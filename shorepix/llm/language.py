@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shorepix.llm.store import fresh
 from shorepix.llm.tokens import lean
 from shorepix.llm.words import mixed
 
@@ -146,16 +147,17 @@ def fit(documents: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(languages, np.array([n for _, n in shares], float), counts)
 
 
-def predict(documents: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """doc_id (or the columns ``keep``) plus lang_pred and score (0 to 1) of every document.
+def predict(documents: DataFrame, model: Model, keep: list[str] | None = None, into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """doc_id (or the columns ``keep``) plus lang_pred and score (0 to 1), named ``into``, of every document.
 
     Only the text is looked at, all of it. A null text, or one without any letter, gets UNKNOWN with score 0. Repeated
-    rows get equal rows; other columns are dropped unless kept.
+    rows get equal rows; other columns are dropped unless kept, and names in ``into`` must not be among those kept.
     """
     keep = keep or ["doc_id"]
+    fresh(documents.select(*[F.col(f"`{name}`") for name in keep]), *into)
     kept = documents.select(*[F.col(f"`{name}`") for name in keep])
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    schema = kept.schema.add("lang_pred", "string").add("score", "double")
+    schema = kept.schema.add(into[0], "string").add(into[1], "double")
 
     @lean
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +169,7 @@ def predict(documents: DataFrame, model: Model, keep: list[str] | None = None) -
                 scores.append(values)
             columns = [batch.column(k) for k in range(len(keep))]
             columns += [pa.array(names, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *into])
 
     return documents.select(*[F.col(f"`{name}`") for name in keep], F.col("text").cast("string").alias("__text")).mapInArrow(score, schema)
 
@@ -180,7 +182,10 @@ def identify(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 def with_language(documents: DataFrame, least: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """The documents, all columns, whose language is identified: rejected are texts without a letter, and those for which
-    no language reaches the probability ``least``."""
-    columns = documents.columns
-    found = predict(documents, fit(documents, sample), columns)
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*[F.col(f"`{c}`") for c in columns])
+    no language reaches the probability ``least``.
+
+    Null and empty texts go, repeated rows stay as often as they come, and columns of any other name are kept as they are
+    (also ones named as those of :func:`predict`)."""
+    columns, (name, score) = documents.columns, ("__lang_pred", "__lang_score")
+    found = predict(documents, fit(documents, sample), columns, (name, score))
+    return found.filter((F.col(name) != UNKNOWN) & (F.col(score) >= least)).select(*[F.col(f"`{c}`") for c in columns])

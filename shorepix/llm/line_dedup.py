@@ -192,7 +192,7 @@ def repeated_lines(documents: DataFrame) -> DataFrame:
             .select("doc_id", "line").distinct())
 
 
-def _rebuilt(columns: list[str], text_at: int):
+def _rebuilt(columns: list[str], text_at: int, into: tuple[str, str]):
     @lean
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -210,15 +210,17 @@ def _rebuilt(columns: list[str], text_at: int):
             gone.append(len(drop))
         arrays = [batch.column(k) if k != text_at else pa.array(out, pa.string()) for k in range(len(columns))]
         return pa.RecordBatch.from_arrays([*arrays, pa.array(counts, pa.int32()), pa.array(gone, pa.int32())],
-                                         names=[*columns, "n_lines", "n_dropped"])
+                                         names=[*columns, *into])
 
     return rebuild
 
 
-def without_repeated_lines(documents: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def without_repeated_lines(documents: DataFrame, keep: list[str] | None = None,
+                           into: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
     """The columns ``keep`` (default: all) of every document, its text without the lines of :func:`repeated_lines`, plus
-    n_lines and n_dropped. Texts without such lines are unchanged; null stays null. An empty table stays empty."""
-    columns = keep or documents.columns
+    the numbers of its lines and of those dropped, named ``into`` (they take the place of columns of these names). Texts
+    without such lines are unchanged; null stays null, repeated rows stay repeated. An empty table stays empty."""
+    columns = [c for c in keep or documents.columns if c.lower() not in into]
     drop = staged(repeated_lines(documents))
     pairs = drop.count()
     lists = drop.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list("line").alias("__lines"))
@@ -226,12 +228,14 @@ def without_repeated_lines(documents: DataFrame, keep: list[str] | None = None)
     lists = F.broadcast(lists) if pairs <= 2_000_000 else lists
     joined = (documents.select(*[F.col(f"`{c}`") for c in columns], F.col("doc_id").cast("long").alias("__id"))
               .join(lists, F.col("__id") == F.col("__doc"), "left").select(*[F.col(f"`{c}`") for c in columns], "__lines"))
-    schema = joined.drop("__lines").schema.add("n_lines", "integer").add("n_dropped", "integer")
-    return joined.mapInArrow(_rebuilt(columns, columns.index("text")), schema)
+    schema = joined.drop("__lines").schema.add(into[0], "integer").add(into[1], "integer")
+    return joined.mapInArrow(_rebuilt(columns, columns.index("text"), into), schema)
 
 
 def remaining_documents(documents: DataFrame) -> DataFrame:
-    """The documents, all columns, with texts without repeated lines; a document that had words and has none left goes."""
+    """The documents, all columns, with texts without repeated lines; a document that had words and has none left goes.
+
+    Null and empty texts stay, and so do columns of any other name."""
     columns = documents.columns
-    left = without_repeated_lines(documents)
-    return left.filter((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*[F.col(f"`{c}`") for c in columns])
+    left = without_repeated_lines(documents, into=("__n_lines", "__n_dropped"))
+    return left.filter((F.col("__n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*[F.col(f"`{c}`") for c in columns])

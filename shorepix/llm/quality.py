@@ -8,6 +8,7 @@ marginals, and put on the scale of a probability by a logistic fit.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,8 @@ from shorepix.llm.words import span_hashes, text_slices, word_spans, line_spans
 
 #: Labelled documents per class that are learned from, about; chosen by a hash of the doc_id.
 SAMPLE = 2_000
+#: Lines of a document that are learned from: of a longer one a run of so many, from a place its doc_id decides.
+SAMPLE_LINES = 200
 _CLASSES = np.zeros((256, 8), np.uint8)
 for _k, _bytes in enumerate((range(0x41, 0x5B), range(0x61, 0x7B), range(0x30, 0x3A), range(0x80, 0x100), b".,;:'\"()-?", b"!", b"|/\\<>{}[]=_", b"*$%#&@~^+`")):
     _CLASSES[list(_bytes), _k] = 1
@@ -70,8 +73,9 @@ class Chain:
         self.texts, self.first, self.count = texts[order], first[order], count[order]
         self.active = np.searchsorted(-self.count, -np.arange(1, (self.count[0] if len(count) else 0) + 1), "right")
 
-    def marginals(self, score: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(P(good) of each line, expected number of neighbours for each pair of labels); ``score``: log odds of good."""
+    def marginals(self, score: np.ndarray, transition: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(P(good) of each line, expected number of neighbours for each pair of labels); ``score``: log odds of good,
+        ``weight``: what a pair counts, by the place of its first line (default 1)."""
         unary = np.stack([1 / (1 + np.exp(np.clip(score, -500, 500))), 1 / (1 + np.exp(-np.clip(score, -500, 500)))], axis=1)
         move = np.exp(transition)
         forward, backward = np.zeros_like(unary), np.ones_like(unary)
@@ -88,7 +92,7 @@ class Chain:
             right = unary[after] * backward[after]
             joint = forward[at][:, :, None] * move * right[:, None, :]
             joint /= joint.sum(axis=(1, 2), keepdims=True)
-            pairs += joint.sum(axis=0)
+            pairs += joint.sum(axis=0) if weight is None else (joint * weight[at][:, None, None]).sum(axis=0)
             back = right @ move.T
             backward[at] = back / back.sum(axis=1, keepdims=True)
         both = forward * backward
@@ -116,22 +120,34 @@ def _log_odds(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
+class Objective:
+    """Mean over the documents of their conditional log-likelihood per line, all lines having the document's label."""
+
+    def __init__(self, inputs: np.ndarray, row: np.ndarray, label: np.ndarray):
+        self.inputs, self.chain, self.truth, self.documents = inputs, Chain(row), label[row].astype(float), len(label)
+        self.each = 1 / np.bincount(row, minlength=len(label))[row]  # a document counts once, however many lines it has
+        first = np.flatnonzero(np.diff(row) == 0)
+        self.seen = np.array([[((self.truth[first] == a) & (self.truth[first + 1] == b)) @ self.each[first] for b in (0, 1)] for a in (0, 1)], float)
+
+    def slope(self, theta: np.ndarray) -> np.ndarray:
+        """The gradient by the weights of the features, then by the four transitions."""
+        good, pairs = self.chain.marginals(self.inputs @ theta[:-4], theta[-4:].reshape(2, 2), self.each)
+        return np.concatenate([self.inputs.T @ ((self.truth - good) * self.each), (self.seen - pairs).ravel()]) / self.documents
+
+
 def train(features: np.ndarray, length: np.ndarray, row: np.ndarray, label: np.ndarray, weight: np.ndarray,
           steps: int = 200, decay: float = 1e-3, rate: float = 0.1) -> Model:
-    """Fit by Adam on the mean conditional log-likelihood per document; ``row`` numbers the documents of ``label``
-    (0 or 1) and ``weight`` (how many documents of the corpus each stands for)."""
+    """Fit :class:`Objective` by Adam; ``row`` numbers the documents of ``label`` (0 or 1) and ``weight`` (how many
+    documents of the corpus each stands for). As all lines of a document share its label, a change of label inside a
+    document is never seen and the transitions only learn how strongly neighbours agree."""
     middle, spread = features.mean(axis=0), features.std(axis=0)
     middle[0], spread[spread < 1e-9] = 0, 1
     inputs = (features - middle) / spread
-    chain, truth = Chain(row), label[row].astype(float)
-    together = np.diff(row) == 0
-    seen = np.array([[(together & (truth[:-1] == a) & (truth[1:] == b)).sum() for b in (0, 1)] for a in (0, 1)], float)
-    each = 1 / np.bincount(row, minlength=len(label))[row]  # a document counts once, however many lines it has
+    objective = Objective(inputs, row, label)
     theta = np.zeros(inputs.shape[1] + 4)
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
-        good, pairs = chain.marginals(inputs @ theta[:-4], theta[-4:].reshape(2, 2))
-        slope = np.concatenate([inputs.T @ ((truth - good) * each) / len(label), ((seen - pairs) / max(1, len(row))).ravel()]) - decay * theta
+        slope = objective.slope(theta) - decay * theta
         first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope ** 2
         theta = theta + rate * first / (1 - 0.9 ** step) / (np.sqrt(second / (1 - 0.999 ** step)) + 1e-8)
     model = Model(theta[:-4], theta[-4:].reshape(2, 2), middle, spread, (1.0, 0.0))
@@ -153,7 +169,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     a hash of the doc_id; class sizes come from all labels. Labels other than 0 and 1, null included, are left out; null
     texts count as empty. Without any labelled document the score is 0.5 for every text.
 
-    Only the line features of the sample reach the driver.
+    Only line features reach the driver, of at most SAMPLE_LINES lines of each document of the sample.
     """
     given = (labels.filter(~held_out() & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
              .select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("quality")))
@@ -163,16 +179,19 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     share = F.create_map(*[F.lit(x) for c, n in sizes.items() for x in (c, min(1.0, sample / n))])
     chosen = given.filter(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < share[F.col("quality")] * (1 << 30))
     # About 2 * sample rows of two numbers: small whatever the number of labels.
-    texts = documents.join(F.broadcast(chosen), documents["doc_id"] == chosen["__id"]).select(
-        "__id", "quality", F.col("text").cast("string").alias("__text"))
+    texts = (documents.select(F.col("doc_id").alias("__id"), F.col("text").cast("string").alias("__text"))
+             .join(F.broadcast(chosen), "__id").select("__id", "quality", "__text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, marks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for at, data, bounds in text_slices(batch.column(2)):
                 values, length, row = line_features(data, bounds)
+                cuts = np.searchsorted(row, np.arange(len(bounds)))
                 for k in range(len(bounds) - 1):
-                    mine = row == k
+                    spare = max(0, int(cuts[k + 1] - cuts[k]) - SAMPLE_LINES)
+                    low = int(cuts[k]) + zlib.crc32(str(ids[at + k]).encode()) % (spare + 1)
+                    mine = slice(low, min(int(cuts[k + 1]), low + SAMPLE_LINES))
                     yield pa.RecordBatch.from_pydict({"id": [ids[at + k]], "quality": pa.array([marks[at + k]], pa.int32()), "length": [length[mine].tolist()],
                                                       "values": [values[mine].astype(np.float32).ravel().tolist()]},
                                                      schema=pa.schema([("id", pa.int64()), ("quality", pa.int32()), ("length", pa.list_(pa.int64())), ("values", pa.list_(pa.float32()))]))
@@ -192,7 +211,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 def classify(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score (0 to 1, higher: label 1 is likelier) and predicted (score >= ``threshold``) of every
     document, from its whole text alone. Null and empty texts are one empty line. Repeated rows get equal rows; other
-    columns are ignored."""
+    columns are ignored, whatever their names."""
     shared = documents.sparkSession.sparkContext.broadcast(fit(documents, labels, sample))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

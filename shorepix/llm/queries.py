@@ -88,21 +88,21 @@ WITH d AS (
 b AS (
   SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w
   FROM benchmark WHERE text IS NOT NULL),
-dw AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d WHERE len(w) >= 12),
-bw AS (SELECT item_id, len(w) AS m, unnest(w) AS word, unnest(range(len(w))) AS item_pos FROM b WHERE len(w) >= 12),
+dw AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d),
+bw AS (SELECT item_id, len(w) AS m, unnest(w) AS word, unnest(range(len(w))) AS item_pos FROM b),
 hit AS MATERIALIZED (SELECT doc_id, item_id, n, m, pos, pos - item_pos AS shift FROM dw JOIN bw USING (word)),
-line AS (SELECT doc_id, item_id, shift FROM hit GROUP BY ALL HAVING count(*) >= 10),
+line AS (SELECT doc_id, item_id, shift FROM hit GROUP BY doc_id, item_id, shift HAVING count(*) >= any_value(CASE WHEN m < 12 THEN m ELSE 10 END)),
 near AS MATERIALIZED (SELECT hit.* FROM hit JOIN line USING (doc_id, item_id, shift)),
 starts AS (
   SELECT DISTINCT doc_id, item_id, shift, pos - back AS s
   FROM near, (SELECT unnest(range(12)) AS back)
-  WHERE pos - back >= greatest(0, shift) AND pos - back <= least(n - 12, m - 12 + shift)),
+  WHERE back < m AND pos - back >= greatest(0, shift) AND pos - back <= least(n - least(m, 12), m - least(m, 12) + shift)),
 leak AS (
-  SELECT doc_id, item_id, s, count(*) AS equal_words
+  SELECT doc_id, item_id, s, least(any_value(m), 12) AS width, count(*) AS equal_words
   FROM starts JOIN near USING (doc_id, item_id, shift)
-  WHERE pos BETWEEN s AND s + 11
-  GROUP BY doc_id, item_id, shift, s HAVING count(*) >= 10)
-SELECT doc_id, item_id, CAST(min(s) AS INTEGER) AS first_word, CAST(max(s) + 12 AS INTEGER) AS last_word,
+  WHERE pos BETWEEN s AND s + least(m, 12) - 1
+  GROUP BY doc_id, item_id, shift, s HAVING count(*) >= CASE WHEN any_value(m) < 12 THEN any_value(m) ELSE 10 END)
+SELECT doc_id, item_id, CAST(min(s) AS INTEGER) AS first_word, CAST(max(s + width) AS INTEGER) AS last_word,
        CAST(max(equal_words) AS INTEGER) AS best
 FROM leak GROUP BY doc_id, item_id""")
 def spaced_seed_decontamination(spark, folder):
@@ -137,7 +137,7 @@ reach AS (
   SELECT both_ways.y, reach.r FROM reach JOIN both_ways ON both_ways.x = reach.v),
 same AS (
   SELECT doc_id, count(*) OVER (PARTITION BY list_sort(list(g))) AS n_copies FROM s GROUP BY doc_id)
-SELECT d.doc_id, CAST(coalesce(n.n, 0) AS INTEGER) AS n_shingles, c.component_id, coalesce(same.n_copies, 1) AS n_copies
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id, coalesce(same.n_copies, 1) AS n_copies
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN same USING (doc_id)
 JOIN (SELECT v, min(r) AS component_id FROM reach GROUP BY v) c ON c.v = d.doc_id""")
 def ngram_jaccard_join(spark, folder):
@@ -171,7 +171,7 @@ same AS (
 links AS (
   SELECT x AS doc_id, count(DISTINCT b.class_id) AS n_links
   FROM both_ways JOIN same a ON a.doc_id = x JOIN same b ON b.doc_id = y WHERE a.class_id <> b.class_id GROUP BY x)
-SELECT d.doc_id, CAST(coalesce(n.n, 0) AS INTEGER) AS n_shingles, coalesce(same.class_id, d.doc_id) AS class_id, c.component_id,
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(same.class_id, d.doc_id) AS class_id, c.component_id,
        coalesce(same.n_copies, 1) AS n_copies, coalesce(links.n_links, 0) AS n_links
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN same USING (doc_id) LEFT JOIN links USING (doc_id)
 JOIN (SELECT v, min(r) AS component_id FROM reach GROUP BY v) c ON c.v = d.doc_id""")
