@@ -20,7 +20,7 @@ BUCKETS = 1 << 15
 SAMPLE = 2_000
 MOST_LANGUAGES = 1_000
 UNKNOWN = "und"
-CHUNK_CHARS = 200_000
+CHUNK_CHARS = 50_000
 
 
 def held_out(doc_id: str = "doc_id"):

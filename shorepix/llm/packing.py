@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shorepix.llm.store import fresh, staged
-from shorepix.llm.tokens import MEMO_BYTES, chunks, default_tokenizer, encoder, trim
+from shorepix.llm.tokens import MEMO_BYTES, chunks, default_tokenizer, encoder, lean, trimmed
 
 CLASSES = 128
 MOST_IN_PATTERN = 4
@@ -254,7 +254,7 @@ def pack(pieces: DataFrame, capacity: int, length: str = "length") -> DataFrame:
 
 
 def token_pieces(documents: DataFrame, capacity: int, tokenizer: str | None = None, by_word: bool = True,
-                 with_ids: bool = False, memo_bytes: int = MEMO_BYTES) -> DataFrame:
+                 with_ids: bool = False, memo_bytes: int = MEMO_BYTES, keep_memo: bool = True) -> DataFrame:
     """Encode whole texts, close each with id 1 and cut those longer than ``capacity``: one row per piece with doc_id,
     piece, start, length, ids_crc32 (unsigned, of little-endian uint32 ids) and, if asked for, ids (binary).
 
@@ -265,7 +265,6 @@ def token_pieces(documents: DataFrame, capacity: int, tokenizer: str | None = No
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trim()
         coder = encoder(tokenizer, by_word, False, memo_bytes)
         for batch in batches:
             doc_ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -286,12 +285,14 @@ def token_pieces(documents: DataFrame, capacity: int, tokenizer: str | None = No
                 names = [field.split()[0] for field in schema.split(", ")]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encode, schema)
+    kernel = trimmed(encode) if keep_memo else lean(encode)
+    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(kernel, schema)
 
 
 def pack_documents(documents: DataFrame, capacity: int = 4096, tokenizer: str | None = None, by_word: bool = True,
-                   with_ids: bool = False, memo_bytes: int = MEMO_BYTES) -> DataFrame:
+                   with_ids: bool = False, memo_bytes: int = MEMO_BYTES, keep_memo: bool = True) -> DataFrame:
     """Pieces of all documents with their sequence and offset. The pieces are written once to the shared folder, so that
     histogram, numbering and places see the same rows and texts are encoded once. ``memo_bytes``: what a
-    worker may remember (see :mod:`shorepix.llm.tokens`); the rows are the same with any number."""
-    return pack(staged(token_pieces(documents, capacity, tokenizer, by_word, with_ids, memo_bytes)), capacity)
+    worker may remember (see :mod:`shorepix.llm.tokens`), from task to task or, without ``keep_memo``, within one task only; the rows
+    are the same either way."""
+    return pack(staged(token_pieces(documents, capacity, tokenizer, by_word, with_ids, memo_bytes, keep_memo)), capacity)

@@ -24,8 +24,10 @@ END_ID = 1
 MEMO_BYTES = 256 << 20
 #: What a remembered piece takes beside its characters and ids: string, dictionary entry, row.
 PIECE_BYTES = 200
+#: New words that the library encodes in one call; it holds about a kilobyte for each.
+BATCH_WORDS = 4_000
 #: Characters handled at once.
-CHUNK_CHARS = 500_000
+CHUNK_CHARS = 250_000
 
 
 def default_tokenizer() -> str:
@@ -151,13 +153,13 @@ class Encoder:
                 parts += [memo[small], memo[piece[len(word):]]]
                 part_row.append(row)
                 width.append(len(word))
-        for low in range(0, len(whole), 20_000):
+        for low in range(0, len(whole), BATCH_WORDS):
             encode = self.tokenizer.encode_batch if self.spans else self.tokenizer.encode_batch_fast
-            found = encode(whole[low:low + 20_000], add_special_tokens=False)
+            found = encode(whole[low:low + BATCH_WORDS], add_special_tokens=False)
             count = np.fromiter((len(x.ids) for x in found), np.int64, len(found))
             ids = np.fromiter((i for x in found for i in x.ids), np.uint32, int(count.sum()))
             span = np.array([s for x in found for s in x.offsets], np.int32).reshape(-1, 2) if self.spans else None
-            self.table.put(np.array(whole_row[low:low + 20_000]), count, ids, span)
+            self.table.put(np.array(whole_row[low:low + BATCH_WORDS]), count, ids, span)
         if parts:
             take, count = self.table.take(np.array(parts))
             span = None
@@ -227,16 +229,29 @@ def release() -> None:
     trim()
 
 
+def trimmed(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``kernel`` for a worker process that gives freed memory back before and after: an idle worker counts against its
+    executor like a busy one."""
+    @functools.wraps(kernel)
+    def run(batches: Iterator[pa.RecordBatch], *options) -> Iterator[pa.RecordBatch]:
+        trim()
+        try:
+            yield from kernel(batches, *options)
+        finally:
+            trim()
+
+    return run
+
+
 def lean(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """``kernel`` for a worker process that holds no encoders and, once the task is over, no freed memory: an idle worker
-    counts against its executor like a busy one."""
+    """``kernel`` for a worker process that holds no encoder before and after and gives freed memory back."""
     @functools.wraps(kernel)
     def run(batches: Iterator[pa.RecordBatch], *options) -> Iterator[pa.RecordBatch]:
         release()
         try:
             yield from kernel(batches, *options)
         finally:
-            trim()
+            release()
 
     return run
 
