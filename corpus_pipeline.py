@@ -11,7 +11,7 @@ from shorepix.llm import decontamination, jaccard, language, line_dedup, packing
 from shorepix.llm.store import staged
 
 
-#: Bytes of the memo of each worker that encodes; less than by default, as executors have run four stages before.
+#: Bytes of the memo of each worker that encodes; less than by default and let go after each task, as executors run four other stages.
 MEMO_BYTES = 32 << 20
 
 
@@ -37,7 +37,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their place in sequences of 4096 tokens."""
-    return packing.pack_documents(docs, 4096, memo_bytes=MEMO_BYTES)
+    return packing.pack_documents(docs, 4096, memo_bytes=MEMO_BYTES, keep_memo=False)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
