@@ -87,17 +87,6 @@ def z_score(value: Column, mean: float | None, std: float | None) -> Column:
     return finite((finite(value) - F.lit(centre)) / F.lit(scale))
 
 
-def softmax(logits: Sequence[Column]) -> Column:
-    """ARRAY of class probabilities."""
-    top = F.greatest(*logits)
-    return normalise_sum(F.array(*[F.exp(value - top) for value in logits]))
-
-
-def normalise_sum(weights: Column) -> Column:
-    total = F.aggregate(weights, F.lit(0.0), lambda acc, value: acc + value)
-    return F.transform(weights, lambda value: value / total)
-
-
 def argmax(probabilities: Column) -> Column:
     """One-based position of the first maximum."""
     return F.array_position(probabilities, F.array_max(probabilities)).cast("int")

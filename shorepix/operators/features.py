@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,38 +64,39 @@ def with_scene_indices(df: DataFrame) -> DataFrame:
     return layers.withColumn("SPC", R.potential_cover(F.col("NDVI")))
 
 
-def prepare_features(df: DataFrame, mode: str | None = None, required: Iterable[object] | None = None, *,
-                     context: str, rebuild_standardised: bool | None = None,
-                     rebuild_indices: bool | None = None, carry: Sequence[str] = ()) -> DataFrame:
-    """Ordered model inputs, with ``carry`` columns in front.
+class Origin(NamedTuple):
+    """What a mode derives from raw bands unless told otherwise, and what its stored columns are called in errors."""
 
-    The spatial mode rebuilds derived columns from raw bands by default, the spectral mode
-    takes them as they are.
+    derive: tuple[str, ...]
+    stored: str
+
+
+BANDS, INDICES = "bands", "indices"  # standardized bands; NDVI and NDWI
+ORIGINS = {S.SPATIAL: Origin((BANDS, INDICES), "spatial-mode raw inputs"), S.SPECTRAL: Origin((), "spectral-mode inputs")}
+
+
+def _kind(name: str) -> str | None:
+    return BANDS if S.is_stan(name) else INDICES if name in ("NDVI", "NDWI") else None
+
+
+def prepare_features(df: DataFrame, mode: str | None = None, names: Iterable[object] | None = None, *, context: str,
+                     derive: Iterable[str] | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """Model inputs in the order of ``names`` (default: all of the mode), behind the ``carry`` columns.
+
+    ``derive`` says which inputs are made from raw bands, in place of columns of the same name: BANDS, INDICES, both or
+    none; the default is that of the mode. All others are read from the table. Without a mode it follows from the names.
     """
-    names = S.clean_names(required)
-    if required is not None and not names:
-        raise ValueError("At least one required feature name is needed.")
-    if mode is None and not names:
-        raise ValueError("A feature mode or the required feature names must be given.")
-    mode = S.infer_mode(names) if mode is None else S.resolve_mode(mode)
-    names = names or list(S.MODE_FEATURES[mode])
-    spatial = mode == S.SPATIAL
-    rebuild_standardised = spatial if rebuild_standardised is None else rebuild_standardised
-    rebuild_indices = spatial if rebuild_indices is None else rebuild_indices
-    raw_names = [S.raw_name(band) for band in S.MODEL_BANDS[mode]]
-
-    work = df
-    if rebuild_standardised or rebuild_indices:
-        kind = "spatial-mode raw inputs" if spatial else "raw inputs"
-        require_columns(work, raw_names, f"{context} ({kind})")
-    elif not spatial:
-        require_columns(work, S.MODE_FEATURES[mode], f"{context} (spectral-mode inputs)")
-    if rebuild_standardised:
-        work = with_standardised(work, raw_names)
-    if rebuild_indices:
-        work = with_feature_indices(work)
-    require_columns(work, names, f"{context} (prepared model inputs)")
-    return work.select(*carry, *names)
+    wanted = S.clean_names(names)
+    if not wanted and (names is not None or mode is None):
+        raise ValueError("Give a feature mode or at least one input name.")
+    mode = S.infer_mode(wanted) if mode is None else S.resolve_mode(mode)
+    ordered = wanted or S.MODE_FEATURES[mode]
+    made = ORIGINS[mode].derive if derive is None else tuple(derive)
+    raw = [S.raw_name(band) for band in S.MODEL_BANDS[mode]] if made else []
+    require_columns(df, [*raw, *(name for name in ordered if _kind(name) not in made)], f"{context} ({ORIGINS[mode].stored})")
+    table = with_standardised(df, raw) if BANDS in made else df
+    table = with_feature_indices(table) if INDICES in made else table
+    return table.select(*carry, *ordered)
 
 
 def training_table(df: DataFrame, mode: str | None = None, label: str = "True_Class") -> DataFrame:
@@ -161,16 +163,25 @@ def sequence_norm(df: DataFrame, groups: Sequence[Sequence[str]]) -> dict[str, l
     return {key: [[rows[name][key] for name in group] for group in groups] for key in ("mean", "std")}
 
 
+def is_missing(name: str) -> Column:
+    return F.coalesce(F.isnan(F.col(name)), F.lit(False)) | F.col(name).isNull()
+
+
+def missing_flag(name: str) -> str:
+    return f"{name}_na"
+
+
 def impute_medians(df: DataFrame, names: Sequence[str], medians: dict[str, float | None],
-                   flags: bool = False) -> DataFrame:
-    """Fill missing features with training medians; ``flags`` adds ``<name>_na`` columns."""
-    missing = {name: F.col(name).isNull() | F.isnan(F.col(name)) for name in names}
-    out = df
-    if flags:
-        out = out.withColumns({f"{name}_na": F.coalesce(missing[name], F.lit(True)) for name in names})
-    return out.withColumns({
-        name: F.when(missing[name], F.lit(medians[name])).otherwise(F.col(name)) for name in names
-    })
+                   flagged: Iterable[str] = ()) -> DataFrame:
+    """Fill missing features with training medians; ``flagged`` ones get a ``<name>_na`` column that says where."""
+    out = df.withColumns({missing_flag(name): is_missing(name) for name in flagged}) if flagged else df
+    return out.withColumns({name: F.when(is_missing(name), F.lit(medians[name])).otherwise(F.col(name)) for name in names})
+
+
+def incomplete_features(df: DataFrame, names: Sequence[str]) -> list[str]:
+    """Names of the columns that miss a value somewhere."""
+    found = df.agg(*[F.max(is_missing(name)).alias(f"m{i}") for i, name in enumerate(names)]).first()
+    return [name for i, name in enumerate(names) if found[f"m{i}"]]
 
 
 # -- name lists held in tables ------------------------------------------------------------

@@ -7,12 +7,18 @@ offset, and only rows inside one bucket are sorted together.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from functools import reduce
+from operator import or_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..session import cut_lineage
 from .lookup import attach
 
 HASH_BUCKETS = 1 << 16
@@ -128,65 +134,83 @@ def random_split(df: DataFrame, keys: Sequence[str], valid_share: float = 0.3, s
     return _split(df, [], order, bucket, wanted, list(keys))
 
 
-def exact_medians(df: DataFrame, columns: Sequence[str], max_values: int = 50_000) -> dict[str, float | None]:
-    """Exact median of every column, with bounded memory per task.
+#: Bits of the ordered form of a double that each pass over the rows settles, most significant first.
+DIGITS = (22, 21, 21)
+_HALF = 11
 
-    Approximate quantiles narrow each column to a small interval around its middle
-    (all columns in one job per pass); only the distinct values inside are ranked.
+
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _ordered_bits(batch: pa.Array) -> pa.Array:
+    """Of each double in a struct a long that is ordered alike; NULL for NULL and NaN."""
+    keys, gone = [], []
+    for i in range(batch.type.num_fields):
+        x = batch.field(i).to_numpy(zero_copy_only=False).astype(float) + 0.0  # no negative zero
+        bits = x.view(np.int64)
+        keys.append(np.where(bits < 0, bits ^ np.int64((1 << 63) - 1), bits))
+        gone.append(np.isnan(x))
+    flat, width = np.column_stack(keys).ravel(), batch.type.num_fields
+    values = pa.array(flat, mask=np.column_stack(gone).ravel())
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, width, dtype=np.int32)), values)
+
+
+def _value_of(key: int) -> float:
+    return float(np.array([key if key >= 0 else key ^ ((1 << 63) - 1)], np.int64).view(float)[0])
+
+
+def _any_of(found: Iterable[tuple[int, int]], bits: Column) -> Column:
+    """Whether (c, ``bits``) of a row is among these pairs."""
+    by_column: dict[int, list[int]] = {}
+    for c, value in found:
+        by_column.setdefault(c, []).append(value)
+    return reduce(or_, [(F.col("c") == c) & bits.isin(sorted(set(values))) for c, values in by_column.items()])
+
+
+def _settle(counts: DataFrame, drop: int, grown: int, targets: list[tuple[int, int | None, int]]) -> list[tuple[int, int, int]]:
+    """Targets (column, leading bits or None, rank among the values that begin so) with ``grown`` more bits each.
+
+    ``counts`` (c, bits, n) holds ``drop`` bits beyond those.
+    """
+    sums: dict[int, list[tuple[int, int]]] = {}
+    for row in counts.groupBy("c", F.shiftright("bits", drop).alias("b")).agg(F.sum("n").alias("n")).collect():
+        sums.setdefault(row["c"], []).append((row["b"], row["n"]))
+    out = []
+    for c, known, rank in targets:
+        for bits, n in sorted(sums[c]):
+            if known is None or bits >> grown == known:
+                if rank < n:
+                    out.append((c, bits, rank))
+                    break
+                rank -= n
+    return out
+
+
+def exact_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
+    """Exact median of every column by radix selection: three passes over the rows for all columns together.
+
+    Each pass counts the next 21 or 22 bits of the ordered form of the values that share the leading bits known so far. The
+    counts are kept as a table; from it first the upper half of these bits is settled, then the lower half, so the driver
+    sees at most 2,048 counts per column and middle value at a time. NULL and NaN are left out; a column without values
+    has no median.
     """
     columns = list(columns)
-    value = {name: F.col(name).cast("double") for name in columns}
-    present = {name: value[name].isNotNull() & ~F.isnan(value[name]) for name in columns}
-    sizes = df.agg(*[F.count_if(present[name]).alias(name) for name in columns]).first()
-    low = {name: float("-inf") for name in columns}
-    high = {name: float("inf") for name in columns}
-    below = dict.fromkeys(columns, 0)
-    inside = {name: sizes[name] for name in columns}
-    pending = [name for name in columns if inside[name] > max_values]
-
-    def held(name: str) -> Column:
-        return present[name] & value[name].between(low[name], high[name])
-
-    while pending:
-        shares = {}
-        for name in pending:
-            middle = ((sizes[name] - 1) / 2 - below[name]) / max(inside[name], 1)
-            shares[name] = [max(0.0, middle - 0.001), min(1.0, middle + 0.001)]
-        bounds = df.agg(*[
-            F.percentile_approx(F.when(held(name), value[name]), shares[name], 10_000).alias(name) for name in pending
-        ]).first()
-        for name in pending:
-            low[name], high[name] = bounds[name]
-        stats = df.agg(*[
-            stat for name in pending for stat in (
-                F.count_if(present[name] & (value[name] < low[name])).alias(f"below_{name}"),
-                F.count_if(held(name)).alias(f"in_{name}"),
-            )]).first()
-        still = []
-        for name in pending:
-            shrunk = stats[f"in_{name}"] < inside[name]
-            below[name], inside[name] = stats[f"below_{name}"], stats[f"in_{name}"]
-            if inside[name] > max_values and low[name] < high[name] and shrunk:
-                still.append(name)
-        pending = still
-
-    pairs = [F.struct(F.lit(name).alias("name"), F.when(held(name), value[name]).alias("value")) for name in columns]
-    counted = (
-        df.select(F.explode(F.array(*pairs)).alias("pair")).select("pair.*")
-        .where(F.col("value").isNotNull())
-        .groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
-    )
-    upto = F.sum("n").over(W.partitionBy("name").orderBy("value").rowsBetween(W.unboundedPreceding, 0))
-    ranked = counted.withColumn("upto", upto)
-    picks = []
-    for name in columns:
-        n = sizes[name]
-        for rank in {(n - 1) // 2, n // 2} if n else ():
-            picks.append(F.min(F.when((F.col("name") == name) & (F.col("upto") > rank - below[name]), F.col("value")))
-                         .alias(f"{name}|{rank}"))
-    found = ranked.agg(*picks).first().asDict() if picks else {}
-    result: dict[str, float | None] = {}
-    for name in columns:
-        n = sizes[name]
-        result[name] = (found[f"{name}|{(n - 1) // 2}"] + found[f"{name}|{n // 2}"]) / 2 if n else None
+    keys = _ordered_bits(F.struct(*[F.col(f"`{name}`").cast("double").alias(f"f{i}") for i, name in enumerate(columns)]))
+    rows = df.select(F.posexplode(keys).alias("c", "key")).where(F.col("key").isNotNull())
+    targets: list[tuple[int, int | None, int]] = []
+    left = 64
+    for digit in DIGITS:
+        inside = rows.where(_any_of([(c, known) for c, known, _ in targets], F.shiftright("key", left))) if targets else rows
+        left -= digit
+        counts = cut_lineage(inside.groupBy("c", F.shiftright("key", left).alias("bits")).agg(F.count(F.lit(1)).alias("n")))
+        if not targets:
+            sizes = {row["c"]: row["n"] for row in counts.groupBy("c").agg(F.sum("n").alias("n")).collect()}
+            if not sizes:
+                break
+            targets = [(c, None, rank) for c, n in sizes.items() for rank in ((n - 1) // 2, n // 2)]
+        upper = _settle(counts, _HALF, digit - _HALF, targets)
+        near = counts.where(_any_of([(c, known) for c, known, _ in upper], F.shiftright("bits", _HALF)))
+        targets = _settle(near, 0, _HALF, upper)
+    result: dict[str, float | None] = dict.fromkeys(columns)
+    for c, key, _ in targets:
+        value, before = _value_of(key), result[columns[c]]
+        result[columns[c]] = value if before is None else (before + value) / 2
     return result

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,18 +16,20 @@ from ..functions import reflectance as R
 from ..functions.staging import pinned
 from . import features as X
 
-# Up to this many weights (a linear two-class model) a network is written as column
-# arithmetic. Beyond it the generated method passes the 8000 bytecodes that the JVM is
-# willing to compile, and matrix products on Arrow batches are about seven times faster.
-MAX_EXPRESSION_WEIGHTS = 64
+RELU, SIGMOID = "relu", "sigmoid"
+
+
+def _activated(x: np.ndarray, activation: str) -> np.ndarray:
+    return np.maximum(x, 0.0) if activation == RELU else 1 / (1 + np.exp(-x))
 
 
 @dataclass(frozen=True)
 class DenseModel:
-    """Fully connected network: standardized inputs, ReLU layers, softmax output.
+    """Fully connected network: standardized inputs, hidden layers, softmax output.
 
-    ``layers`` holds (weights[out][in], bias[out]) pairs; batch normalization is folded in.
-    ``class_ids`` are the output ids in vocabulary order.
+    ``layers`` holds (weights[out][in], bias[out]) pairs; batch normalization is folded in. A missing feature counts as its
+    value in ``fill`` (0 without one); each feature in ``flags`` adds an input behind the features that is 1 where it is
+    missing. ``mean`` and ``std`` belong to all inputs. ``class_ids`` are the output ids in vocabulary order.
     """
 
     features: list[str]
@@ -37,20 +38,46 @@ class DenseModel:
     layers: list[tuple[list[list[float]], list[float]]]
     class_ids: list[int]
     labels: list[str] = field(default_factory=list)
+    fill: list[float] = field(default_factory=list)
+    flags: list[str] = field(default_factory=list)
+    activation: str = RELU
 
     def __post_init__(self) -> None:
-        width = len(self.features)
+        width = len(self.features) + len(self.flags)
+        fits = len(self.mean) == len(self.std) == width and len(self.fill) in (0, len(self.features))
         for weights, bias in self.layers:
             if len(weights) != len(bias) or any(len(row) != width for row in weights):
                 raise ValueError("Layer sizes do not fit each other.")
             width = len(bias)
-        if width != len(self.class_ids) or len(self.mean) != len(self.features) or len(self.std) != len(self.features):
+        if width != len(self.class_ids) or not fits or not set(self.flags) <= set(self.features) or self.activation not in (RELU, SIGMOID):
             raise ValueError("The model's features, statistics or classes do not fit its layers.")
 
+    @property
+    def inputs(self) -> list[str]:
+        """The columns that :meth:`probabilities` takes, in order."""
+        return self.features
+
     @property
     def weight_count(self) -> int:
         return sum(len(bias) * (len(weights[0]) + 1) for weights, bias in self.layers)
 
+    def network(self) -> Callable[[np.ndarray], np.ndarray]:
+        """Class probabilities of rows of features, NaN where one is missing."""
+        layers = [(np.asarray(weights).T, np.asarray(bias)) for weights, bias in _folded_layers(self)]
+        fill = np.asarray(self.fill or [0.0] * len(self.features))
+        flagged = [self.features.index(name) for name in self.flags]
+
+        def probabilities(x: np.ndarray) -> np.ndarray:
+            gone = np.isnan(x)
+            x = np.concatenate([np.where(gone, fill, x), gone[:, flagged]], axis=1)
+            for depth, (weights, bias) in enumerate(layers, start=1):
+                x = x @ weights + bias
+                if depth < len(layers):
+                    x = _activated(x, self.activation)
+            return _softmax_rows(x)
+
+        return probabilities
+
     def to_json(self) -> str:
         return json.dumps(asdict(self))
 
@@ -60,11 +87,6 @@ class DenseModel:
         return cls(**{**values, "layers": [tuple(layer) for layer in values["layers"]]})
 
 
-def _weighted(values: Sequence[Column], weights: Sequence[float], bias: float) -> Column:
-    terms = [value * F.lit(float(weight)) for value, weight in zip(values, weights)]
-    return reduce(lambda a, b: a + b, terms, F.lit(float(bias)))
-
-
 def _folded_layers(model: DenseModel) -> list[tuple[list[list[float]], list[float]]]:
     """Layers with the input standardization merged into the first one."""
     (weights, bias), *rest = model.layers
@@ -73,27 +95,6 @@ def _folded_layers(model: DenseModel) -> list[tuple[list[list[float]], list[floa
     return [(scaled, shifted), *rest]
 
 
-def _expression_scores(df: DataFrame, names: Sequence[str], model: DenseModel, target: str) -> DataFrame:
-    """Column arithmetic over values that are never NULL, which keeps the generated code short."""
-    columns, prefix = list(df.columns), target.strip("_")
-    layers = _folded_layers(model)
-    stage = [f"__{prefix}_0_{i}" for i in range(len(names))]
-    work = df.withColumns({name: R.filled(F.col(feature)) for name, feature in zip(stage, names)})
-    for depth, (weights, bias) in enumerate(layers, start=1):
-        inputs = [F.col(name) for name in stage]
-        last = depth == len(layers)
-        sums = [_weighted(inputs, row, offset) for row, offset in zip(weights, bias)]
-        stage = [f"__{prefix}_{depth}_{i}" for i in range(len(bias))]
-        work = work.select(*columns, *[
-            (value if last else F.greatest(value, F.lit(0.0))).alias(name) for value, name in zip(sums, stage)])
-    logits = [F.col(name) for name in stage]
-    work = work.withColumn("__top", F.greatest(*logits) if len(logits) > 1 else logits[0])
-    raised = [f"__{prefix}_e_{i}" for i in range(len(logits))]
-    work = work.select(*columns, *[F.exp(value - F.col("__top")).alias(name) for value, name in zip(logits, raised)])
-    work = work.withColumn("__sum", reduce(lambda a, b: a + b, map(F.col, raised)))
-    return pinned(work, {target: F.array(*[F.col(name) / F.col("__sum") for name in raised])}).select(*columns, target)
-
-
 def _as_lists(matrix: np.ndarray) -> pa.Array:
     """Arrow lists over the rows of a matrix, without a copy per row."""
     rows, width = matrix.shape
@@ -105,42 +106,38 @@ def _softmax_rows(logits: np.ndarray) -> np.ndarray:
     return raised / raised.sum(axis=1, keepdims=True)
 
 
+def _matrix(batch: pa.Array) -> np.ndarray:
+    """Rows of a struct of doubles, NULL as NaN."""
+    return np.column_stack([batch.field(i).to_numpy(zero_copy_only=False) for i in range(batch.type.num_fields)]).astype(float)
+
+
 def _dense_udf(model: DenseModel):
-    layers = [(np.asarray(weights).T, np.asarray(bias)) for weights, bias in _folded_layers(model)]
+    network = model.network()
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def score(batch: pa.Array) -> pa.Array:
-        x = np.column_stack([batch.field(i).to_numpy(zero_copy_only=False) for i in range(batch.type.num_fields)])
-        for depth, (weights, bias) in enumerate(layers, start=1):
-            x = x @ weights + bias
-            if depth < len(layers):
-                x = np.maximum(x, 0.0)
-        return _as_lists(_softmax_rows(x))
+        return _as_lists(network(_matrix(batch)))
 
     return score
 
 
+def _inputs(names: Sequence[str]) -> Column:
+    return F.struct(*[F.col(name).cast("double").alias(f"f{i}") for i, name in enumerate(names)])
+
+
 def score_dense_all(df: DataFrame, models: dict[str, DenseModel], prefixes: dict[str, str] | None = None) -> DataFrame:
     """Add the probabilities of several models (by target name) in one pass over the rows.
 
-    ``prefixes`` holds what stands before the feature columns of a target. Missing features
-    count as 0.
+    ``prefixes`` holds what stands before the feature columns of a target. Networks run as matrix products on Arrow batches.
     """
     prefixes = prefixes or {}
-    columns = list(df.columns)
-    batch, staged = {}, df
+    columns, batch = list(df.columns), {}
     for target, model in models.items():
         names = [prefixes.get(target, "") + name for name in model.features]
         X.require_columns(df, names, "Model input")
-        if model.weight_count <= MAX_EXPRESSION_WEIGHTS:
-            staged = _expression_scores(staged, names, model, target)
-        else:
-            inputs = F.struct(*[R.filled(F.col(name)).alias(f"f{i}") for i, name in enumerate(names)])
-            batch[target] = _dense_udf(model)(inputs)
-    if batch:
-        raw = staged.withColumns({f"__{target}_raw": value for target, value in batch.items()})
-        staged = pinned(raw, {target: F.col(f"__{target}_raw") for target in batch})
-    return staged.select(*columns, *models)
+        batch[target] = _dense_udf(model)(_inputs(names))
+    raw = df.withColumns({f"__{target}_raw": value for target, value in batch.items()})
+    return pinned(raw, {target: F.col(f"__{target}_raw") for target in batch}).select(*columns, *models)
 
 
 def score_dense(df: DataFrame, model: DenseModel, target: str = "probs") -> DataFrame:
@@ -175,6 +172,7 @@ class SequenceModel:
     dense1: tuple[list, list]  # weights[out][in], bias[out]
     dense2: tuple[list, list]
     class_ids: list[int]
+    labels: list[str] = field(default_factory=list)
 
     def __post_init__(self) -> None:
         lengths = {len(group) for group in self.groups}
@@ -184,6 +182,34 @@ class SequenceModel:
         if shape != [len(group) for group in self.groups] or shape != [len(row) for row in self.norm["std"]]:
             raise ValueError("Normalization statistics do not match the spectral inputs.")
 
+    @property
+    def inputs(self) -> list[str]:
+        return [name for group in self.groups for name in group]
+
+    def network(self, normalise: bool = True) -> Callable[[np.ndarray], np.ndarray]:
+        """Class probabilities of rows of flat inputs; missing and infinite ones count as 0."""
+        channels, length = len(self.groups), len(self.groups[0])
+        convolutions = [(np.asarray(k), np.asarray(b)) for k, b in (self.conv1, self.conv2)]
+        (w1, b1), (w2, b2) = [(np.asarray(w).T, np.asarray(b)) for w, b in (self.dense1, self.dense2)]
+        mean, std = (np.array([[np.nan if v is None else v for v in row] for row in self.norm[key]], float).ravel() for key in ("mean", "std"))
+        mean, std = np.where(np.isfinite(mean), mean, 0.0), np.where(np.isfinite(std) & (std > 0), std, 1.0)
+
+        def probabilities(x: np.ndarray) -> np.ndarray:
+            if normalise:
+                x = (np.where(np.isfinite(x), x, 0.0) - mean) / std
+                x = np.where(np.isfinite(x), x, 0.0)
+            x = x.reshape(-1, channels, length)
+            for kernel, bias in convolutions:
+                wide = np.pad(x, ((0, 0), (0, 0), (1, 1)))
+                # One matrix product over (channel, offset) per band position.
+                windows = np.stack([wide[:, :, k:k + length] for k in range(3)], axis=3).transpose(0, 2, 1, 3)
+                x = windows.reshape(len(x), length, -1) @ kernel.reshape(len(kernel), -1).T
+                x = np.maximum(x + bias, 0.0).transpose(0, 2, 1)
+            hidden = np.maximum(x.mean(axis=2) @ w1 + b1, 0.0)
+            return _softmax_rows(hidden @ w2 + b2)
+
+        return probabilities
+
     @staticmethod
     def widths(length: int) -> tuple[int, int, int]:
         """Channels of the two convolutions and of the hidden layer."""
@@ -203,21 +229,46 @@ def score_sequence(df: DataFrame, model: SequenceModel, target: str = "probs") -
 
     Normalization stays in the JVM; the network runs on Arrow batches of the input array only.
     """
-    channels, length = len(model.groups), len(model.groups[0])
-    convolutions = [(np.asarray(k), np.asarray(b)) for k, b in (model.conv1, model.conv2)]
-    (w1, b1), (w2, b2) = [(np.asarray(w).T, np.asarray(b)) for w, b in (model.dense1, model.dense2)]
+    network, width = model.network(normalise=False), len(model.inputs)
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def score(batch: pa.Array) -> pa.Array:
-        x = batch.flatten().to_numpy(zero_copy_only=False).reshape(-1, channels, length)
-        for kernel, bias in convolutions:
-            wide = np.pad(x, ((0, 0), (0, 0), (1, 1)))
-            # One matrix product over (channel, offset) per band position.
-            windows = np.stack([wide[:, :, k:k + length] for k in range(3)], axis=3).transpose(0, 2, 1, 3)
-            x = windows.reshape(len(x), length, -1) @ kernel.reshape(len(kernel), -1).T
-            x = np.maximum(x + bias, 0.0).transpose(0, 2, 1)
-        hidden = np.maximum(x.mean(axis=2) @ w1 + b1, 0.0)
-        return _as_lists(_softmax_rows(hidden @ w2 + b2))
+        return _as_lists(network(batch.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)))
 
     raw = df.withColumn("__raw", score(F.flatten(X.sequence_array(model.groups, model.norm))))
     return pinned(raw, {target: F.col("__raw")}).select(*df.columns, target)
+
+
+Model = DenseModel | SequenceModel
+
+
+def as_model(model):
+    """A model by its weights; a trained one is exported."""
+    return model.to_model() if hasattr(model, "to_model") else model
+
+
+def score_by_model(df: DataFrame, models: dict[str, DenseModel | SequenceModel], key: str, target: str = "probs") -> DataFrame:
+    """Add the probabilities of the model that column ``key`` names in each row; NULL where there is no such model.
+
+    Every model takes its own columns of ``df``; sequence models take raw and standardized ones (``features.sequence_table``).
+    """
+    names = list(dict.fromkeys(name for model in models.values() for name in model.inputs))
+    X.require_columns(df, [key, *names], "Model input")
+    networks = {word: ([names.index(name) for name in model.inputs], model.network()) for word, model in models.items()}
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def score(words: pa.Array, batch: pa.Array) -> pa.Array:
+        x = _matrix(batch)
+        coded = words.dictionary_encode()
+        codes = coded.indices.fill_null(-1).to_numpy()
+        rows: list[np.ndarray | None] = [None] * len(codes)
+        for code, word in enumerate(coded.dictionary.to_pylist()):
+            if word in networks:
+                places, network = networks[word]
+                at = np.flatnonzero(codes == code)
+                for i, values in zip(at.tolist(), network(x[np.ix_(at, places)]), strict=True):
+                    rows[i] = values
+        return pa.array(rows, pa.list_(pa.float64()))
+
+    raw = df.withColumn("__raw", score(F.col(key).cast("string"), _inputs(names)))
+    return pinned(raw, {target: F.col("__raw")}).select(*df.columns, target)

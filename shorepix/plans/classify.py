@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import names as N
+from ..functions import reflectance as R
 from ..operators import features as X
 from ..operators import mask as M
 from ..operators import patches as P
@@ -53,13 +54,13 @@ def assemble_scene(bands: DataFrame, required: Sequence[str] = S.STACK_BANDS, ma
 
 
 def _with_inputs(pixels: DataFrame, model: C.DenseModel, prefix: str) -> DataFrame:
-    """Add the inputs of a dense model, rebuilt from raw bands, under prefixed names."""
+    """Add the inputs of a dense model, rebuilt from raw bands, under prefixed names. In a scene a missing input is 0."""
     raw = [name for name in model.features if S.is_raw(name)]
     X.require_columns(pixels, raw, "Apply pixel table (raw inputs)")
     bands = pixels.select(*pixels.columns, F.struct(*pixels.columns).alias("__pixel"))
     built = X.with_feature_indices(X.with_standardised(bands, raw))
     return built.select(*[F.col(f"__pixel.`{name}`").alias(name) for name in pixels.columns],
-                        *[F.col(name).alias(prefix + name) for name in model.features])
+                        *[R.filled(F.col(name)).alias(prefix + name) for name in model.features])
 
 
 def with_model_probabilities(pixels: DataFrame, models: dict[str, C.DenseModel | C.SequenceModel]) -> DataFrame:
@@ -82,14 +83,15 @@ def with_model_probabilities(pixels: DataFrame, models: dict[str, C.DenseModel |
     return (C.score_dense_all(work, dense, prefixes) if dense else work).select(*columns, *models)
 
 
-def classify_pixels(pixels: DataFrame, model: C.DenseModel | C.SequenceModel, specialist: C.DenseModel | None = None,
+def classify_pixels(pixels: DataFrame, model: C.Model, specialist: C.Model | None = None,
                     smoothing: bool = True, debug: bool = False, tile: int = P.TILE) -> DataFrame:
     """Classified grid: out_class, class_prob, seagrass_cover and ndvi per pixel.
 
     Everything but the smoothing is one narrow stage. Invalid pixels keep -1, -1, -1 and NULL.
     The specialist is an expression over the same row, so replacing class and probability of
-    its candidates needs no join.
+    its candidates needs no join. Either model may be a trained one (``plans.train``).
     """
+    model, specialist = C.as_model(model), C.as_model(specialist)
     required = model.features if isinstance(model, C.DenseModel) else model.groups[0]
     work = X.with_scene_indices(pixels).withColumn("valid", G.is_valid(pixels, required))
     models = {"__main": model}

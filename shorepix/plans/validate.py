@@ -46,13 +46,15 @@ def resolve_validation_mode(mode: str | None) -> str:
 CONTEXT = "Validation dataset"
 
 
-def predict_labels(df: DataFrame, model: C.DenseModel | C.SequenceModel, vocabulary: list[str],
-                   specialist: C.DenseModel | None = None) -> DataFrame:
+def predict_labels(df: DataFrame, model: C.Model, vocabulary: list[str] | None = None,
+                   specialist: C.Model | None = None) -> DataFrame:
     """Add ``raw_prediction`` (a vocabulary label) and ``Predicted_Confidence``; the columns of ``df`` stay as they are.
 
     Rows predicted as seagrass or microalgae take label and confidence of the specialist, which sees the original
-    bands. Without all of its bands it is left out with a warning.
+    bands. Without all of its bands it is left out with a warning. The vocabulary is the model's own if none is given.
     """
+    model, specialist = C.as_model(model), C.as_model(specialist)
+    vocabulary = model.labels if vocabulary is None else vocabulary
     columns = [F.col(f"`{name}`") for name in df.columns]
     work = _with_probabilities(df, model, "__main")
     label, confidence = C.label_of(F.col("__main"), vocabulary), F.array_max("__main")
@@ -90,12 +92,14 @@ def _with_probabilities(df: DataFrame, model: C.DenseModel | C.SequenceModel, ta
     return scored.select("__row.*", target)
 
 
-def validate(df: DataFrame, label: str, model: C.DenseModel | C.SequenceModel, vocabulary: list[str],
-             specialist: C.DenseModel | None = None, mode: str | None = None,
+def validate(df: DataFrame, label: str, model: C.Model, vocabulary: list[str] | None = None,
+             specialist: C.Model | None = None, mode: str | None = None,
              target: str = S.DEFAULT_TARGET) -> Validation:
     """Predictions, metrics and confusion matrix of ``df`` (with row_id, see ``sources.tables.read_validation``)."""
     if not target.strip():
         raise ValueError("A target class is required for presence/absence validation mode.")
+    model = C.as_model(model)
+    vocabulary = model.labels if vocabulary is None else vocabulary
     return evaluate(predict_labels(df, model, vocabulary, specialist), label, "raw_prediction", vocabulary, mode, target)
 
 

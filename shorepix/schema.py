@@ -16,7 +16,6 @@ SPATIAL = "high_spatial_accuracy"
 SPECTRAL = "high_spectral_complexity"
 MODES = (SPATIAL, SPECTRAL)
 DEFAULT_MODE = SPECTRAL
-MODE_TITLES = {SPATIAL: "High Spatial Accuracy", SPECTRAL: "High Spectral Complexity"}
 
 # Wavelength order: band stacks and spectral sequences.
 SEQUENCE_BANDS = {
@@ -157,12 +156,6 @@ def sequence_groups(mode: str | None, standardised: bool = True) -> list[list[st
 # ---------------------------------------------------------------------------
 
 
-def training_schema(mode: str | None, label: str = "True_Class") -> T.StructType:
-    fields = [T.StructField(label, T.StringType())]
-    fields += [T.StructField(name, T.DoubleType()) for name in MODE_FEATURES[resolve_mode(mode)]]
-    return T.StructType(fields)
-
-
 HISTORY_SCHEMA = T.StructType([
     T.StructField("started_at", T.StringType()),
     T.StructField("workflow", T.StringType()),
@@ -192,3 +185,18 @@ REGISTRY_SCHEMA = T.StructType([
     T.StructField("vocabulary", T.ArrayType(T.StringType())),
     T.StructField("class_ids", T.ArrayType(T.IntegerType())),
 ])
+
+# A registry row with all that scoring needs; a model is (model_name, version).
+MODEL_SCHEMA = T.StructType([
+    *REGISTRY_SCHEMA.fields,
+    T.StructField("version", T.IntegerType()),
+    T.StructField("activation", T.StringType()),
+    T.StructField("input_mean", T.ArrayType(T.DoubleType())),
+    T.StructField("input_std", T.ArrayType(T.DoubleType())),
+    T.StructField("input_fill", T.ArrayType(T.DoubleType())),
+    T.StructField("flagged_features", T.ArrayType(T.StringType())),
+    T.StructField("layers", T.ArrayType(T.StructType([
+        T.StructField("weights", T.ArrayType(T.ArrayType(T.DoubleType()))), T.StructField("bias", T.ArrayType(T.DoubleType()))]))),
+    T.StructField("convolutions", T.ArrayType(T.StructType([
+        T.StructField("kernel", T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType())))), T.StructField("bias", T.ArrayType(T.DoubleType()))]))),
+])

@@ -120,10 +120,33 @@ def test_statistics_and_medians(spark):
 
     rows = spark.createDataFrame([(float(i), None if i % 3 else float(i % 7)) for i in range(1000)] + [(float("nan"), None)], "a double, b double")
     expected = {"a": 499.5, "b": sorted(float(i % 7) for i in range(0, 1000, 3))[167 - 1:168]}
-    got = exact_medians(rows, ["a", "b"], max_values=50)
+    got = exact_medians(rows, ["a", "b"])
     assert got["a"] == expected["a"] and got["b"] == sum(expected["b"]) / len(expected["b"])
     # One value may fill most of a column.
     ties = spark.createDataFrame([(1.0,)] * 300 + [(float(i),) for i in range(2, 90)], "a double")
-    assert exact_medians(ties, ["a"], max_values=10) == {"a": 1.0}
+    assert exact_medians(ties, ["a"]) == {"a": 1.0}
     stats = {row["feature"]: row for row in X.sequence_statistics(spark.createDataFrame([(1.0, 5.0), (3.0, 5.0), (None, 5.0)], "x double, y double"), ["x", "y"]).collect()}
     assert stats["x"]["mean"] == pytest.approx(4 / 3) and stats["y"]["std"] == 1.0
+
+
+def test_medians_of_all_kinds_of_columns(spark):
+    """Radix selection against sorting: signs, infinities, tiny and huge values, ties, gaps, one value, none."""
+    import random
+    import statistics
+
+    from shorepix.operators.ranking import exact_medians
+
+    rng = random.Random(3)
+    columns = {
+        "mixed": [rng.choice((-1, 1)) * rng.random() * 10.0 ** rng.randrange(-300, 300) for _ in range(501)],
+        "even": [rng.uniform(-1, 1) for _ in range(500)], "signs": [-1.0] * 250 + [1.0] * 250, "zero": [-0.0] * 100 + [0.0] * 101,
+        "edge": [-math.inf, -1.0, 5e-324, math.inf], "steps": [float(k % 3) for k in range(400)], "one": [7.25], "none": [],
+        "close": [1.0 + k * 2 ** -52 for k in range(301)],
+    }
+    size = max(map(len, columns.values())) + 3
+    padded = {name: values + [rng.choice((None, math.nan)) for _ in range(size - len(values))] for name, values in columns.items()}
+    rows = list(zip(*[rng.sample(values, size) for values in padded.values()], strict=True))
+    frame = spark.createDataFrame(rows, ", ".join(f"{name} double" for name in columns)).repartition(4)
+    got = exact_medians(frame, list(columns))
+    assert got == {name: statistics.median(values) if values else None for name, values in columns.items()}
+    assert exact_medians(frame.limit(0), ["one"]) == {"one": None}

@@ -73,7 +73,7 @@ def prepare_features_spatial(spark, folder):
     f"SELECT vec_id, {_columns(S.MODE_FEATURES[S.SPECTRAL])} FROM feat"))
 def prepare_features_spectral(spark, folder):
     return X.prepare_features(D.spectra(spark, folder), S.SPECTRAL, context="Apply pixel table", carry=["vec_id"],
-                              rebuild_standardised=True, rebuild_indices=True)
+                              derive=[X.BANDS, X.INDICES])
 
 
 

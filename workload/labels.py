@@ -231,7 +231,7 @@ def median_impute(spark, folder):
         "l_orderkey", "l_linenumber", F.when(F.col("l_quantity") > 3, F.col("l_extendedprice")).alias("price"),
         F.when(F.col("l_linenumber") != 2, F.col("l_quantity")).alias("quantity"))
     names = ["price", "quantity"]
-    return rounded(X.impute_medians(rows, names, K.exact_medians(rows, names, max_values=5_000), flags=True))
+    return rounded(X.impute_medians(rows, names, K.exact_medians(rows, names), flagged=names))
 
 
 _SPECIAL_WORDS = ("Magno", "zostera!", "MPB", "Water", "Diatom s", "5", "sand", "4")
