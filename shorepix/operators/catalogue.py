@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -37,7 +39,7 @@ def inside_safe(path: Column) -> Column:
     return path.rlike(r"(?i)\.safe/+[^/]")
 
 
-def scene_candidates(listing: DataFrame, root: str = "") -> DataFrame:
+def scene_candidates(listing: DataFrame, root: str = "", carry: Sequence[str] = ()) -> DataFrame:
     """Classify listed paths as accepted or ignored scene inputs below ``root``.
 
     ``listing`` holds path and, where known, has_manifest and has_granule (for SAFE folders)
@@ -53,7 +55,7 @@ def scene_candidates(listing: DataFrame, root: str = "") -> DataFrame:
         .when(F.col("format") == "TIFF", F.coalesce(F.col("band_count") == len(S.STACK_BANDS), F.lit(False)))
         .otherwise(N.is_scene_id(F.col("scene_id")))
     )
-    return found.select("path", "scene_id", "format", accepted.alias("accepted"))
+    return found.select("path", "scene_id", "format", accepted.alias("accepted"), *carry)
 
 
 def scene_records(listing: DataFrame, root: str = "") -> DataFrame:
@@ -211,3 +213,45 @@ def status_destination(path: Column, status: str) -> Column:
         raise ValueError(f"Unsupported scene status '{status}'. Expected one of: {', '.join(folders)}.")
     parent = F.regexp_replace(F.regexp_replace(path, r"[/\\][^/\\]+[/\\]*$", ""), r"(?i)[/\\](Done|Failed)$", "")
     return F.concat_ws("/", parent, F.lit(folders[status.strip().lower()]), N.base_name(path))
+
+
+#: Numbers a destination may get.
+MOST_NUMBERED = 9_999
+
+
+def free_destinations(inputs: DataFrame, status: str, existing: DataFrame) -> DataFrame:
+    """``inputs`` (path, ...) with ``destination``, a path in the status folder that nothing else has.
+
+    ``existing`` lists the paths that are there (path). An input that lies in its status folder already stays where it is.
+    A name that is free goes to the first input (by path) that wants it; the others get the smallest free numbers from 1 in
+    the order of their paths, before all suffixes: ``x.SAFE.zip``, ``x_1.SAFE.zip``. Beyond MOST_NUMBERED an error is raised.
+
+    Inputs that want one name, and the numbered names beside it, form a group: all of them lie in one status folder.
+    """
+    columns = [F.col(f"`{name}`") for name in inputs.columns]
+    wanted = inputs.select(F.struct(*columns).alias("__row"), F.regexp_replace("path", r"[/\\]+$", "").alias("__path")).withColumn("__want", status_destination(F.col("__path"), status))
+    name = N.base_name(F.col("__want"))
+    suffix = F.when(name.endswith("."), "").otherwise(F.regexp_extract(name, r"^\.*[^.]*(\..*)?$", 1))
+    wanted = wanted.withColumns({"__end": suffix, "__stem": F.substr("__want", F.lit(1), F.length("__want") - F.length(suffix)), "__stays": F.col("__path") == F.col("__want")})
+    known = existing.select(F.regexp_replace("path", r"[/\\]+$", "").alias("__want")).distinct()
+    order = Window.partitionBy("__want").orderBy("__path")
+    moved = wanted.where(~F.col("__stays")).join(known.withColumn("__there", F.lit(True)), "__want", "left")
+    moved = moved.withColumn("__first", F.col("__there").isNull() & (F.row_number().over(order) == 1))
+    # Numbers that are taken beside each name, by existing files and by names given just now.
+    groups = moved.where(~F.col("__first")).select("__stem", "__end").distinct()
+    names = known.union(moved.where("__first").select("__want")).distinct()
+    piece = lambda k: F.regexp_extract("__want", r"^(.*)_([1-9][0-9]{0,3})((?:\.[^/\\]*)?)$", k)
+    parts = names.select(piece(1).alias("__stem"), piece(2).try_cast("int").alias("number"), piece(3).alias("__end")).where(F.col("number").isNotNull())
+    place = Window.partitionBy("__stem", "__end")
+    taken = parts.join(groups, ["__stem", "__end"], "left_semi")
+    # So many free numbers lie below each taken one; an input that is the k-th to be numbered passes those with fewer than k.
+    taken = taken.select("__stem", "__end", (F.col("number") - F.row_number().over(place.orderBy("number"))).alias("at"), F.lit(1).alias("is_taken"))
+    late = moved.where(~F.col("__first")).withColumn("at", F.row_number().over(place.orderBy("__path")))
+    both = late.withColumn("is_taken", F.lit(0)).unionByName(taken, allowMissingColumns=True)
+    passed = F.sum("is_taken").over(place.orderBy("at", "is_taken").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    numbered = both.withColumn("number", F.col("at") + passed).where("is_taken = 0")
+    number = F.when(F.col("number") <= MOST_NUMBERED, F.col("number").cast("string")).otherwise(
+        F.raise_error(F.concat(F.lit("no free destination is left for "), F.col("__want"))))
+    return (wanted.where("__stays").select("__row.*", F.col("__row.path").alias("destination"))
+            .unionByName(moved.where("__first").select("__row.*", F.col("__want").alias("destination")))
+            .unionByName(numbered.select("__row.*", F.concat("__stem", F.lit("_"), number, "__end").alias("destination"))))

@@ -5,10 +5,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..session import cut_lineage
 from .lookup import small_table
 
 
@@ -128,11 +129,16 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def vocabulary(df: DataFrame, label: str) -> DataFrame:
-    """(label, code, class_count): sorted distinct labels with their index; NULL is not a class.
+    """(label, code, class_count): distinct labels with their index in sorted order; NULL is not a class.
 
-    The label set is a class list; sorting it is the only step that sees all of it at once.
+    Labels are dealt out by ranges; the numbers of labels in the ranges before give each range its first code.
     """
     labels = df.select(F.trim(F.col(label).cast("string")).alias("label")).where(F.col("label") != "").distinct()
-    gathered = labels.agg(F.array_sort(F.collect_set("label")).alias("labels"))
-    return gathered.select(F.posexplode("labels").alias("code", "label"), F.size("labels").alias("class_count")).select(
-        "label", "code", "class_count")
+    parts = cut_lineage(labels.repartitionByRange("label").withColumn("__part", F.spark_partition_id()))
+    sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))  # one row per range
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    offsets = sizes.select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"), F.sum("n").over(every).cast("int").alias("class_count"))
+    rank = F.row_number().over(Window.partitionBy("__part").orderBy("label")) - 1
+    return parts.withColumn("__rank", rank).join(F.broadcast(offsets), "__part").select(
+        "label", (F.col("__base") + F.col("__rank")).cast("int").alias("code"), "class_count")

@@ -18,9 +18,13 @@ def _is_finite(value: Column) -> Column:
     return F.coalesce(F.abs(value) < float("inf"), F.lit(False))
 
 
+def is_water(ndwi: Column) -> Column:
+    return _is_finite(ndwi) & (ndwi > 0)
+
+
 def water_rule(class_id: Column, ndwi: Column) -> Column:
     """Class 8 wherever NDWI is finite and positive."""
-    return F.when(_is_finite(ndwi) & (ndwi > 0), WATER).otherwise(class_id)
+    return F.when(is_water(ndwi), WATER).otherwise(class_id)
 
 
 def is_low_seagrass(class_id: Column, ndvi: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -84,12 +84,15 @@ def with_model_probabilities(pixels: DataFrame, models: dict[str, C.DenseModel |
 
 
 def classify_pixels(pixels: DataFrame, model: C.Model, specialist: C.Model | None = None,
-                    smoothing: bool = True, debug: bool = False, tile: int = P.TILE) -> DataFrame:
+                    smoothing: bool = True, debug: bool = False, tile: int = P.TILE, counters: Observation | None = None) -> DataFrame:
     """Classified grid: out_class, class_prob, seagrass_cover and ndvi per pixel.
 
     Everything but the smoothing is one narrow stage. Invalid pixels keep -1, -1, -1 and NULL.
     The specialist is an expression over the same row, so replacing class and probability of
     its candidates needs no join. Either model may be a trained one (``plans.train``).
+
+    ``counters`` observes the pass that computes the grid (a write, for instance): valid pixels that the specialist looked at,
+    that a positive NDWI made water, that smoothing changed, and that went from class 4 to 5.
     """
     model, specialist = C.as_model(model), C.as_model(specialist)
     required = model.features if isinstance(model, C.DenseModel) else model.groups[0]
@@ -103,6 +106,7 @@ def classify_pixels(pixels: DataFrame, model: C.Model, specialist: C.Model | Non
             models["__special"] = specialist
     work = with_model_probabilities(work, models)
     work = work.withColumns({"class_id": C.class_of(F.col("__main"), model.class_ids), "class_prob": F.array_max("__main")})
+    work = work.withColumn("__seen", Q.is_specialist_candidate(F.col("class_id")) & F.lit("__special" in models)) if counters else work
     if "__special" in models:
         candidate = Q.is_specialist_candidate(F.col("class_id"))
         work = work.withColumns({
@@ -110,10 +114,17 @@ def classify_pixels(pixels: DataFrame, model: C.Model, specialist: C.Model | Non
             "class_id": F.when(candidate, C.class_of(F.col("__special"), specialist.class_ids)).otherwise(F.col("class_id")),
         }).drop("__special")
     work = work.drop("__main").withColumn("class_id", Q.water_rule(F.col("class_id"), F.col("NDWI")))
+    marks = ["__seen", "__wet", "__before"] if counters else []
+    if counters:
+        work = work.withColumns({"__wet": Q.is_water(F.col("NDWI")), "__before": F.col("class_id")})
     if not debug:
-        work = work.select("scene_id", "row", "col", "valid", "class_id", "class_prob", "NDVI", "SPC")
+        work = work.select("scene_id", "row", "col", "valid", "class_id", "class_prob", "NDVI", "SPC", *marks)
     if smoothing:
         work = P.smooth_patches(work, "class_id", tile=tile)
+    if counters:
+        conditions = {"specialist_candidates": F.col("__seen"), "water": F.col("__wet"), "smoothed": F.col("class_id") != F.col("__before"),
+                      "seagrass_to_microalgae": Q.is_low_seagrass(F.col("class_id"), F.col("NDVI"))}
+        work = work.observe(counters, *[F.count_if(F.col("valid") & what).alias(name) for name, what in conditions.items()]).drop(*marks)
     work = work.withColumn("class_id", Q.seagrass_rule(F.col("class_id"), F.col("NDVI")))
     valid = F.col("valid")
     result = work.withColumns({

@@ -2,18 +2,11 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-from urllib.parse import unquote, urlparse
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names as N
-
-_MEMBERS = "path string, member string"
+from .files import per_file, tiff_bands, zip_members
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -25,8 +18,8 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
 def scene_listing(files: DataFrame) -> DataFrame:
     """Turn listed files into scene inputs: one row per outermost .SAFE folder, zip and TIFF file.
 
-    A folder gets has_manifest and has_granule from the files below it. TIFF band counts come
-    from the caller's band table, hence NULL here.
+    A folder gets has_manifest and has_granule from the files below it. TIFF band counts are NULL here; they come from
+    the headers (:func:`tiff_band_counts`) or from a table.
     """
     safe = F.regexp_extract("path", r"(?i)^(.*?\.safe)/", 1)
     rest = F.upper(F.substr(F.col("path"), F.length("safe") + 2))
@@ -40,38 +33,18 @@ def scene_listing(files: DataFrame) -> DataFrame:
 
 
 def archive_members(spark: SparkSession, folder: str, trust_names: bool = True) -> DataFrame:
-    """(path, member) of the zip files below ``folder``.
+    """(path, member) of the zip files below ``folder``, or of ``folder`` itself if it is one.
 
-    With ``trust_names`` archives named like a scene are left out, since their name already
-    tells the id. Files on a mounted path are opened in place, which reads the archive's
-    directory only. Unreadable archives give no rows.
+    With ``trust_names`` archives named like a scene are left out, since their name already tells the id. Only the directory
+    of an archive is read. Unreadable archives give no rows.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[zZ][iI][pP]").load(folder)
-    paths = files.select("path")
+    paths = list_files(spark, folder).where(F.lower("path").endswith(".zip"))
     if trust_names:
         paths = paths.where(~N.is_scene_id(N.scene_stem(F.col("path"))))
-    mounted = paths.where(F.col("path").startswith("file:"))
-    remote = files.join(paths.where(~F.col("path").startswith("file:")), "path", "left_semi").select("path", "content")
-
-    def names_of(source) -> list[str]:
-        try:
-            with zipfile.ZipFile(source) as archive:
-                return archive.namelist()
-        except (zipfile.BadZipFile, OSError):
-            return []
-
-    def member_batch(path: str, source) -> pa.RecordBatch:
-        members = names_of(source)
-        return pa.record_batch([pa.array([path] * len(members), pa.string()), pa.array(members, pa.string())], ["path", "member"])
-
-    def open_mounted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path in batch.column("path").to_pylist():
-                yield member_batch(path, unquote(urlparse(path).path))
+    return per_file(paths, zip_members, "member", "string", many=True)
 
-    def open_content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-                yield member_batch(path, io.BytesIO(content.as_py()))
 
-    return mounted.mapInArrow(open_mounted, _MEMBERS).unionByName(remote.mapInArrow(open_content, _MEMBERS))
+def tiff_band_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, band_count) of the TIFF files below ``folder``, or of ``folder`` itself, from their headers."""
+    paths = list_files(spark, folder).where(F.lower("path").rlike(r"\.tiff?$") & ~F.col("path").rlike(r"(?i)\.safe/"))
+    return per_file(paths, tiff_bands, "band_count", "int")

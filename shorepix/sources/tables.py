@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..operators.features import require_columns
 from ..operators.raster import crop
+from .files import first_line, per_file
 
 
 def training_files(source: str | Sequence[str]) -> list[str]:
@@ -27,20 +28,17 @@ def training_files(source: str | Sequence[str]) -> list[str]:
     return [source.strip()]
 
 
-def _reader(spark: SparkSession):
-    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
-
-
 def header_groups(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, list[str]]]:
-    """(header line, files) pairs. Reading files of unequal headers together would bind by position."""
-    lines = _reader(spark).text(list(paths)).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("id"), "value")
-    headers = lines.where("start = 0").groupBy("path").agg(F.min_by("value", "id").alias("header"))
+    """(header line, files) pairs. Reading files of unequal headers together would bind by position.
+
+    Only the first block of each file is read for that.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(list(paths))
+    headers = per_file(files, first_line, "header", "string").where("header <> ''")
     # The list of files is what the driver plans a scan from anyway.
     groups: dict[str, list[str]] = {}
     for row in headers.orderBy("path").collect():
-        groups.setdefault(row["header"].lstrip("﻿").rstrip("\r"), []).append(row["path"])
+        groups.setdefault(row["header"], []).append(row["path"])
     return list(groups.items())
 
 

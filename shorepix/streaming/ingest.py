@@ -31,9 +31,9 @@ def ingest_scenes(stream: DataFrame, process: Callable[[DataFrame], DataFrame],
     """Classify new scenes, isolate failing ones, and stop when nothing new is left.
 
     ``problem`` is an expression over scene rows that names a defect (or NULL); scenes with a
-    defect go to the ``failed`` table. The rest is processed in one job. Only if that job fails
-    are its scenes run one by one, so that the others still finish. Output folders are replaced
-    per scene, hence a repeated batch leaves no half-written scene behind.
+    defect go to the ``failed`` table. The rest is processed in one job. If a job fails, its scenes are halved and each
+    half is run as a job of its own, down to the scenes that break it: one bad scene of n costs about 2 log2 n jobs more and
+    the others still finish. Output folders are replaced per scene, hence a repeated batch leaves no half-written scene behind.
     """
     defect = problem if problem is not None else F.lit(None).cast("string")
 
@@ -50,13 +50,10 @@ def ingest_scenes(stream: DataFrame, process: Callable[[DataFrame], DataFrame],
         good = batch.join(bad, "scene_id", "left_anti")
         try:
             save(good)
-        except Exception:  # noqa: BLE001 - find the scene that breaks the job
-            errors = []
-            for row in good.select("scene_id").distinct().toLocalIterator():
-                try:
-                    save(batch.where(F.col("scene_id") == row["scene_id"]))
-                except Exception as error:  # noqa: BLE001
-                    errors.append((row["scene_id"], str(error)))
+        except Exception as error:  # noqa: BLE001 - find the scenes that break the job
+            # The names of a batch are bounded by its files, which the driver lists anyway.
+            scenes = sorted(row["scene_id"] for row in good.select("scene_id").distinct().collect())
+            errors = isolated(scenes, error, lambda some: save(batch.where(F.col("scene_id").isin(some))))
             bad = bad.unionByName(small_table(batch.sparkSession, errors, "scene_id string, error string"))
         record(bad, batch_id)
 
@@ -64,6 +61,19 @@ def ingest_scenes(stream: DataFrame, process: Callable[[DataFrame], DataFrame],
             .trigger(availableNow=True).start())
 
 
+def isolated(scenes: list[str], error: Exception, run: Callable[[list[str]], None]) -> list[tuple[str, str]]:
+    """(scene, error text) of the scenes that break a job which failed on all of ``scenes``; ``run`` processes some."""
+    if len(scenes) <= 1:
+        return [(scene, str(error)) for scene in scenes]
+    found, middle = [], len(scenes) // 2
+    for half in (scenes[:middle], scenes[middle:]):
+        try:
+            run(half)
+        except Exception as again:  # noqa: BLE001
+            found += isolated(half, again, run)
+    return found
+
+
 def first_scenes(stream: DataFrame, accepted: str, checkpoint: str, arrival: str = "arrived_at") -> StreamingQuery:
     """Append the first record of every scene (ignoring case) to the table at ``accepted``, without any time horizon.
 

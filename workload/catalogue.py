@@ -150,3 +150,27 @@ def skipped_scenes(spark, folder):
  || '/Failed/' || regexp_extract(path, '([^/]*)$', 1) AS target FROM files"""))
 def status_destination(spark, folder):
     return D.listing(spark, folder).select("path", K.status_destination(F.col("path"), "failed").alias("target"))
+
+
+_MOVES = """src AS (SELECT '/in/d' || CAST(p_size % 5 AS VARCHAR) || CASE WHEN p_partkey % 3 = 0 THEN '/Failed' ELSE '' END || '/' || replace(p_brand, '#', '.') || '.SAFE.zip' AS path,
+  '/in/d' || CAST(p_size % 5 AS VARCHAR) || '/Done/' || split_part(p_brand, '#', 1) AS stem, '.' || split_part(p_brand, '#', 2) || '.SAFE.zip' AS ending, p_partkey, p_brand FROM part),
+ there AS (SELECT DISTINCT stem || CASE WHEN p_partkey % 2 = 0 THEN '_' || CAST(p_partkey % 7 AS VARCHAR) ELSE '' END || ending AS name FROM src WHERE p_partkey % 11 = 0)"""
+
+
+@query("free_destinations", f"""WITH {_MOVES},
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY stem, ending ORDER BY path) AS nth, stem || ending IN (SELECT name FROM there) AS held FROM src),
+ named AS (SELECT name FROM there UNION SELECT stem || ending FROM ranked WHERE nth = 1 AND NOT held),
+ late AS (SELECT *, row_number() OVER (PARTITION BY stem, ending ORDER BY path) AS k FROM ranked WHERE held OR nth > 1),
+ numbers AS (SELECT stem, ending, unnest(generate_series(1, max(k) + 20)) AS number FROM late GROUP BY stem, ending),
+ free AS (SELECT stem, ending, number, row_number() OVER (PARTITION BY stem, ending ORDER BY number) AS k FROM numbers
+  WHERE stem || '_' || CAST(number AS VARCHAR) || ending NOT IN (SELECT name FROM named))
+ SELECT path, stem || ending AS destination FROM ranked WHERE nth = 1 AND NOT held
+ UNION ALL SELECT path, stem || '_' || CAST(number AS VARCHAR) || ending FROM late JOIN free USING (stem, ending, k)""")
+def free_destinations(spark, folder):
+    part = table(spark, folder, "part")
+    brand, key = F.split("p_brand", "#"), F.col("p_partkey")
+    place, ending = F.concat(F.lit("/in/d"), (F.col("p_size") % 5).cast("string")), F.concat(F.lit("."), brand[1], F.lit(".SAFE.zip"))
+    paths = part.select(F.concat(place, F.when(key % 3 == 0, "/Failed").otherwise(""), F.lit("/"), brand[0], ending).alias("path"))
+    number = F.when(key % 2 == 0, F.concat(F.lit("_"), (key % 7).cast("string"))).otherwise("")
+    there = part.where(key % 11 == 0).select(F.concat(place, F.lit("/Done/"), brand[0], number, ending).alias("path"))
+    return K.free_destinations(paths, "done", there)

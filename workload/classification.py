@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from shorepix import schema as S
@@ -12,6 +13,8 @@ from shorepix.operators import raster as G
 from shorepix.operators import rules as Q
 from shorepix.operators import scoring as C
 from shorepix.plans.classify import classify_pixels, with_model_probabilities
+from shorepix.session import shared_folder
+from shorepix.sources.tables import write_grid
 
 from . import derive as D
 from . import query, rounded, with_ctes
@@ -113,3 +116,15 @@ def relabel_counts(spark, folder):
     work = G.valid_pixels(_scored(spark, folder), _MODEL.features)
     changed = work.select(F.col("class_id").alias("before"), Q.water_rule(F.col("class_id"), F.col("NDWI")).alias("after"))
     return Q.relabel_counts(changed, "before", "after")
+
+
+@query("classification_counters", with_ctes(
+    [*_SCORED, ("vpx", "SELECT id, scene_id, \"row\", col, CASE WHEN ndwi > 0 THEN 8 ELSE class_id END AS class_id, ndvi FROM refined WHERE valid"), *D.patch_sql("vpx"),
+     ("smooth", "SELECT v.*, coalesce(w.replacement, v.class_id) AS c FROM vpx v LEFT JOIN lab l ON l.id = v.id LEFT JOIN winners w ON w.label = l.label")],
+    """SELECT (SELECT count(*) FROM main WHERE valid AND main_class IN (4, 5)) AS specialist_candidates, (SELECT count(*) FROM main WHERE valid AND ndwi > 0) AS water,
+ (SELECT count(*) FROM smooth WHERE c <> class_id) AS smoothed, (SELECT count(*) FROM smooth WHERE c = 4 AND ndvi < 0.25) AS seagrass_to_microalgae"""))
+def classification_counters(spark, folder):
+    """Counters of a complete classification, observed while its grid is written."""
+    seen = Observation("relabelled")
+    write_grid(classify_pixels(D.scene_pixels(spark, folder).drop("id"), _MODEL, _SPECIAL, counters=seen), f"{shared_folder(spark)}/grid")
+    return spark.createDataFrame([seen.get], "specialist_candidates long, water long, smoothed long, seagrass_to_microalgae long")
