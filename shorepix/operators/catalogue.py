@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import names as N
 from ..functions.staging import pinned
+from ..session import cut_lineage
 from .lookup import salted_lookup
 
 # Preference among copies of one scene.
@@ -90,6 +91,8 @@ def catalogue_order(scenes: DataFrame) -> DataFrame:
 
 
 def _against_kept(records: DataFrame) -> DataFrame:
+    # Parsed once: counting, choosing and joining read the written records.
+    records = cut_lineage(records)
     best = preferred_scenes(records)
     kept = best.select(
         "scene_key", F.col("scene_id").alias("kept_id"), F.col("path").alias("kept_path"), F.col("format").alias("kept_format"))

@@ -1,20 +1,23 @@
 """Polygon masks by scan lines.
 
 Every polygon edge is written to the pixel rows whose centre line it crosses. The sorted
-crossings of a row form intervals, and a pixel is inside when its centre falls into one.
-Pixels therefore meet their mask by an equi-join on (scene, row), never by comparing all
-pixels with all edges.
+crossings of a row form runs of columns, which are united over all geometries; a pixel is
+inside when its column falls into one. Pixels therefore meet their mask by an equi-join on
+(scene, row, block of columns), never by comparing all pixels with all edges.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import extents as X
 
+#: Columns of a block in which pixels meet the runs of their row.
+BLOCK = 256
+
 _POLYGON = "struct<type:string,coordinates:array<array<array<double>>>>"
 _MULTI = "struct<type:string,coordinates:array<array<array<array<double>>>>>"
 
@@ -71,45 +74,78 @@ def bounds(edge_table: DataFrame, keys: Sequence[str] = ("mask_id",)) -> DataFra
         F.max(F.greatest("x0", "x1")).alias("xmax"), F.max(F.greatest("y0", "y1")).alias("ymax"))
 
 
-def row_intervals(edge_table: DataFrame, scenes: DataFrame) -> DataFrame:
-    """Intervals of x inside the mask per (scene_id, row), with origin_x and size of the scene.
+def _meeting(edge_table: DataFrame, scenes: DataFrame) -> DataFrame:
+    """Each edge with the scenes whose rows it can cross.
 
-    ``scenes`` holds scene_id, mask_id, origin_x, origin_y (upper left corner), size (pixel
-    side) and n_rows. A geometry counts by the even-odd rule; geometries of one mask add up.
+    Scenes and edges meet in bands of y as high as the highest scene, so one mask over many scenes does not pair every edge
+    with every scene. All edges beside a scene count, since they decide what is inside.
     """
-    placed = edge_table.join(scenes.select("scene_id", "mask_id", "origin_x", "origin_y", "size", "n_rows"), "mask_id")
+    height = F.col("n_rows") * F.col("size")
+    highest = F.broadcast(scenes.agg(F.max(height).alias("__high")).where(F.col("__high") > 0))  # one row
+
+    def bands(df: DataFrame, low: Column, high: Column) -> DataFrame:
+        place = lambda y: F.floor(y / F.col("__high"))
+        return df.join(highest).withColumn("__band", F.explode(F.sequence(place(low), place(high)))).drop("__high")
+
+    low, high = F.least("y0", "y1"), F.greatest("y0", "y1")
+    placed = bands(scenes.select("scene_id", "mask_id", "origin_x", "origin_y", "size", "n_rows", "n_cols"), F.col("origin_y") - height, F.col("origin_y"))
+    sloped = bands(edge_table.where(low < high), low, high)
+    met = sloped.join(placed, ["mask_id", "__band"])
+    # Of the bands that both reach, the lowest stands for the pair.
+    first = F.greatest(F.floor(low / F.col("__unit")), F.floor((F.col("origin_y") - height) / F.col("__unit")))
+    return met.join(highest.withColumnRenamed("__high", "__unit")).where(F.col("__band") == first).drop("__band", "__unit")
+
+
+def row_spans(edge_table: DataFrame, scenes: DataFrame) -> DataFrame:
+    """(scene_id, row, first, last): the runs of columns whose pixel centres lie inside the mask, apart from each other.
+
+    ``scenes`` holds scene_id, mask_id, origin_x, origin_y (upper left corner), size (pixel side), n_rows and n_cols. A
+    geometry counts by the even-odd rule; geometries of one mask add up. Crossings are paired and runs united by windows
+    along a row, so no row holds a list of them.
+    """
+    placed = _meeting(edge_table, scenes)
     low, high = F.least("y0", "y1"), F.greatest("y0", "y1")
     # Row centre lines with low <= y < high.
-    first = F.floor((F.col("origin_y") - high) / F.col("size") - 0.5) + 1
-    last = F.floor((F.col("origin_y") - low) / F.col("size") - 0.5)
-    spans = placed.withColumns({
-        "first": F.greatest(first, F.lit(0)), "last": F.least(last, F.col("n_rows") - 1)
-    }).where(F.col("first") <= F.col("last"))
+    top = F.floor((F.col("origin_y") - high) / F.col("size") - 0.5) + 1
+    bottom = F.floor((F.col("origin_y") - low) / F.col("size") - 0.5)
+    crossed = placed.withColumns({"top": F.greatest(top, F.lit(0)), "bottom": F.least(bottom, F.col("n_rows") - 1)}).where("top <= bottom")
     line = F.col("origin_y") - (F.col("row") + 0.5) * F.col("size")
-    crossings = (
-        spans.withColumn("row", F.explode(F.sequence(F.col("first").cast("int"), F.col("last").cast("int"))))
-        .withColumn("at", F.col("x0") + (line - F.col("y0")) * (F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0")))
-    )
-    # A row of a geometry has as many crossings as its outline has edges there.
-    per_geometry = crossings.groupBy("scene_id", "row", "geom_id").agg(
-        F.sort_array(F.collect_list("at")).alias("xs"), F.min("origin_x").alias("origin_x"), F.min("size").alias("size"))
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.floor(F.size("xs") / 2).cast("int") - 1),
-        lambda i: F.struct(F.get("xs", i * 2).alias("lo"), F.get("xs", i * 2 + 1).alias("hi")))
-    intervals = per_geometry.where(F.size("xs") >= 2).select("scene_id", "row", "origin_x", "size", pairs.alias("pairs"))
-    return intervals.groupBy("scene_id", "row").agg(
-        F.flatten(F.collect_list("pairs")).alias("inside"), F.min("origin_x").alias("origin_x"), F.min("size").alias("size"))
+    at = F.col("x0") + (line - F.col("y0")) * (F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0"))
+    crossings = crossed.withColumn("row", F.explode(F.sequence(F.col("top").cast("int"), F.col("bottom").cast("int")))).select(
+        "scene_id", "geom_id", "row", at.alias("at"), "origin_x", "size", "n_cols")
+
+    def first_from(x: Column) -> Column:
+        """The first column whose centre is not left of ``x``."""
+        guess = F.ceil((x - F.col("origin_x")) / F.col("size") - 0.5)
+        centre = lambda col: F.col("origin_x") + (col + 0.5) * F.col("size")
+        return F.when(centre(guess - 1) >= x, guess - 1).when(centre(guess) >= x, guess).otherwise(guess + 1)
+
+    along = Window.partitionBy("scene_id", "row", "geom_id").orderBy("at")
+    paired = crossings.withColumns({"nth": F.row_number().over(along), "until": F.lead("at").over(along)}).where("nth % 2 = 1 AND until IS NOT NULL")
+    runs = paired.select("scene_id", "row", F.greatest(first_from(F.col("at")), F.lit(0)).cast("int").alias("first"),
+                         F.least(first_from(F.col("until")) - 1, F.col("n_cols") - 1).cast("int").alias("last")).where("first <= last")
+    across = Window.partitionBy("scene_id", "row").orderBy("first", "last")
+    reached = F.max("last").over(across.rowsBetween(Window.unboundedPreceding, -1))
+    starts = runs.withColumn("begins", F.when(F.coalesce(F.col("first") <= reached + 1, F.lit(False)), 0).otherwise(1))
+    return (starts.withColumn("run", F.sum("begins").over(across.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+            .groupBy("scene_id", "row", "run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("run"))
 
 
 def mark_study_site(pixels: DataFrame, edge_table: DataFrame, scenes: DataFrame) -> DataFrame:
-    """Add ``study_site``: TRUE where the pixel centre lies *outside* the mask (the stored flag is the mask)."""
-    centre = F.col("__origin_x") + (F.col("col") + 0.5) * F.col("__size")
-    lines = row_intervals(edge_table, scenes).withColumnsRenamed({"origin_x": "__origin_x", "size": "__size"})
-    hit = F.exists("inside", lambda pair: (centre >= pair["lo"]) & (centre < pair["hi"]))
+    """Add ``study_site``: TRUE where the pixel centre lies *outside* the mask (the stored flag is the mask).
+
+    Pixels meet the runs of their row in blocks of BLOCK columns; a block holds at most BLOCK / 2 runs. Without n_cols in
+    ``scenes`` the widths are those of the pixels.
+    """
+    if "n_cols" not in scenes.columns:
+        scenes = scenes.join(pixels.groupBy("scene_id").agg((F.max("col") + 1).alias("n_cols")), "scene_id")
+    spans = row_spans(edge_table, scenes).withColumn("__block", F.explode(F.sequence(F.floor(F.col("first") / BLOCK), F.floor(F.col("last") / BLOCK))))
+    blocks = spans.groupBy("scene_id", "row", "__block").agg(F.collect_list(F.struct("first", "last")).alias("__runs"))
+    hit = F.exists("__runs", lambda run: F.col("col").between(run["first"], run["last"]))
     return (
-        pixels.join(lines, ["scene_id", "row"], "left")
+        pixels.withColumn("__block", F.floor(F.col("col") / BLOCK)).join(blocks, ["scene_id", "row", "__block"], "left")
         .withColumn("study_site", ~F.coalesce(hit, F.lit(False)))
-        .drop("inside", "__origin_x", "__size")
+        .drop("__runs", "__block")
     )
 
 
@@ -122,7 +158,7 @@ def apply_mask(pixels: DataFrame, edge_table: DataFrame, scenes: DataFrame, laye
 def crop_extents(edge_table: DataFrame, scenes: DataFrame) -> DataFrame:
     """Scene box to read: the mask grown by 60 m, cut to the scene. CRS and overlap are checked.
 
-    ``scenes`` adds crs, mask_crs, n_cols to the columns of :func:`row_intervals`.
+    ``scenes`` adds crs and mask_crs to the columns of :func:`row_spans`.
     """
     placed = scenes.join(bounds(edge_table), "mask_id")
     wrong = placed.where(~F.col("crs").eqNullSafe(F.col("mask_crs")) | F.col("crs").isNull())

@@ -1,6 +1,7 @@
 import datetime
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,3 +144,32 @@ def test_temporal_match_against_all_pairs(spark):
             best = min(near, key=lambda other: (abs((other - when).days), other))
             expected[key] = (len(near), best, abs((best - when).days))
     assert got == expected
+
+
+def test_many_overlapping_geometries_and_many_scenes(spark):
+    """10,000 overlapping squares on one row, and one mask over scenes that lie apart, against plain Python."""
+    rng = np.random.default_rng(5)
+    lows = rng.uniform(0, 5000, 10_000)
+    rings = spark.range(10_000).select(F.lit("m").alias("mask_id"), F.col("id").cast("int").alias("geom_id"), F.lit(0).alias("ring_id"))
+    places = spark.createDataFrame([(i, float(x), float(x + 3 + i % 40)) for i, x in enumerate(lows)], "geom_id int, a double, b double")
+    corner = lambda x, y: F.array(F.col(x), F.lit(y))
+    rings = rings.join(places, "geom_id").withColumn("points", F.array(corner("a", 1.0), corner("b", 1.0), corner("b", 19.0), corner("a", 19.0))).drop("a", "b")
+    scenes = spark.createDataFrame([("s", "m", 0.0, 20.0, 10.0, 2, 520), ("t", "m", 1000.0, 20.0, 10.0, 2, 100), ("far", "m", 0.0, 900.0, 10.0, 2, 30)],
+                                   "scene_id string, mask_id string, origin_x double, origin_y double, size double, n_rows int, n_cols int")
+    spans = M.row_spans(M.edges(rings), scenes).orderBy("scene_id", "row", "first").collect()
+    for name, origin, wide in (("s", 0.0, 520), ("t", 1000.0, 100)):
+        centres = origin + (np.arange(wide) + 0.5) * 10.0
+        inside = (centres[:, None] >= lows) & (centres[:, None] < lows + 3 + np.arange(10_000) % 40)
+        for row in (0, 1):
+            runs = [(r["first"], r["last"]) for r in spans if (r["scene_id"], r["row"]) == (name, row)]
+            assert all(b + 1 < c for (_, b), (c, _) in zip(runs, runs[1:], strict=False))
+            covered = np.zeros(wide, bool)
+            for first, last in runs:
+                covered[first:last + 1] = True
+            assert (covered == inside.any(axis=1)).all()
+    assert not [r for r in spans if r["scene_id"] == "far"]
+    pixels = spark.range(520).select(F.lit("s").alias("scene_id"), F.lit(0).alias("row"), F.col("id").cast("int").alias("col"))
+    flags = [r["study_site"] for r in M.mark_study_site(pixels, M.edges(rings), scenes).orderBy("col").collect()]
+    centres = (np.arange(520) + 0.5) * 10.0
+    assert flags == [not ((c >= lows) & (c < lows + 3 + np.arange(10_000) % 40)).any() for c in centres]
+    assert M.mark_study_site(pixels.limit(0), M.edges(rings), scenes.drop("n_cols")).count() == 0

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from shorepix import schema as S
 from shorepix.operators import features as X
-from shorepix.operators import lookup as J
 from shorepix.operators import patches as P
 from shorepix.operators import raster as G
 from shorepix.operators import rules as Q
@@ -46,11 +45,12 @@ def _scored(spark, folder):
 
 @query("specialist_override", with_ctes(_SCORED, 'SELECT id, class_id, round(class_prob, 6) AS class_prob FROM refined'))
 def specialist_override(spark, folder):
-    main = _scored(spark, folder).drop("__main")
-    candidates = main.where(Q.is_specialist_candidate(F.col("class_id")))
-    scored = with_model_probabilities(candidates, {"__special": _SPECIAL})
-    refined = scored.select("id", C.class_of(F.col("__special"), _SPECIAL.class_ids).alias("class_id"), F.array_max("__special").alias("class_prob"))
-    return rounded(J.override_predictions(main.select("id", "class_id", "class_prob"), refined, ["id"], ["class_id", "class_prob"]))
+    """Both networks in one pass over the pixels; the specialist's answer counts for its candidates."""
+    work = with_model_probabilities(D.scene_pixels(spark, folder), {"__main": _MODEL, "__special": _SPECIAL})
+    main, special = C.class_of(F.col("__main"), _MODEL.class_ids), C.class_of(F.col("__special"), _SPECIAL.class_ids)
+    candidate = Q.is_specialist_candidate(main)
+    return rounded(work.select("id", F.when(candidate, special).otherwise(main).alias("class_id"),
+                               F.when(candidate, F.array_max("__special")).otherwise(F.array_max("__main")).alias("class_prob")))
 
 
 @query("ndwi_water_rule", with_ctes(_SCORED, "SELECT id, CASE WHEN ndwi > 0 THEN 8 ELSE main_class END AS class_id, ndwi > 0 AS is_water FROM main"))
