@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,13 +29,20 @@ def pixels4(spark: SparkSession, folder: str) -> DataFrame:
 
 # -- spectra: one row per embedding, twelve bands and a label -----------------------------
 
-SPECTRA_SQL = "SELECT vec_id, label, " + ", ".join(
-    f'CAST(embedding[{i + 1}] AS DOUBLE) + 1.0 AS "{S.raw_name(band)}"' for i, band in enumerate(S.STACK_BANDS)) + " FROM embeddings"
+# Band i is the mean of components i, i + 12, i + 24 and so on, so that every component counts.
+_PARTS = [range(i + 1, 65, len(S.STACK_BANDS)) for i in range(len(S.STACK_BANDS))]
+BAND_VALUES_SQL = [f"({' + '.join(f'CAST(embedding[{k}] AS DOUBLE)' for k in part)}) / {len(part)}" for part in _PARTS]
+SPECTRA_SQL = "SELECT vec_id, label, " + ", ".join(f'{value} + 1.0 AS "{S.raw_name(band)}"' for value, band in zip(BAND_VALUES_SQL, S.STACK_BANDS)) + " FROM embeddings"
+
+
+def band_values() -> list:
+    parts = [[F.element_at("embedding", k).cast("double") for k in part] for part in _PARTS]
+    return [reduce(lambda a, b: a + b, part) / len(part) for part in parts]
 
 
 def spectra(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "embeddings").select("vec_id", "label", *[
-        (F.element_at("embedding", i + 1).cast("double") + 1.0).alias(S.raw_name(band)) for i, band in enumerate(S.STACK_BANDS)])
+        (value + 1.0).alias(S.raw_name(band)) for value, band in zip(band_values(), S.STACK_BANDS)])
 
 
 # -- grid: one row per order; scenes of 100 x 100 pixels with blocks, noise and gaps ------

@@ -20,9 +20,9 @@ GRID = ("grid", D.GRID_SQL)
 _BAND_LIST = ", ".join(f"'{band}'" for band in S.STACK_BANDS)
 
 
-@query("stack_to_bands", f"SELECT vec_id, list_extract([{_BAND_LIST}], i) AS band, round(CAST(embedding[i] AS DOUBLE), 6) AS value FROM embeddings, (SELECT unnest(generate_series(1, 12)) AS i)")
+@query("stack_to_bands", f"SELECT vec_id, list_extract([{_BAND_LIST}], i) AS band, round(list_extract([{', '.join(D.BAND_VALUES_SQL)}], i), 6) AS value FROM embeddings, (SELECT unnest(generate_series(1, 12)) AS i)")
 def stack_to_bands(spark, folder):
-    stacks = table(spark, folder, "embeddings").select("vec_id", F.slice("embedding", 1, 12).alias("values"))
+    stacks = table(spark, folder, "embeddings").select("vec_id", F.array(*D.band_values()).alias("values"))
     return rounded(G.stack_to_bands(stacks, ["vec_id"]))
 
 
