@@ -20,7 +20,7 @@ from ..operators import labels as L
 from ..operators import metrics as E
 from ..operators import ranking as K
 from ..operators import scoring as C
-from ..session import cut_lineage
+from ..session import cut_lineage, shared_folder
 
 HIDDEN_LAYERS = (200, 100)  # fixed value: sizes that give the documented 26,761 weights
 DEFAULT_VALID_SHARE, DEFAULT_SEED = 0.3, 42
@@ -107,7 +107,11 @@ def _fit(split: DataFrame, label: str, mode: str | None, features: list[str], cl
         StandardScaler(inputCol="__raw", outputCol="__features", withMean=True, withStd=True),
         classifier(len(inputs)).setFeaturesCol("__features").setLabelCol("__code").setPredictionCol("__prediction"),
     ]
-    pipeline = Pipeline(stages=stages).fit(ready.where(~F.col("is_valid")))
+    # A fitted model holds a summary with its whole session, which can't be sent to tasks once the session has observed
+    # metrics. What is read back has no summary.
+    path = f"{shared_folder(split.sparkSession)}/pipeline"
+    Pipeline(stages=stages).fit(ready.where(~F.col("is_valid"))).save(path)
+    pipeline = PipelineModel.load(path)
     judged = pipeline.transform(ready.where("is_valid"))
     accuracy = MulticlassClassificationEvaluator(
         labelCol="__code", predictionCol="__prediction", metricName="accuracy").evaluate(judged)

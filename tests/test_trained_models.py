@@ -141,3 +141,12 @@ def test_every_row_by_its_own_model(spark):
         want = {"dense": a["probs"], "cnn": b["probs"]}.get(mine["model"])
         assert mine["probs"] is None if want is None else np.allclose(mine["probs"], want)
     assert C.score_by_model(table.limit(0), {"dense": dense}, "model").count() == 0
+
+
+def test_training_after_a_session_has_observed_metrics(spark, labelled):
+    from pyspark.sql import Observation
+
+    seen = Observation("any")
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).count()
+    special = T.train_specialist(labelled, epochs=3)
+    assert seen.get["n"] == 3 and special.score(X.specialist_features(labelled, context="t")).count() == 300
