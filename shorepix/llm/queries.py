@@ -33,9 +33,13 @@ def pattern_packing(spark, folder):
     return packing.pack_documents(table(spark, folder, "documents"), 4096)
 
 
+#: Characters of a section; longer lines are cut, inside words as well, so that tokens reach over section bounds.
+LONGEST_SECTION = 200
+
+
 @query("op4_section_token_counts")
 def section_token_counts(spark, folder):
-    return token_counts.section_token_counts(table(spark, folder, "documents"))
+    return token_counts.section_token_counts(table(spark, folder, "documents"), longest=LONGEST_SECTION)
 
 
 @query("op5_token_files")

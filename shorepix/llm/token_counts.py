@@ -30,10 +30,17 @@ def joined_fields(df: DataFrame, fields: list[str], separator: str = "\n") -> Da
     return df.withColumns({"text": F.concat_ws(separator, *values), "sections": F.array(*parts)})
 
 
-def line_bounds(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the lines, without their line feeds; an empty text is one empty line."""
+def line_bounds(text: str, longest: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the lines, without their line feeds; an empty text is one empty line. Lines of more than
+    ``longest`` characters are cut into pieces of that many, the last one shorter."""
     feeds = np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4") == 10)
-    return np.append(0, feeds + 1), np.append(feeds, len(text))
+    start, end = np.append(0, feeds + 1), np.append(feeds, len(text))
+    if longest is None:
+        return start, end
+    pieces = np.maximum(1, -(-(end - start) // longest))
+    nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    start = np.repeat(start, pieces) + nth * longest
+    return start, np.minimum(np.repeat(end, pieces), start + longest)
 
 
 def attribute(spans: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,12 +76,12 @@ def attribute(spans: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np
 
 
 def section_token_counts(documents: DataFrame, sections: str | None = None, tokenizer: str | None = None,
-                         by_word: bool = True) -> DataFrame:
+                         by_word: bool = True, longest: int | None = None) -> DataFrame:
     """One row per section of each document: doc_id, section (from 0), name, start, end (characters), n_tokens,
     n_shared (tokens of these that reach into another section), share (fractional tokens).
 
     ``sections`` names a column array<struct<name, start, end>>; without it the lines of ``text`` are the sections (name
-    null). Sections are sorted by start; where they overlap, the later one starts at the end of the earlier. Tokens outside
+    null), longer ones cut after every ``longest`` characters, also inside words. Sections are sorted by start; where they overlap, the later one starts at the end of the earlier. Tokens outside
     all sections make a row with section -1 (only if there are any). Null texts count as empty; a null list of sections
     counts as none. Repeated rows give repeated sections; other columns are ignored.
     """
@@ -99,7 +106,7 @@ def section_token_counts(documents: DataFrame, sections: str | None = None, toke
                         start = np.maximum(start, np.append(-1, end)[:len(start)])
                         end = np.maximum(start, end)
                     else:
-                        start, end = line_bounds(text)
+                        start, end = line_bounds(text, longest)
                     tokens, shared, share = attribute(spans[ends[k] - counts[k]:ends[k] - 1], start, end)
                     n = len(start) + bool(share[-1] > 0)
                     order = [*range(len(start)), -1][:n]
