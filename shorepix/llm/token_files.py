@@ -29,6 +29,8 @@ from shorepix.llm.tokens import chunks, default_tokenizer, encoder
 
 INDEX_MAGIC, SEEK_MAGIC, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 FRAME_IDS = 262_144
+#: Ids of a file, one gigabyte of them, and its documents: the index of a file stands in memory.
+FILE_IDS, FILE_DOCS = 1 << 28, 1 << 20
 CHECKSUMS = 0x80
 
 
@@ -127,7 +129,8 @@ def _filesystem(uri: str):
 
 
 def write_token_files(documents: DataFrame, folder: str | None = None, tokenizer: str | None = None,
-                      by_word: bool = True, frame_ids: int = FRAME_IDS) -> DataFrame:
+                      by_word: bool = True, frame_ids: int = FRAME_IDS, file_ids: int = FILE_IDS,
+                      file_docs: int = FILE_DOCS) -> DataFrame:
     """Encode whole texts, close each with id 1 and write the ids below ``folder`` in ascending ``doc_id`` order.
 
     ``documents`` needs ``doc_id`` (integer) and ``text``; other columns are ignored. Null and empty texts are one id (the
@@ -135,8 +138,9 @@ def write_token_files(documents: DataFrame, folder: str | None = None, tokenizer
     comes. Returns the manifest, one row per file: file_no (ascending with the ids), path, n_docs, n_tokens, n_frames. An
     empty table gives an empty manifest.
 
-    A task writes its file under a name of its own attempt and the manifest names the file of the attempt that
-    succeeded, so lost and speculative tasks leave nothing but an unnamed file.
+    A task closes a file before it would hold more than ``file_ids`` ids (a longer document is a file of its own) or
+    ``file_docs`` documents and goes on with the next. It writes under names of its own attempt and the manifest names the
+    files of the attempt that succeeded, so lost and speculative tasks leave nothing but unnamed files.
     """
     spark = documents.sparkSession
     folder = folder or shared_folder(spark)
@@ -151,25 +155,32 @@ def write_token_files(documents: DataFrame, folder: str | None = None, tokenizer
         encode = encoder(tokenizer, by_word)
         system, root = _filesystem(folder)
         system.create_dir(root, recursive=True)
-        part = TaskContext.get().partitionId()
-        name = f"part-{part:08d}-{uuid.uuid4().hex}.ids"
-        writer = out = None
+        part, mark, number = TaskContext.get().partitionId(), uuid.uuid4().hex, 0
+        writer = out = name = None
+
+        def closed() -> pa.RecordBatch:
+            writer.close()
+            out.close()
+            return pa.RecordBatch.from_pydict({"file_no": [part << 32 | number], "path": [f"{folder.rstrip('/')}/{name}"],
+                                               "n_docs": [len(writer.docs)], "n_tokens": [writer.total],
+                                               "n_frames": [len(writer.frames)]})
+
         for batch in batches:
-            if batch.num_rows and writer is None:
-                out = system.open_output_stream(f"{root}/{name}")
-                writer = Writer(out, frame_ids)
             doc_ids = batch.column(0).to_pylist()
             for at, texts in chunks(batch.column(1).to_pylist()):
                 ids, counts, _ = encode.chunk(texts)
                 ends = np.cumsum(counts)
                 for k in range(len(texts)):
+                    if writer and (writer.total + counts[k] > file_ids or len(writer.docs) >= file_docs):
+                        yield closed()
+                        writer, number = None, number + 1
+                    if writer is None:
+                        name = f"part-{part:08d}-{number:08d}-{mark}.ids"
+                        out = system.open_output_stream(f"{root}/{name}")
+                        writer = Writer(out, frame_ids)
                     writer.add(doc_ids[at + k], ids[ends[k] - counts[k]:ends[k]])
         if writer is not None:
-            writer.close()
-            out.close()
-            yield pa.RecordBatch.from_pydict({"file_no": [part], "path": [f"{folder.rstrip('/')}/{name}"],
-                                              "n_docs": [len(writer.docs)], "n_tokens": [writer.total],
-                                              "n_frames": [len(writer.frames)]})
+            yield closed()
 
     # The id order alone decides; the two further keys let a doc_id that fills many rows spread over several files.
     ordered = (documents.filter(F.col("doc_id").isNotNull())

@@ -126,6 +126,93 @@ def test_section_counts(docs, spark, direct):
     assert {r[0] for r in sums} == {"source", "text"}
 
 
+def _spans(text):
+    """(start, end) of the characters of each token, from the library alone."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokens.default_tokenizer()).encode(text or "", add_special_tokens=False).offsets
+
+
+def _by_characters(text, sections):
+    """(tokens, shared tokens, fractional tokens) of each section and of the text outside, one character at a time."""
+    out = [[0, 0, 0.0] for _ in range(len(sections) + 1)]
+    for low, high in _spans(text):
+        high = max(high, low + 1)
+        held = [0] * len(out)
+        for at in range(low, high):
+            held[next((k for k, (start, end) in enumerate(sections) if start <= at < end), -1)] += 1
+        owner = max(range(len(out)), key=lambda k: (held[k], -k))
+        out[owner][0] += 1
+        out[owner][1] += sum(h > 0 for h in held) > 1
+        for k, h in enumerate(held):
+            out[k][2] += h / (high - low)
+    return out
+
+
+def _cut_lines(text, longest):
+    found, at = [], 0
+    for line in (text or "").split("\n"):
+        for low in range(0, max(1, len(line)), longest):
+            found.append((at + low, at + min(len(line), low + longest)))
+        at += len(line) + 1
+    return found
+
+
+@pytest.mark.parametrize("longest", [1, 3, 20])
+def test_cut_lines_against_single_characters(spark, longest):
+    texts = ["unbelievable circumstances", "", None, "\n\n", "Straße, dür! internationalisation\nshort\n\nécoles 日本語の文 😀😀", "a" * 61 + "\n" + "b " * 30, "x\n"]
+    rows = [(k, t, 5, "x") for k, t in enumerate(texts)] + [(0, texts[0], 5, "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, section int, name string")
+    out = token_counts.section_token_counts(frame, longest=longest).toPandas()
+    crossing = 0
+    for k, text in enumerate(texts):
+        sections = _cut_lines(text, longest)
+        want = _by_characters(text, sections)
+        mine = out[out.doc_id == k].sort_values("section", key=lambda c: c.where(c >= 0, 10 ** 9), kind="stable")
+        times = 2 if k == 0 else 1
+        mine = mine.iloc[::times]
+        got = list(zip(mine.n_tokens, mine.n_shared, mine.share.round(9), strict=True))
+        wanted = [(a, b, round(c, 9)) for a, b, c in want]
+        assert got == (wanted if wanted[-1][2] else wanted[:-1])
+        assert list(zip(mine.start.dropna().astype(int), mine.end.dropna().astype(int), strict=True)) == sections
+        crossing += sum(b for _, b, _ in wanted)
+    assert crossing > 2
+
+
+def test_the_query_of_token_counts_meets_the_rule_and_every_section(spark):
+    from shorepix.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    out = queries.QUERIES["op4_section_token_counts"](spark, folder).toPandas()
+    docs = spark.read.parquet(f"{folder}/documents.parquet").toPandas()
+    assert out.n_shared.sum() > 0 and (out.share != out.n_tokens).any()
+    mine = {k: part[part.section >= 0].sort_values("section") for k, part in out.groupby("doc_id")}
+    for doc_id, text in zip(docs.doc_id, docs.text, strict=True):
+        sections = _cut_lines(text, queries.LONGEST_SECTION)
+        want = _by_characters(text, sections)[:-1]
+        got = mine[doc_id]
+        assert list(zip(got.n_tokens, got.n_shared, got.share.round(6), strict=True)) == [(a, b, round(c, 6)) for a, b, c in want]
+
+
+def test_token_files_roll_over(docs, direct):
+    whole = token_files.read_token_files(token_files.write_token_files(docs)).toPandas().sort_values(["start"])
+    manifest = token_files.write_token_files(docs, frame_ids=64, file_ids=200)
+    files = manifest.orderBy("file_no").toPandas()
+    texts = sorted(len(direct(t)) for _, t, *_ in _rows())
+    assert len(files) > 4 and files.file_no.is_unique and files.path.is_unique and files.n_docs.sum() == len(_rows())
+    assert all(n <= 200 or d == 1 for n, d in zip(files.n_tokens, files.n_docs, strict=True)) and files.n_tokens.max() == texts[-1] > 200
+    again = token_files.read_token_files(manifest).toPandas().sort_values(["start"])
+    assert all((again[c].to_numpy() == whole[c].to_numpy()).all() for c in ("doc_id", "start", "n_tokens", "ids_crc32"))
+
+
+def test_token_files_take_repeated_and_null_ids(spark, direct):
+    rows = [(3, "b b"), (1, "a"), (3, "c"), (None, "gone"), (2, None), (1, "a")]
+    frame = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, path string, start int")
+    out = token_files.read_token_files(token_files.write_token_files(frame, file_ids=4)).toPandas().sort_values("start")
+    assert out.doc_id.tolist() == [1, 1, 2, 3, 3] and out.start.tolist() == (out.n_tokens.cumsum() - out.n_tokens).tolist()
+    assert sorted(map(bytes, out.ids)) == sorted(direct(t).tobytes() for k, t in rows if k is not None)
+
+
 def test_token_files(docs, none, direct, spark):
     manifest = token_files.write_token_files(docs, frame_ids=64)
     out = token_files.read_token_files(manifest).orderBy("doc_id").toPandas()
@@ -324,10 +411,53 @@ def test_top_k(spark):
 
 def test_pivots_skip_inner_products():
     rng = np.random.default_rng(8)
-    centres = rng.normal(size=(20, 8)) * 1000
-    vectors = np.floor(centres[rng.integers(0, 20, 4000)] + rng.normal(size=(4000, 8)))
-    _, taken = topk.block_top_k([-1], vectors[:1], np.arange(4000), vectors, 5, 32)
-    assert taken < 4000
+
+    def share(vectors, pivots, queries=50):
+        ids, floors = np.arange(len(vectors)), np.full(queries, -np.inf)
+        chosen = topk.choose_pivots(vectors[:500], pivots)
+        rows, taken = topk.block_top_k(ids[:queries], vectors[:queries], floors, ids, vectors, topk.distance_table(vectors, chosen), chosen, 5)
+        products = vectors[:queries] @ vectors.T
+        for q in range(queries):
+            want = sorted((-int(s), i) for i, s in enumerate(products[q]) if i != q)[:5]
+            assert [(-s, i) for query_id, i, s in rows if query_id == q] == want
+        return taken / (queries * len(vectors))
+
+    spread = np.floor(rng.normal(size=(4000, 32)) * 100)  # no structure: only many pivots help
+    assert share(spread, 24) < 0.5 and share(spread, 0) > 0.8
+    lying = np.floor(rng.normal(size=(4000, 4)) @ rng.normal(size=(4, 32)) * 100)  # a plane of four dimensions, but for rounding
+    assert share(lying, 6) < 0.1
+    assert share(np.repeat(lying[:1], 300, axis=0), 6) <= 1 and share(np.zeros((60, 3)), 4) <= 1  # equal and zero vectors: ties by id
+
+
+def test_bounds_hold_for_all_pairs():
+    rng = np.random.default_rng(9)
+    vectors = np.floor(rng.normal(size=(200, 12)) * 50)
+    chosen = topk.choose_pivots(vectors, 7)
+    table = topk.distance_table(vectors, chosen)
+    inside, outside = topk.inside_and_outside(table, chosen)
+    upper = inside @ inside.T + np.outer(outside, outside)
+    assert (upper >= vectors @ vectors.T - 1e-6).all()
+    square = (vectors ** 2).sum(1)
+    lower = np.sqrt(np.maximum(square[:, None] + square[None] - 2 * upper, 0))
+    plain = np.abs(table[:, None] - table[None]).max(axis=2)  # the bound of single pivots
+    assert (lower >= plain - 1e-3).all() and lower.mean() > 1.5 * plain.mean()
+
+
+def test_top_k_over_blocks_widths_repeats_and_large_values(spark):
+    rng = np.random.default_rng(12)
+    rows = [(k, [float(np.floor(x)) for x in rng.normal(size=8) * 9]) for k in range(300)]
+    rows += [(k, rows[k - 300][1]) for k in range(300, 340)]  # equal vectors of other ids
+    rows += [(7, rows[9][1]), (50, rows[3][1])]  # repeated ids with other vectors
+    rows += [(k, [1.0, float(k)]) for k in range(400, 404)]  # another length, fewer than k others
+    for times in (1.0, 2.0 ** 22):  # beyond doubles Python integers decide
+        given = [(k, [x * times for x in v], "x", None) for k, v in rows]
+        frame = spark.createDataFrame(given, "vec_id long, embedding array<double>, score string, width int")
+        out = topk.top_k(frame, frame.filter("vec_id % 50 = 0"), 5, scale=1.0, block=40, query_block=2, pivots=5).toPandas()
+        for q in sorted({k for k, _ in rows if k % 50 == 0}):
+            mine = min(v for k, v in rows if k == q)
+            want = sorted((-int(sum(int(a * times) * int(b * times) for a, b in zip(mine, v, strict=True))), k) for k, v in rows if k != q and len(v) == len(mine))[:5]
+            got = out[out.query_id == q].sort_values("rank")
+            assert list(zip((-got.score).tolist(), got.vec_id.tolist(), strict=True)) == want and got["rank"].tolist() == list(range(1, len(want) + 1))
 
 
 def test_pipeline_stages_keep_columns(spark):
