@@ -269,7 +269,40 @@ def sequence_model(classes: int = 10) -> C.SequenceModel:
         (flat(wide, deeper, 0.3), [0.1] * wide), (flat(classes, wide, 0.4), [0.0] * classes), list(range(1, classes + 1)))
 
 
-@query("sequence_score")
+def _literal(value) -> str:
+    """Nested lists of doubles as SQL text."""
+    return "[" + ", ".join(map(_literal, value)) + "]" if isinstance(value, list) else f"CAST({float(value)!r} AS DOUBLE)"
+
+
+def sequence_sql(model: C.SequenceModel, source: str) -> list[tuple[str, str]]:
+    """CTEs that score ``source``; ``seqscored`` adds a list ``probs``. A convolution is a dot product of the kernel of an
+    output channel with three neighbouring bands of all input channels, 0 beyond either end. Biases stand behind the
+    weights and meet a constant 1."""
+    length = len(model.groups[0])
+    rows = [[f'CAST((coalesce("{n}", 0.0) - {m!r}) / {s!r} AS DOUBLE)' for n, m, s in zip(*group, strict=True)]
+            for group in zip(model.groups, model.norm["mean"], model.norm["std"], strict=True)]
+    parts = [("seq0", "SELECT *, [" + ", ".join(f"[{', '.join(row)}]" for row in rows) + f"] AS x FROM {source}")]
+    one, zero = _literal([1.0]), _literal([0.0])
+    for depth, (kernel, bias) in enumerate((model.conv1, model.conv2)):
+        flat = [[w for channel in out for w in channel] + [b] for out, b in zip(kernel, bias, strict=True)]
+        near = f"list_transform(range({length}), lambda t: flatten(list_transform(x, lambda c: list_concat({zero}, list_concat(c, {zero}))[t + 1:t + 3])) || {one})"
+        parts.append((f"seqnear{depth}", f"SELECT * EXCLUDE (x), {near} AS near FROM seq{depth}"))
+        parts.append((f"seq{depth + 1}", f"SELECT * EXCLUDE (near), list_transform({_literal(flat)}, "
+                                         "lambda k: list_transform(near, lambda v: greatest(list_dot_product(k, v), 0.0))) AS x "
+                                         f"FROM seqnear{depth}"))
+    (w1, b1), (w2, b2) = model.dense1, model.dense2
+    first, last = ([[*row, b] for row, b in zip(w, bias, strict=True)] for w, bias in ((w1, b1), (w2, b2)))
+    return [*parts,
+            ("seqmean", f"SELECT * EXCLUDE (x), list_transform(x, lambda c: list_avg(c)) || {one} AS m FROM seq2"),
+            ("seqhidden", f"SELECT * EXCLUDE (m), list_transform({_literal(first)}, lambda k: greatest(list_dot_product(k, m), 0.0)) || {one} AS h FROM seqmean"),
+            ("seqlogits", f"SELECT * EXCLUDE (h), list_transform({_literal(last)}, lambda k: list_dot_product(k, h)) AS z FROM seqhidden"),
+            ("seqexp", "SELECT * EXCLUDE (z), list_transform(z, lambda v: exp(v - list_max(z))) AS e FROM seqlogits"),
+            ("seqscored", "SELECT * EXCLUDE (e), list_transform(e, lambda v: v / list_sum(e)) AS probs FROM seqexp")]
+
+
+@query("sequence_score", with_ctes([*_SEQ, *sequence_sql(sequence_model(), "feat")],
+                                   "SELECT vec_id, CAST(list_position(probs, list_max(probs)) AS INTEGER) AS class_id, "
+                                   "round(list_max(probs), 6) AS class_prob, round(list_sum(probs), 6) AS prob_sum FROM seqscored"))
 def sequence_score(spark, folder):
     model = sequence_model()
     scored = C.score_sequence(_sequence(spark, folder), model)
