@@ -20,8 +20,12 @@ sets save:
   sketches differ in no more bits than their sets differ in elements, so in a long list a pair whose sketches differ too
   much is skipped.
 
-All links lie inside the components, so they are found there: a component is cut into blocks of sets, and each pair of
-blocks gives the overlaps of all its sets at once, as products of incidence matrices.
+All links lie inside the components, so they are found there. A component of one block gives the overlaps of all its sets
+at once, as a product of incidence matrices. In a larger one the answers come from those of a few of its sets, the pivots:
+every set is compared with the pivots, and the sets are dealt into blocks by their nearest pivot and their distance to it.
+The number of elements in which two sets differ is a metric, so for two blocks the distances to one pivot may show that all
+their sets are linked, or that none are; then no set of theirs is read again. Only pairs of blocks that stay open are
+multiplied.
 
 Every comparison reads both whole sets.
 """
@@ -50,6 +54,11 @@ ROUNDS, LEADERS = 2, 8
 SKETCH_BITS = 512
 #: Sets and elements of a block, about; elements of the small components that one task call compares; columns of a product.
 BLOCK, BLOCK_ELEMENTS, SMALL_ELEMENTS, COLUMNS = 512, 1 << 19, 1 << 16, 4096
+#: Sets of a component of several blocks with which all its sets are compared; steps of the distance to the nearest one in
+#: the part of a set's size up to which sets near one pivot are linked for certain, and the last step, of all that are farther.
+PIVOTS, STEPS, LAST_STEP = 4, 4, 63
+#: Blocks that meet all blocks of their component in one task.
+LANE = 1000
 _MIX = np.array([0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
 
@@ -385,18 +394,97 @@ def similar_documents(documents: DataFrame) -> DataFrame:
                     F.coalesce("copies", F.lit(1)).alias("n_copies")))
 
 
+def _distances(sets: pa.Table, pivots: pa.Table) -> pa.Table:
+    """v, comp, n, the nearest pivot and the number of elements in which the set differs from each pivot, for sets (comp,
+    v, elements) and the pivots (seat, elements) of their component."""
+    found = [np.frombuffer(x.as_buffer(), np.uint64) for x in sets.column("elements")]
+    sizes = np.array([len(x) for x in found], np.int64)
+    every, owner = np.concatenate([np.zeros(0, np.uint64), *found]), np.repeat(np.arange(len(found)), sizes)
+    apart = []
+    for pivot in pivots.sort_by("seat").column("elements"):
+        pivot = np.frombuffer(pivot.as_buffer(), np.uint64)
+        held = pivot[np.minimum(np.searchsorted(pivot, every), len(pivot) - 1)] == every
+        apart.append(sizes + len(pivot) - 2 * np.bincount(owner[held], minlength=len(found)))
+    apart = np.stack(apart, axis=1)
+    bounds = np.arange(0, apart.size + 1, apart.shape[1], dtype=np.int32)
+    return pa.table({"v": sets.column("v"), "comp": sets.column("comp"), "n": pa.array(sizes), "near": pa.array(apart.argmin(axis=1).astype(np.int32)),
+                     "apart": pa.ListArray.from_arrays(pa.array(bounds), pa.array(apart.ravel().astype(np.int64)))})
+
+
+def _blocks(full: DataFrame) -> DataFrame:
+    """(v, comp, n, apart, block): the sets of large components in blocks of about BLOCK sets and BLOCK_ELEMENTS elements,
+    next to sets that are as far from the same pivot."""
+    chunk = F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")
+    chosen = full.groupBy("comp", F.pmod(F.xxhash64(F.lit(1), "v"), F.lit(PIVOTS)).cast("int").alias("seat")).agg(F.min_by("v", F.xxhash64(F.lit(3), "v")).alias("v"))
+    pivots = (full.join(size_checked(staged(chosen.select("v", "seat"))), "v")
+              .select("comp", "seat", "elements", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+              .toDF("comp", "seat", "elements", "chunk"))  # columns of its own, as both sides of the grouping come from one table
+    measured = staged(full.withColumn("chunk", chunk).groupBy("comp", "chunk").cogroup(pivots.groupBy("comp", "chunk"))
+                      .applyInArrow(_distances, "v long, comp long, n long, near int, apart array<long>"))
+    step = F.least(F.lit(LAST_STEP), F.floor(STEPS * (100 + PERCENT) * F.array_min("apart") / ((100 - PERCENT) * F.col("n")))).cast("int")
+    placed = measured.withColumn("bucket", F.col("near") * (LAST_STEP + 1) + step)
+    # A component has few buckets. They lie one behind the other on a line, each as long as it has blocks.
+    length = F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_ELEMENTS)
+    line = Window.partitionBy("comp").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = placed.groupBy("comp", "bucket").agg(length.alias("length")).withColumn("start", F.coalesce(F.sum("length").over(line), F.lit(0.0)))
+    within = F.pmod(F.xxhash64(F.lit(2), "v"), F.lit(1 << 20)) / (1 << 20)
+    return staged(placed.join(size_checked(buckets), ["comp", "bucket"])
+                  .select("v", "comp", "n", "apart", F.floor(F.col("start") + within * F.col("length")).cast("int").alias("block")))
+
+
+def _block_pairs(blocks: DataFrame) -> DataFrame:
+    """(comp, i, j, c_i, c_j, linked) of all pairs of blocks i <= j of a component, but for those without a link. ``linked``:
+    all their sets are."""
+    ends = [end for p in range(PIVOTS) for end in (F.min(F.get("apart", F.lit(p))).alias(f"low{p}"), F.max(F.get("apart", F.lit(p))).alias(f"high{p}"))]
+    known = staged(blocks.groupBy("comp", "block").agg(F.count("*").alias("c"), F.min("n").alias("least"), F.max("n").alias("most"), *ends))
+    lanes = known.groupBy("comp").agg((F.max("block") / LANE + 1).cast("int").alias("lanes"))
+    dealt = known.join(size_checked(lanes), "comp")
+    left = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane")).alias("x")
+    right = dealt.withColumn("lane", F.pmod("block", "lanes")).alias("y")
+    none, all_of_them = (100 * F.col("x.most") < PERCENT * F.col("y.least")) | (100 * F.col("y.most") < PERCENT * F.col("x.least")), F.lit(False)
+    for p in range(PIVOTS):  # a pivot that a component lacks decides nothing
+        gap = F.greatest(F.col(f"x.low{p}") - F.col(f"y.high{p}"), F.col(f"y.low{p}") - F.col(f"x.high{p}"))
+        none |= F.coalesce((100 + PERCENT) * gap > (100 - PERCENT) * (F.col("x.most") + F.col("y.most")), F.lit(False))
+        within = (100 + PERCENT) * (F.col(f"x.high{p}") + F.col(f"y.high{p}")) <= (100 - PERCENT) * (F.col("x.least") + F.col("y.least"))
+        all_of_them |= F.coalesce(within, F.lit(False))
+    same = (F.col("x.comp") == F.col("y.comp")) & (F.col("x.lane") == F.col("y.lane")) & (F.col("x.block") <= F.col("y.block"))
+    return staged(left.join(right, same).filter(~none)
+                  .select("x.comp", F.col("x.block").alias("i"), F.col("y.block").alias("j"), F.col("x.c").alias("c_i"), F.col("y.c").alias("c_j"), all_of_them.alias("linked")))
+
+
 def _cells(join: _Join, members: DataFrame):
-    """The whole sets of all components of several sets, grouped by the blocks that are compared with each other."""
+    """What the links come from: the whole sets of small components, grouped by cells of some components each; the whole
+    sets of large components with their blocks; the pairs of these blocks."""
     blocks = F.ceil(F.greatest(F.col("c") / BLOCK, F.col("total") / BLOCK_ELEMENTS)).cast("int")
     sizes = staged(members.groupBy("comp").agg(F.count("*").alias("c"), F.sum("n").alias("total")).filter("c > 1").withColumn("blocks", blocks))
     small = sizes.filter("blocks = 1").agg(F.sum("total")).first()[0] or 0
     inside = staged(members.join(size_checked(sizes.select("comp", "blocks")), "comp").select("v", "doc_id", "set_hash", "comp", "blocks"))
     full = staged(join.of(inside, _full_sets, "elements").select("comp", "blocks", "v", "elements"))
-    own = F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")
-    dealt = full.withColumn("own", own).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    # A component of several blocks has cells of its own; those of one block share cells.
-    cell = F.when(F.col("blocks") > 1, F.col("comp")).otherwise(-1 - F.pmod(F.xxhash64("comp"), F.lit(small // SMALL_ELEMENTS + 1)))
-    return dealt.select("comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "v", "elements", cell.alias("cell")).groupBy("cell", "i", "j")
+    cell = -1 - F.pmod(F.xxhash64("comp"), F.lit(small // SMALL_ELEMENTS + 1))
+    zero = F.lit(0)
+    cells = full.filter("blocks = 1").select("comp", zero.alias("i"), zero.alias("j"), zero.alias("own"), "v", "elements", cell.alias("cell"))
+    large = full.filter("blocks > 1")
+    dealt = _blocks(large)
+    return cells, staged(dealt.join(large.select("v", "elements"), "v").select("comp", "block", "v", "elements")), _block_pairs(dealt)
+
+
+def _met(cells: DataFrame, large: DataFrame, pairs: DataFrame):
+    """The sets of the cells and of the pairs of blocks, grouped by what is compared in one call."""
+    ends = pairs.select("comp", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    met = large.join(ends, ["comp", "block"]).select("comp", "i", "j", F.col("block").alias("own"), "v", "elements", F.col("comp").alias("cell"))
+    return cells.union(met).groupBy("cell", "i", "j")
+
+
+def _link_numbers(join: _Join, members: DataFrame) -> DataFrame:
+    """(v, n_links) of the sets that have links; a set of a block whose sets are all linked with those of another one gets
+    their number, without a comparison."""
+    cells, large, pairs = _cells(join, members)
+    compared = _met(cells, large, pairs.filter("not linked")).applyInArrow(_link_counts, "v long, n_links long")
+    sure = pairs.filter("linked")
+    given = (sure.select("comp", F.col("i").alias("block"), F.when(F.col("i") == F.col("j"), F.col("c_j") - 1).otherwise(F.col("c_j")).alias("more"))
+             .union(sure.filter("i < j").select("comp", "j", "c_i")).groupBy("comp", "block").agg(F.sum("more").alias("n_links")))
+    taken = large.select("comp", "block", "v").join(size_checked(given), ["comp", "block"]).select("v", "n_links")
+    return compared.union(taken).groupBy("v").agg(F.sum("n_links").alias("n_links"))
 
 
 def all_links(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -407,7 +495,7 @@ def all_links(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     join, signed, members = _grouped(documents)
     members = staged(members)
-    found = staged(_cells(join, members).applyInArrow(_link_pairs, "a long, b long"))
+    found = staged(_met(*_cells(join, members)).applyInArrow(_link_pairs, "a long, b long"))
     name = members.select("v", "set_hash")
     links = found.join(name.toDF("a", "x"), "a").join(name.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     known = members.select("set_hash", F.col("set_hash").alias("set_id"))
@@ -422,7 +510,7 @@ def linked_documents(documents: DataFrame) -> DataFrame:
     """
     join, signed, members = _grouped(documents)
     members = staged(members)
-    counts = _cells(join, members).applyInArrow(_link_counts, "v long, n_links long").groupBy("v").agg(F.sum("n_links").alias("n_links"))
+    counts = _link_numbers(join, members)
     ids = members.groupBy("comp").agg(F.min("least_doc").alias("component_id"))
     named = staged(members.join(ids, "comp").join(counts, "v", "left").select("set_hash", "copies", "component_id", F.col("least_doc").alias("class_id"), "n_links"))
     return (signed.select("doc_id", "n", "set_hash").join(named, "set_hash", "left")

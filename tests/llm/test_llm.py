@@ -364,6 +364,8 @@ def test_all_jaccard_links_against_brute_force(spark, none, monkeypatch):
         for _ in range(rng.randrange(3)):
             words[rng.randrange(len(words))] = f"n{rng.randrange(9)}"
         texts.append(" ".join(words))
+    run = [f"c{k}" for k in range(700)]
+    texts += [" ".join(run[7 * k:7 * k + 150 + k % 3]) for k in range(70)]  # a chain: each is linked with the next two or so
     texts += [None, "", "A b", "a  B", texts[0].upper()]
     sets = []
     for t in texts:
@@ -390,6 +392,47 @@ def test_all_jaccard_links_against_brute_force(spark, none, monkeypatch):
     assert jaccard.linked_documents(none).count() == 0 and jaccard.all_links(none)[1].count() == 0
 
 
+def test_blocks_of_sets_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 6)
+    monkeypatch.setattr(jaccard, "LANE", 3)  # several lanes
+    rng = np.random.default_rng(3)
+    sets, comps = [], []
+    for k in range(150):  # a dense group, a chain, a group around two far centres, a group with a set of another size
+        if k < 60:
+            own = np.concatenate([np.arange(100), 1000 + rng.integers(0, 50, rng.integers(0, 9))])
+        elif k < 120:
+            own = 5000 + np.arange(8 * (k - 60), 8 * (k - 60) + 100)
+        else:
+            own = (9000 if k % 2 else 9500) + rng.choice(120, 110, replace=False)
+        sets.append(np.unique(own).astype(np.uint64))
+        comps.append(k // 60)
+    comps[40] = 2
+    rows = [(c, 2 + (c + 9) // 4, v, bytearray(s.tobytes())) for v, (c, s) in enumerate(zip(comps, sets, strict=True))]
+    full = spark.createDataFrame(rows, "comp long, blocks int, v long, elements binary")
+    dealt = jaccard._blocks(full)
+    found = {r.v: r for r in dealt.collect()}
+    assert sorted(found) == list(range(150)) and all(found[v].n == len(sets[v]) and found[v].comp == comps[v] for v in found)
+    of = {}
+    for v, r in found.items():
+        of.setdefault((r.comp, r.block), []).append(v)
+    pairs = {(r.comp, r.i, r.j): r for r in jaccard._block_pairs(dealt).collect()}
+    linked = apart = 0
+    for comp, i in of:
+        for _, j in (key for key in of if key[0] == comp and key[1] >= i):
+            both = [len(np.intersect1d(sets[x], sets[y])) for x in of[comp, i] for y in of[comp, j] if x != y]
+            total = [len(sets[x]) + len(sets[y]) for x in of[comp, i] for y in of[comp, j] if x != y]
+            links = [100 * b >= 80 * (t - b) for b, t in zip(both, total, strict=True)]
+            pair = pairs.get((comp, i, j))
+            if pair is None:
+                apart += 1
+                assert not any(links)
+            else:
+                assert (pair.c_i, pair.c_j) == (len(of[comp, i]), len(of[comp, j]))
+                linked += pair.linked
+                assert all(links) or not pair.linked
+    assert linked > 10 and apart > 30
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (5, 5), (3, 10), (8, 7)], "a long, b long")
     assert {r.v: r.comp for r in graph.components(edges).collect()} == {1: 1, 2: 1, 3: 1, 10: 1, 9: 7, 8: 7, 7: 7, 5: 5}
