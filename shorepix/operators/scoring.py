@@ -17,12 +17,24 @@ from ..functions.staging import pinned
 from . import features as X
 
 RELU, SIGMOID = "relu", "sigmoid"
+#: Rows whose hidden layers stand in memory at once; a convolution takes tens of kilobytes a row.
+RUN_ROWS = 256
 
 
 def _activated(x: np.ndarray, activation: str) -> np.ndarray:
     return np.maximum(x, 0.0) if activation == RELU else 1 / (1 + np.exp(-x))
 
 
+def _in_runs(network: Callable[[np.ndarray], np.ndarray]) -> Callable[[np.ndarray], np.ndarray]:
+    """``network`` over RUN_ROWS rows at a time: hidden layers take the same memory however large an Arrow batch is."""
+    def probabilities(x: np.ndarray) -> np.ndarray:
+        if len(x) <= RUN_ROWS:
+            return network(x)
+        return np.concatenate([network(x[k:k + RUN_ROWS]) for k in range(0, len(x), RUN_ROWS)])
+
+    return probabilities
+
+
 @dataclass(frozen=True)
 class DenseModel:
     """Fully connected network: standardized inputs, hidden layers, softmax output.
@@ -76,7 +88,7 @@ class DenseModel:
                     x = _activated(x, self.activation)
             return _softmax_rows(x)
 
-        return probabilities
+        return _in_runs(probabilities)
 
     def to_json(self) -> str:
         return json.dumps(asdict(self))
@@ -208,7 +220,7 @@ class SequenceModel:
             hidden = np.maximum(x.mean(axis=2) @ w1 + b1, 0.0)
             return _softmax_rows(hidden @ w2 + b2)
 
-        return probabilities
+        return _in_runs(probabilities)
 
     @staticmethod
     def widths(length: int) -> tuple[int, int, int]:

@@ -1,6 +1,7 @@
 import json
 import os
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -255,3 +256,24 @@ def test_training_query_trains_the_operators_own_size(spark, monkeypatch):
     monkeypatch.setattr(T, "MultilayerPerceptronClassifier", lambda **given: made.append(given) or perceptron(**given))
     assert workload.QUERIES["dense_training"](spark, "/root/testdata/sf0.001").count() > 0
     assert [(g["layers"][1:-1], g["maxIter"]) for g in made] == [([200, 100], 20)]
+
+
+def test_hidden_layers_do_not_grow_with_the_batch():
+    rng = np.random.default_rng(5)
+    hidden, deeper, wide = C.SequenceModel.widths(12)
+    groups = [[f"a{i}" for i in range(12)], [f"b{i}" for i in range(12)]]
+    sequence = C.SequenceModel(groups, {"mean": [[0.0] * 12] * 2, "std": [[1.0] * 12] * 2},
+                               (rng.normal(size=(hidden, 2, 3)).tolist(), rng.normal(size=hidden).tolist()),
+                               (rng.normal(size=(deeper, hidden, 3)).tolist(), rng.normal(size=deeper).tolist()),
+                               (rng.normal(size=(wide, deeper)).tolist(), rng.normal(size=wide).tolist()),
+                               (rng.normal(size=(3, wide)).tolist(), rng.normal(size=3).tolist()), [1, 2, 3])
+    flat = C.DenseModel(groups[0], [0.0] * 12, [1.0] * 12, [(rng.normal(size=(400, 12)).tolist(), [0.1] * 400), (rng.normal(size=(3, 400)).tolist(), [0.0] * 3)], [1, 2, 3])
+    for model in (sequence, flat):
+        network, x = model.network(), rng.normal(size=(10_000, len(model.inputs)))
+        tracemalloc.start()
+        found = network(x)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert found.shape == (10_000, 3) and peak < 20 << 20
+        alone = np.concatenate([network(x[k:k + 1]) for k in (0, 255, 256, 5_000, 9_999)])
+        assert np.allclose(found[[0, 255, 256, 5_000, 9_999]], alone)
