@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shorepix.llm.store import shared_folder
-from shorepix.llm.tokens import chunks, default_tokenizer, encoder
+from shorepix.llm.tokens import chunks, default_tokenizer, encoder, lazily
 
 INDEX_MAGIC, SEEK_MAGIC, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 FRAME_IDS = 262_144
@@ -167,7 +167,7 @@ def write_token_files(documents: DataFrame, folder: str | None = None, tokenizer
 
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for at, texts in chunks(batch.column(1).to_pylist()):
+            for at, texts in chunks(lazily(batch.column(1))):
                 ids, counts, _ = encode.chunk(texts)
                 ends = np.cumsum(counts)
                 for k in range(len(texts)):

@@ -1,8 +1,8 @@
 """Token ids of whole texts by the tokenizers library, with a memo of words.
 
 A tokenizer that never lets a token reach over a space or a line feed (``word_bpe_49k`` is one: it drops white space
-before it splits) gives a text the ids of its space-separated pieces, one after the other. Pieces repeat, so each
-worker keeps the pieces it has seen; only new ones go through the library. Other tokenizers take ``by_word=False``
+before it splits) gives a text the ids of its space-separated pieces, one after the other. Pieces repeat, so a run of
+texts is reduced to its distinct pieces and each worker keeps the pieces it has seen; only new ones go through the library. Other tokenizers take ``by_word=False``
 and encode every text in one call.
 """
 
@@ -14,20 +14,23 @@ import functools
 import gc
 import os
 import string
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 END_ID = 1
 #: Memory that a worker's memo may take, about, before it forgets the pieces it has seen least.
 MEMO_BYTES = 256 << 20
 #: What a remembered piece takes beside its characters and ids: string, dictionary entry, row.
 PIECE_BYTES = 200
-#: New words that the library encodes in one call; it holds about a kilobyte for each.
-BATCH_WORDS = 4_000
+#: New words that the library encodes in one call, where it holds about a kilobyte for each, and that share an encoding.
+BATCH_WORDS, GROUP_WORDS = 4_000, 100
+#: Stands between them; a word that holds it is still encoded right.
+BETWEEN = "\x01"
 #: Characters handled at once.
-CHUNK_CHARS = 250_000
+CHUNK_CHARS = 1_000_000
 
 
 def default_tokenizer() -> str:
@@ -40,6 +43,11 @@ def default_tokenizer() -> str:
 _MARKS = string.punctuation.replace("'", "")
 
 
+def _strings(array: pa.Array) -> list[str]:
+    """``to_pylist`` of strings without nulls, several times as fast."""
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
 class _Memo(dict):
     """Piece -> row; unknown pieces get the next row and wait in ``new``."""
 
@@ -103,6 +111,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.by_word, self.spans, self.memo_bytes = by_word, spans, memo_bytes
         self.set_off: dict[str, bool] = {}
+        mark = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
+        self.between = mark[0] if len(mark) == 1 else None
         self._reset()
 
     def _reset(self) -> None:
@@ -138,36 +148,58 @@ class Encoder:
             self.set_off[last] = known
         return known
 
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """(ids per word, ids of all words, spans or None). Without spans GROUP_WORDS words share a call's text, with a mark
+        between them that stands for one id; a group in which a word gives that id as well is encoded word by word."""
+        if self.spans or self.between is None:
+            encode = self.tokenizer.encode_batch if self.spans else self.tokenizer.encode_batch_fast
+            found = encode(words, add_special_tokens=False)
+            span = np.array([s for x in found for s in x.offsets], np.int32).reshape(-1, 2) if self.spans else None
+            return np.fromiter((len(x.ids) for x in found), np.int64, len(found)), np.array([i for x in found for i in x.ids], np.uint32), span
+        groups = [words[k:k + GROUP_WORDS] for k in range(0, len(words), GROUP_WORDS)]
+        counts, ids = [], []
+        for group, x in zip(groups, self.tokenizer.encode_batch_fast([f" {BETWEEN} ".join(group) for group in groups], add_special_tokens=False), strict=True):
+            own = np.array(x.ids, np.uint32)
+            cuts = np.flatnonzero(own == self.between)
+            if len(cuts) == len(group) - 1:
+                counts.append(np.diff(cuts, prepend=-1, append=len(own)) - 1)
+                ids.append(np.delete(own, cuts))
+            else:
+                alone = [x.ids for x in self.tokenizer.encode_batch_fast(group, add_special_tokens=False)]
+                counts.append(np.fromiter(map(len, alone), np.int64, len(alone)))
+                ids.append(np.array([i for word in alone for i in word], np.uint32))
+        return np.concatenate(counts), np.concatenate(ids), None
+
     def _learn(self) -> None:
         memo, base = self.memo, len(self.memo) - len(self.memo.new) + 1
-        whole, whole_row, parts, part_row, width = [], [], [], [], []
-        for row, piece in enumerate(memo.new, base):  # grows by the words it is made of
-            word = piece.rstrip(_MARKS) if "<|" not in piece else ""
-            if not word or not self._sets_off(word):
-                word = piece
-            small = word.lower() if word.isascii() and "<|" not in piece else word
-            if small == piece:
-                whole.append(piece)
-                whole_row.append(row)
-            else:
-                parts += [memo[small], memo[piece[len(word):]]]
-                part_row.append(row)
-                width.append(len(word))
+        pieces = pa.array(memo.new, pa.large_string())
+        # Words without the punctuation behind them, and with small letters, if the tokenizer sees them the same way.
+        marked = pc.match_substring(pieces, "<|")
+        words = pc.utf8_rtrim(pieces, characters=_MARKS)
+        last = pc.utf8_slice_codeunits(words, -1).dictionary_encode()
+        off = np.array([bool(x) and self._sets_off(x) for x in last.dictionary.to_pylist()], bool)[last.indices.to_numpy()]
+        words = pc.if_else(pc.and_not(pa.array(off), marked), words, pieces)
+        small = pc.if_else(pc.and_not(pc.string_is_ascii(words), marked), pc.ascii_lower(words), words)
+        split = pc.not_equal(small, pieces).to_numpy(zero_copy_only=False)
+        width = pc.utf8_length(words).to_numpy()[split]
+        look = memo.__getitem__
+        parts = np.zeros((len(width), 2), np.int64)
+        parts[:, 0] = np.fromiter(map(look, _strings(small.filter(pa.array(split)))), np.int64, len(width))
+        ends = [piece[n:] for piece, n in zip(_strings(pieces.filter(pa.array(split))), width.tolist(), strict=True)]
+        parts[:, 1] = np.fromiter(map(look, ends), np.int64, len(width))
+        # What the pieces are made of are whole words: small, and punctuation alone.
+        whole = [piece for piece, cut in zip(memo.new, split.tolist(), strict=False) if not cut] + memo.new[len(split):]
+        whole_row = np.concatenate([base + np.flatnonzero(~split), np.arange(base + len(split), len(memo) + 1)])
         for low in range(0, len(whole), BATCH_WORDS):
-            encode = self.tokenizer.encode_batch if self.spans else self.tokenizer.encode_batch_fast
-            found = encode(whole[low:low + BATCH_WORDS], add_special_tokens=False)
-            count = np.fromiter((len(x.ids) for x in found), np.int64, len(found))
-            ids = np.fromiter((i for x in found for i in x.ids), np.uint32, int(count.sum()))
-            span = np.array([s for x in found for s in x.offsets], np.int32).reshape(-1, 2) if self.spans else None
-            self.table.put(np.array(whole_row[low:low + BATCH_WORDS]), count, ids, span)
-        if parts:
-            take, count = self.table.take(np.array(parts))
+            self.table.put(whole_row[low:low + BATCH_WORDS], *self._encoded(whole[low:low + BATCH_WORDS]))
+        if len(parts):
+            take, count = self.table.take(parts.ravel())
             span = None
             if self.spans:
-                shift = np.zeros(len(parts), np.int32)
+                shift = np.zeros(parts.size, np.int32)
                 shift[1::2] = width
                 span = self.table.span[take] + np.repeat(shift, count)[:, None]
-            self.table.put(np.array(part_row), count[::2] + count[1::2], self.table.ids[take], span)
+            self.table.put(base + np.flatnonzero(split), count[::2] + count[1::2], self.table.ids[take], span)
         self.held += sum(map(len, memo.new)) + PIECE_BYTES * len(memo.new) + 4 * int(self.table.count[base:self.table.rows].sum())
         memo.new = []
 
@@ -177,25 +209,31 @@ class Encoder:
             return self._whole(texts)
         if self.held > self.memo_bytes:
             self._forget()
-        rows, sizes, starts = [], [], []
-        look = self.memo.__getitem__
-        for text in texts:
-            pieces = text.replace("\n", " ").split(" ")
-            row = np.fromiter(map(look, pieces), np.int64, len(pieces))
-            rows += [row, np.zeros(1, np.int64)]
-            sizes.append(len(pieces) + 1)
-            if self.spans:
-                width = np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1
-                starts += [np.cumsum(width) - width, np.array([len(text)])]
+        lines = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        pieces = lines.flatten().dictionary_encode()
+        distinct, place = pieces.dictionary, pieces.indices.to_numpy()
+        row = np.fromiter(map(self.memo.__getitem__, _strings(distinct)), np.int64, len(distinct))[place]
         if self.memo.new:
             self._learn()
-        rows = np.concatenate(rows)
+        sizes = pc.list_value_length(lines).to_numpy().astype(np.int64) + 1
+        ends = np.cumsum(sizes) - 1
+        inside = np.ones(len(place) + len(texts), bool)
+        inside[ends] = False
+        rows = np.zeros(len(inside), np.int64)
+        rows[inside] = row
         self.seen = _Ragged.room(self.seen, self.table.rows)
         met = np.bincount(rows)
         self.seen[:len(met)] += met
         take, count = self.table.take(rows)
-        per_text = np.diff(np.cumsum(count)[np.cumsum(sizes) - 1], prepend=0)
-        spans = self.table.span[take] + np.repeat(np.concatenate(starts), count)[:, None] if self.spans else None
+        per_text = np.diff(np.cumsum(count)[ends], prepend=0)
+        spans = None
+        if self.spans:
+            width = np.zeros(len(inside), np.int64)
+            width[inside] = pc.utf8_length(distinct).to_numpy()[place] + 1
+            begin = np.cumsum(width) - width
+            begin -= np.repeat(begin[ends - sizes + 1], sizes)
+            begin[ends] -= 1  # no space stands behind the last piece
+            spans = self.table.span[take] + np.repeat(begin, count)[:, None]
         return self.table.ids[take], per_text, spans
 
     def _whole(self, texts: list[str]):
@@ -256,13 +294,20 @@ def lean(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return run
 
 
-def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
-    """(index of the first, texts) in runs of about CHUNK_CHARS; null counts as empty."""
+def lazily(column: pa.Array, rows: int = 200) -> Iterator[str | None]:
+    """The values of a text column; at no time are those of a whole batch held as strings beside it."""
+    for k in range(0, len(column), rows):
+        yield from column.slice(k, rows).to_pylist()
+
+
+def chunks(texts: Iterable[str | None], most: int | None = None) -> Iterator[tuple[int, list[str]]]:
+    """(index of the first, texts) in runs of about ``most`` (CHUNK_CHARS) characters; null counts as empty."""
+    most = most or CHUNK_CHARS
     at, run, chars = 0, [], 0
     for i, text in enumerate(texts):
         run.append(text or "")
         chars += len(run[-1])
-        if chars >= CHUNK_CHARS or len(run) >= 20_000:
+        if chars >= most or len(run) >= 20_000:
             yield at, run
             at, run, chars = i + 1, [], 0
     if run:

@@ -1,11 +1,13 @@
 """Ids and spans of the encoder equal those of the library, for every letter before every mark."""
 
+import itertools
 import random
 import string
 import sys
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from shorepix.llm import tokens
@@ -66,3 +68,51 @@ def test_the_memo_is_bounded_by_its_bytes():
         coder.chunk([" ".join(f"w{k}x{j}" for j in range(100)), "often seen words", "y" * 3000 + str(k)])
         assert coder.held < 50_000 + 100 * 400 + 20_000
     assert "often" in coder.memo and len(coder.memo) < 400
+
+
+class _Counting:
+    """The tokenizer, with the number of texts it was given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, 0
+
+    def __getattr__(self, name):
+        return getattr(self.tokenizer, name)
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_new_words_share_calls_and_distinct_pieces_are_looked_up_once():
+    coder = tokens.Encoder(tokens.default_tokenizer())
+    coder.tokenizer = _Counting(coder.tokenizer)
+    words = ["".join(pair) for pair in itertools.product(string.ascii_lowercase, string.ascii_lowercase, "bcdf")]
+    looked = []
+
+    class Memo(tokens._Memo):
+        def __getitem__(self, piece):
+            looked.append(piece)
+            return super().__getitem__(piece)
+
+    coder.memo = Memo()
+    coder.chunk([" ".join(words)] * 3)
+    assert coder.tokenizer.texts <= len(words) // 50 and len(looked) == len(set(looked)) == len(words)
+
+
+def test_words_that_hold_the_mark_between_words(library):
+    some = [f"{a}{tokens.BETWEEN}{b}" for a in ("", "a", "B,", "é") for b in ("", "c", ".", tokens.BETWEEN)]
+    _same(library, [" ".join(some + [f"word{k}" for k in range(300)] + some), tokens.BETWEEN, f"a {tokens.BETWEEN}\n{tokens.BETWEEN} b", ""])
+    coder = tokens.Encoder(tokens.default_tokenizer())
+    coder.between = None  # a tokenizer without an id for the mark
+    texts = [" ".join(some), "one Word, two"]
+    ids, _, _ = coder.chunk(texts)
+    assert ids.tolist() == [i for text in texts for i in [*library.encode(text, add_special_tokens=False).ids, tokens.END_ID]]
+
+
+def test_a_batch_is_not_turned_into_strings_at_once():
+    column = pa.array(["ab"] * 500 + [None] * 500)
+    seen = tokens.lazily(column, 100)
+    assert next(seen) == "ab" and sum(1 for _ in seen) == 999
+    assert [(at, len(run)) for at, run in tokens.chunks(tokens.lazily(column), 600)] == [(0, 300), (300, 700)]
+    assert list(tokens.lazily(column.slice(499, 2))) == ["ab", None] and not list(tokens.lazily(column[:0]))
