@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shorepix.llm.store import fresh
-from shorepix.llm.tokens import lean
+from shorepix.llm.tokens import lazily, lean
 from shorepix.llm.words import mixed
 
 GRAMS = (1, 2, 3)
@@ -21,6 +22,8 @@ SAMPLE = 2_000
 MOST_LANGUAGES = 1_000
 UNKNOWN = "und"
 CHUNK_CHARS = 50_000
+#: Rows that go back to Spark at once.
+OUT_ROWS = 1_000
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -75,7 +78,7 @@ def gram_rows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             np.concatenate(owners) if owners else np.zeros(0, np.int64), has_letter)
 
 
-def _runs(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
+def _runs(texts: Iterable[str | None]) -> Iterator[tuple[int, list[str]]]:
     at, run, chars = 0, [], 0
     for i, text in enumerate(texts):
         run.append(text or "")
@@ -134,7 +137,7 @@ def fit(documents: DataFrame, sample: int = SAMPLE) -> Model:
         seen = np.zeros((len(languages), BUCKETS), np.int64)
         for batch in batches:
             kinds = np.array([languages.index(lang) for lang in batch.column(0).to_pylist()], np.int64)
-            for at, texts in _runs(batch.column(1).to_pylist()):
+            for at, texts in _runs(lazily(batch.column(1))):
                 rows, owner, _ = gram_rows(texts)
                 flat = kinds[at:at + len(texts)][owner] * BUCKETS + rows
                 seen += np.bincount(flat, minlength=seen.size).reshape(seen.shape)
@@ -157,21 +160,27 @@ def predict(documents: DataFrame, model: Model, keep: list[str] | None = None, i
     fresh(documents.select(*[F.col(f"`{name}`") for name in keep]), *into)
     kept = documents.select(*[F.col(f"`{name}`") for name in keep])
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    schema = kept.schema.add(into[0], "string").add(into[1], "double")
+    # A text that is kept goes to the workers once, not beside a copy of itself.
+    held = [k for k, field in enumerate(kept.schema.fields) if field.name == "text" and field.dataType == T.StringType()]
+    at = held[0] if held else len(keep)
+    sent = kept if held else documents.select(*[F.col(f"`{name}`") for name in keep], F.col("text").cast("string").alias("__text"))
+    schema = T.StructType([*kept.schema.fields]).add(into[0], "string").add(into[1], "double")
 
     @lean
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, scores = [], []
-            for _, texts in _runs(batch.column(len(keep)).to_pylist()):
-                some, values = shared.value.predict(texts)
-                names += some
-                scores.append(values)
-            columns = [batch.column(k) for k in range(len(keep))]
-            columns += [pa.array(names, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *into])
-
-    return documents.select(*[F.col(f"`{name}`") for name in keep], F.col("text").cast("string").alias("__text")).mapInArrow(score, schema)
+        for whole in batches:
+            for low in range(0, whole.num_rows, OUT_ROWS):
+                batch = whole.slice(low, OUT_ROWS)
+                names, scores = [], []
+                for _, texts in _runs(lazily(batch.column(at))):
+                    some, values = shared.value.predict(texts)
+                    names += some
+                    scores.append(values)
+                columns = [batch.column(k) for k in range(len(keep))]
+                columns += [pa.array(names, pa.string()), pa.array(np.concatenate(scores))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, *into])
+
+    return sent.mapInArrow(score, schema)
 
 
 def identify(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:

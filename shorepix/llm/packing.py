@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shorepix.llm.store import fresh, staged
-from shorepix.llm.tokens import MEMO_BYTES, chunks, default_tokenizer, encoder, lean, trimmed
+from shorepix.llm.tokens import CHUNK_CHARS, MEMO_BYTES, chunks, default_tokenizer, encoder, lazily, lean, trimmed
 
 CLASSES = 128
 MOST_IN_PATTERN = 4
@@ -268,7 +268,7 @@ def token_pieces(documents: DataFrame, capacity: int, tokenizer: str | None = No
         coder = encoder(tokenizer, by_word, False, memo_bytes)
         for batch in batches:
             doc_ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for at, texts in chunks(batch.column(1).to_pylist()):
+            for at, texts in chunks(lazily(batch.column(1)), min(CHUNK_CHARS, max(1, memo_bytes // 64))):
                 ids, counts, _ = coder.chunk(texts)
                 cuts = -(-counts // capacity)
                 doc = np.repeat(np.arange(len(texts)), cuts)

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from shorepix.llm import tokens
+from shorepix.llm import language, tokens
 
 
 @pytest.fixture(scope="module")
@@ -116,3 +116,16 @@ def test_a_batch_is_not_turned_into_strings_at_once():
     assert next(seen) == "ab" and sum(1 for _ in seen) == 999
     assert [(at, len(run)) for at, run in tokens.chunks(tokens.lazily(column), 600)] == [(0, 300), (300, 700)]
     assert list(tokens.lazily(column.slice(499, 2))) == ["ab", None] and not list(tokens.lazily(column[:0]))
+
+
+def test_language_sends_a_kept_text_once(spark):
+    docs = spark.createDataFrame([(k, text, lang, k) for k, (text, lang) in enumerate([("the cat", "en"), ("le chat", "fr"), (None, "en"), ("", None)] * 40)],
+                                 "doc_id long, text string, lang string, n_chars long")
+    kept = language.predict(docs, language.fit(docs), docs.columns)
+    plan = kept._jdf.queryExecution().toString()
+    assert "__text" not in plan and kept.columns == [*docs.columns, "lang_pred", "score"]
+    alone = {row.doc_id: row for row in language.predict(docs, language.fit(docs)).collect()}
+    rows = kept.collect()
+    assert len(rows) == 160 and all((row.lang_pred, row.score) == (alone[row.doc_id].lang_pred, alone[row.doc_id].score) for row in rows)
+    assert sorted(map(tuple, kept.select(docs.columns).collect()), key=str) == sorted(map(tuple, docs.collect()), key=str)
+    assert language.with_language(docs).schema == docs.schema
