@@ -249,7 +249,9 @@ class Encoder:
 @functools.lru_cache(maxsize=1)
 def encoder(path: str, by_word: bool = True, spans: bool = False, memo_bytes: int = MEMO_BYTES) -> Encoder:
     """One encoder per worker process, kept from task to task."""
-    return Encoder(path, by_word, spans, memo_bytes)
+    coder = Encoder(path, by_word, spans, memo_bytes)
+    trim()  # what reading the tokenizer's file took
+    return coder
 
 
 def trim() -> None:
