@@ -32,15 +32,21 @@ def shared_folder(spark: SparkSession) -> str:
 _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+def lowered(spark: SparkSession, name: str, most: int) -> str:
+    """Set a size to ``most`` unless the session asks for less; what it was before."""
+    before = spark.conf.get(name)
+    number, unit = re.fullmatch(r"(-?\d+)\s*([kmgt]?)b?", before.strip().lower()).groups()
+    now = int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
+    if now > most or now <= 0:
+        spark.conf.set(name, str(most))
+    return before
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, most: int = 8 << 20) -> Iterator[None]:
     """Within this block Spark hands Python batches of about ``most`` bytes (a longer row goes alone), as far as the
     session does not ask for less. Batches stand in the memory of the JVM and of the worker at once."""
-    before = spark.conf.get(_BATCH_BYTES)
-    number, unit = re.fullmatch(r"(-?\d+)\s*([kmgt]?)b?", before.strip().lower()).groups()
-    now = int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
-    if now > most or now <= 0:
-        spark.conf.set(_BATCH_BYTES, str(most))
+    before = lowered(spark, _BATCH_BYTES, most)
     try:
         yield
     finally:

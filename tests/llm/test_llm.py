@@ -513,3 +513,35 @@ def test_pipeline_stages_keep_columns(spark):
         assert after.columns == frame.columns, name
         frame = corpus_pipeline.staged(after)
     assert corpus_pipeline.run(spark, folder).count() >= frame.count()
+
+
+def test_pipeline_hands_over_small_batches(spark):
+    """Texts of 16 MB reach the workers in pieces; a session that asks for less keeps it."""
+    import corpus_pipeline
+
+    names = ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = [spark.conf.get(name) for name in names]
+    frame = spark.range(0, 4000, 1, 1).selectExpr("id as doc_id", "repeat('word ', 800) as text", "'en' as lang", "'s' as source", "4000L as n_chars")
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            if name in ("language ID", "line dedup"):  # theirs are computed when they are written
+                spark.conf.set(names[0], "64m")
+                spark.conf.set(names[1], "4096")
+                stage(spark, frame, "")
+                found = [r.n for r in frame.select("text").mapInArrow(sizes, "n long").collect()]
+                assert sum(found) > 16_000_000 and max(found) < 2 * corpus_pipeline.BATCH_BYTES, name
+                assert spark.conf.get(names[1]) == str(corpus_pipeline.READ_ROWS)
+        spark.conf.set(names[0], "1m")
+        spark.conf.set(names[1], "100")
+        corpus_pipeline.identified(spark, frame, "")
+        assert [spark.conf.get(name) for name in names] == ["1m", "100"]
+    finally:
+        for name, value in zip(names, before, strict=True):
+            spark.conf.set(name, value)
