@@ -15,7 +15,8 @@ sets save:
   already bound the overlap below the threshold;
 * **answers from a similar set's answer**: in the first rounds a long list compares its sets with only a few of them. A
   set linked to one takes over its component, and later rounds skip all pairs of one component, so a group of near-copies
-  costs a few comparisons per copy instead of one per pair. What remains is compared pair by pair;
+  costs a few comparisons per copy instead of one per pair. What remains is compared pair by pair, without the pairs inside
+  the largest component of a list; entries of the plain order only with the sets that need it;
 * **sketches**: a set's sketch holds, for each of SKETCH_BITS residues, whether it has an odd number of elements there. Two
   sketches differ in no more bits than their sets differ in elements, so in a long list a pair whose sketches differ too
   much is skipped.
@@ -358,19 +359,29 @@ def _grouped(documents: DataFrame) -> tuple[_Join, DataFrame, DataFrame]:
     # The rest, pair by pair; over long lists only where the sketches leave room.
     marked = staged(across(usable, labels))
 
-    def met_in(entries, *more):
-        pairs = entries.alias("x").join(entries.alias("y"), "key").filter((F.col("x.comp") != F.col("y.comp")) & (F.col("x.v") < F.col("y.v")) & meet & _possible("x", "y"))
+    def met_in(x, y, *more):
+        pairs = x.alias("x").join(y.alias("y"), "key").filter((F.col("x.comp") != F.col("y.comp")) & meet & _possible("x", "y"))
         for condition in more:
             pairs = pairs.filter(condition)
-        return pairs.select(F.col("x.v").alias("a"), F.col("y.v").alias("b"), n.alias("n"), m.alias("m"))
+        return pairs.select(F.least("x.v", "y.v").alias("a"), F.greatest("x.v", "y.v").alias("b"), (n + m).alias("total"),
+                            F.greatest(n - needed(n), m - needed(m)).alias("behind"))
 
+    once = F.col("x.v") < F.col("y.v")
+    short = marked.filter("not long")
     apart = sum((F.bit_count(F.col("x.sketch")[k].bitwiseXOR(F.col("y.sketch")[k])) for k in range(SKETCH_BITS // 64)), F.lit(0))
-    sketched = marked.filter("long").join(one_each.select("v", "sketch"), "v")
-    pairs = (met_in(marked.filter("not long")).union(met_in(sketched, (100 + PERCENT) * apart <= (100 - PERCENT) * (n + m)))
-             .groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("m").alias("m")))
+    alike = (100 + PERCENT) * apart <= (100 - PERCENT) * (n + m)
+    # No two sets of a list's largest component meet: the others meet each other and that one.
+    long = marked.filter("long")
+    largest = long.filter("ordered").groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp"))["comp"].alias("largest"))
+    sketched = staged(long.join(largest, "key", "left").join(one_each.select("v", "sketch"), "v"))
+    ordered = sketched.filter("ordered")
+    # In the plain order nothing meets but the sets that were missed and all others.
+    pairs = (met_in(short, short, once)
+             .union(met_in(ordered.filter("comp <> largest"), ordered, (F.col("y.comp") == F.col("y.largest")) | once, alike))
+             .union(met_in(sketched.filter("plain"), sketched.filter("plain and missed"), ~F.col("x.missed") | once, alike))
+             .groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("total").alias("total"), F.first("behind").alias("behind")))
     # Shared elements lie in both prefixes, where the lists have counted them, or behind the prefix that ends first.
-    most = F.col("shared") + F.greatest(F.col("n") - needed(F.col("n")), F.col("m") - needed(F.col("m")))
-    more = join.links(pairs.filter((100 + PERCENT) * most >= PERCENT * (F.col("n") + F.col("m"))))
+    more = join.links(pairs.filter((100 + PERCENT) * (F.col("shared") + F.col("behind")) >= PERCENT * F.col("total")))
     labels = components(more.union(labels.toDF("a", "b")))
     return join, signed, classes.join(labels, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
 
